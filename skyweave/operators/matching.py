@@ -48,20 +48,18 @@ def tile(coordinate: Column, level: int) -> Column:
 
 
 def _levels(finest: int) -> Column:
-    return F.array(*[F.lit(level) for level in range(finest, TOP + 1)])
+    return F.sequence(F.lit(finest), F.lit(TOP))
 
 
 def _parent(index: str, finest: int) -> Column:
     return F.floor(F.col(index) / F.pow(F.lit(2.0), F.col("level") - finest)).cast("bigint")
 
 
-def _surroundings(reach: int) -> Column:
-    offsets = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-        for i in range(-reach, reach + 1)
-        for j in range(-reach, reach + 1)
-    ]
-    return F.array(*offsets)
+def _around(df: DataFrame, reach: int) -> DataFrame:
+    """Each row once for every tile at most ``reach`` tiles away."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    wide = df.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    return wide.withColumns({"tx": F.col("tx") + F.col("i"), "ty": F.col("ty") + F.col("j")}).drop("i", "j")
 
 
 def add_blocks(points: DataFrame, x: Column, y: Column, finest: int) -> DataFrame:
@@ -78,17 +76,15 @@ def block_candidates(
     and any payload.  The result has one row per block and candidate site.
     """
     placed = add_blocks(sites, F.col("x"), F.col("y"), finest)
-    spread = (
+    counted = (
         placed.groupBy(*keys, "bx", "by")
         .agg(F.count("*").alias("n"))
         .withColumn("level", F.explode(_levels(finest)))
         .select(*keys, "level", _parent("bx", finest).alias("tx"), _parent("by", finest).alias("ty"), "n")
         .groupBy(*keys, "level", "tx", "ty")
         .agg(F.sum("n").alias("n"))
-        .withColumn("o", F.explode(_surroundings(1)))
-        .groupBy(*keys, "level", (F.col("tx") + F.col("o.i")).alias("tx"), (F.col("ty") + F.col("o.j")).alias("ty"))
-        .agg(F.sum("n").alias("n"))
     )
+    spread = _around(counted, 1).groupBy(*keys, "level", "tx", "ty").agg(F.sum("n").alias("n"))
     proven = spread.filter(F.col("n") >= k).select(*keys, "level", "tx", "ty")
     tiles = blocks.select(*keys, "bx", "by", F.explode(_levels(finest)).alias("level")).withColumns(
         {"tx": _parent("bx", finest), "ty": _parent("by", finest)}
@@ -98,10 +94,8 @@ def block_candidates(
         .groupBy(*keys, "bx", "by")
         .agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("level"))), F.lit(TOP)).alias("level"))
     )
-    needed = (
-        chosen.withColumns({"tx": _parent("bx", finest), "ty": _parent("by", finest)})
-        .withColumn("o", F.explode(_surroundings(3)))
-        .select(*keys, "level", "bx", "by", (F.col("tx") + F.col("o.i")).alias("tx"), (F.col("ty") + F.col("o.j")).alias("ty"))
+    needed = _around(
+        chosen.withColumns({"tx": _parent("bx", finest), "ty": _parent("by", finest)}), 3
     )
     copies = (
         placed.withColumn("level", F.explode(_levels(finest)))

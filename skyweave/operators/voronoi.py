@@ -61,6 +61,7 @@ def voronoi_average(
     keys: list[str],
     measures: list[str],
     carry: list[str] | None = None,
+    where: str | None = None,
     site: str = "Site",
     k: int = 30,
     power: float = 2.0,
@@ -71,11 +72,14 @@ def voronoi_average(
     ``monitors``: one row per ``keys, site`` with plane coordinates ``x, y``.
     ``targets``: distinct cells ``keys, ROW, COL`` with any ``carry`` columns.
     Adds ``vna_<measure>``; a NULL measure of a neighbour makes the average
-    NULL.  Targets whose key has no monitor give no row.
+    NULL.  Targets whose key has no monitor give no row; targets whose flag
+    ``where`` is false stay NULL.
     """
     carry = carry or []
+    wanted = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
+    targets = targets.withColumn("_in", wanted)
     cells = add_blocks(targets, F.col("COL") - 0.5, F.col("ROW") - 0.5, finest)
-    cell = F.struct("ROW", "COL", *carry)
+    cell = F.struct("ROW", "COL", "_in", *carry)
     blocks = cells.groupBy(*keys, "bx", "by").agg(F.collect_list(cell).alias("cells"))
     bare = monitors.select(
         *keys,
@@ -96,20 +100,23 @@ def voronoi_average(
         "cells",
         F.col("cells.COL").alias("t_col"),
         F.col("cells.ROW").alias("t_row"),
+        F.col("cells._in").alias("t_in"),
         *[f"c_{p}" for p in payload],
     )
     names = [f"vna_{m}" for m in measures]
-    result_type = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">"
+    result_type = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">>"
     m_columns = [f"c_m_{m}" for m in measures]
 
     @F.pandas_udf(result_type)
     def averages(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for t_col, t_row, c_x, c_y, *values in columns:
+        for t_col, t_row, t_in, c_x, c_y, *values in columns:
             out = []
             for i in range(len(t_col)):
-                block = average_block(
-                    np.asarray(t_col.iloc[i], dtype=float) - 0.5,
-                    np.asarray(t_row.iloc[i], dtype=float) - 0.5,
+                inside = np.asarray(t_in.iloc[i], dtype=bool)
+                block = np.full((len(inside), len(values)), np.nan)
+                block[inside] = average_block(
+                    np.asarray(t_col.iloc[i], dtype=float)[inside] - 0.5,
+                    np.asarray(t_row.iloc[i], dtype=float)[inside] - 0.5,
                     np.asarray(c_x.iloc[i], dtype=float),
                     np.asarray(c_y.iloc[i], dtype=float),
                     np.column_stack([np.asarray(v.iloc[i], dtype=float) for v in values]),
@@ -119,7 +126,7 @@ def voronoi_average(
                 out.append([dict(zip(names, row)) for row in block.tolist()])
             yield pd.Series(out)
 
-    filled = work.withColumn("v", averages("t_col", "t_row", "c_x", "c_y", *m_columns))
+    filled = work.withColumn("v", averages("t_col", "t_row", "t_in", "c_x", "c_y", *m_columns))
     rows = filled.select(*keys, F.explode(F.arrays_zip("cells", "v")).alias("r"))
     return rows.select(
         *keys,

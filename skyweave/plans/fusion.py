@@ -16,11 +16,11 @@ from skyweave.functions.ozone import (
     response_ratio,
 )
 from skyweave.functions.projection import LambertConic
-from skyweave.operators.clean import keep_region
 from skyweave.operators.matching import locate_sites, model_at_sites
 from skyweave.operators.quantiles import nth_largest, ranked_rows, smallest_of_top, top_n_mean
 from skyweave.operators.rollup import calendar_means
 from skyweave.operators.voronoi import voronoi_average
+from skyweave.session import cut_lineage
 
 MEASURES = ["ozone", "mod", "bias", "r_n"]
 FUSED = ["vna_ozone", "vna_mod", "vna_bias", "vna_r_n", "avna_ozone", "evna_ozone", "model"]
@@ -77,30 +77,35 @@ def fuse(
     """Fused grid for every key that has monitors; NULL outside the region.
 
     The model value travels with the targets, so the fused columns need no join
-    back to the grid.  Cells outside the region skip the interpolation.
+    back to the grid.  Cells outside the region skip the interpolation.  The
+    monitors (the small side, read several times) are written out once.
     """
-    on = ["ROW", "COL"]
-    cells = model.select(*keys, *on, F.col(model_value).alias("model"))
+    monitors = cut_lineage(monitors.select(*keys, site, "x", "y", *MEASURES))
+    cells = model.select(*keys, "ROW", "COL", F.col(model_value).alias("model"))
     if keys:
         cells = cells.join(monitors.select(*keys).distinct(), keys, "left_semi")
-    inside = keep_region(cells, region) if region is not None else cells
-    by = keys or ["_all"]
+    if region is not None:
+        marks = region.filter(F.col("Is") == 1).select("ROW", "COL", F.lit(True).alias("inside"))
+        cells = cells.join(marks, ["ROW", "COL"], "left")
+    by = keys
     if not keys:
-        inside, monitors = (d.withColumn("_all", F.lit(0)) for d in (inside, monitors))
+        by = ["_all"]
+        cells, monitors = (d.withColumn("_all", F.lit(0)) for d in (cells, monitors))
     averaged = voronoi_average(
-        monitors, inside, by, MEASURES, carry=["model"], site=site, k=k, finest=finest
+        monitors,
+        cells,
+        by,
+        MEASURES,
+        carry=["model"],
+        where="inside" if region is not None else None,
+        site=site,
+        k=k,
+        finest=finest,
     )
-    if region is not None:
-        marked = region.filter(F.col("Is") == 1)
-        outside = cells.join(marked, on, "left_anti")
-        averaged = averaged.select(*keys, *on, "model", *[f"vna_{m}" for m in MEASURES]).unionByName(
-            outside.select(
-                *keys, *on, "model", *[F.lit(None).cast("double").alias(f"vna_{m}") for m in MEASURES]
-            )
-        )
     return averaged.select(
         *keys,
-        *on,
+        "ROW",
+        "COL",
         *[f"vna_{m}" for m in MEASURES],
         additive_fusion("model", "vna_bias").alias("avna_ozone"),
         ratio_fusion("model", "vna_r_n").alias("evna_ozone"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import additive_fusion, ratio_fusion
@@ -10,6 +10,7 @@ from skyweave.operators.combine import training_folds
 from skyweave.operators.reshape import methods_to_rows
 from skyweave.operators.rollup import calendar_means
 from skyweave.operators.voronoi import voronoi_average
+from skyweave.session import cut_lineage
 from skyweave.plans.fusion import MEASURES, Grid, matched_monitors, site_means
 
 
@@ -25,6 +26,7 @@ def predict_folds(monitors: DataFrame, keys: list[str], site: str = "Site", k: i
     ``monitors`` carry ``CVgroup`` and the matched model value ``mod``.  Folds
     without training sites give NULL predictions.
     """
+    monitors = cut_lineage(monitors)
     training = training_folds(monitors, keys, "CVgroup").withColumn("CVgroup", F.col("fold")).drop("fold")
     cells = monitors.select(*keys, "CVgroup", "ROW", "COL").distinct()
     by = [*keys, "CVgroup"]
@@ -67,17 +69,22 @@ def hourly_validation(sites: DataFrame, model: DataFrame, assignment: DataFrame,
     return result.join(downscaler, ["TSTEP", "Site"], "left")
 
 
+def fold_hash(key: list[str], seed: int) -> Column:
+    """A 32-bit number of a row key, the same in every engine that has MD5."""
+    parts = [F.col(c).cast("string") for c in key]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 def hash_folds(df: DataFrame, key: list[str], folds: int, seed: int = 42) -> DataFrame:
-    """Fold 1..k of each row from a hash of its key: repeatable without a shuffle."""
-    return df.withColumn(
-        "CVgroup", (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(folds)) + 1).cast("int")
-    )
+    """Random fold 1..k of each row from a hash of its key: repeatable, no shuffle."""
+    return df.withColumn("CVgroup", (fold_hash(key, seed) % folds + 1).cast("int"))
 
 
 def equal_site_folds(sites: DataFrame, date: str, site: str, folds: int = 10, seed: int = 42) -> DataFrame:
     """Random site folds of equal size per day (larger ones first), redrawn daily."""
     day = sites.select(date, site).distinct()
-    order = Window.partitionBy(date).orderBy(F.xxhash64(site, date, F.lit(seed)), site)
+    order = Window.partitionBy(date).orderBy(fold_hash([site, date], seed), site)
     return day.withColumn("CVgroup", F.ntile(folds).over(order))
 
 
