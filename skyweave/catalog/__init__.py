@@ -1,2 +1,2 @@
 from skyweave.catalog.base import ORACLES, QUERIES
-from skyweave.catalog import fusions  # noqa: F401
+from skyweave.catalog import joins, audits, reshaping  # noqa: F401
