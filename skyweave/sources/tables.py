@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.functions.text import year_in_name
+from skyweave.functions.text import YEAR_PATTERN
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -27,7 +30,11 @@ def read_csv_body(spark: SparkSession, path: str | list[str], schema: str, is_da
 
 
 def read_csv_after(spark: SparkSession, path: str | list[str], schema: str, skip: int) -> DataFrame:
-    """CSV after a fixed number of lines per file; each file is one task's work."""
+    """CSV after a fixed number of lines per file.
+
+    Counting lines needs the file's start, so a file is one record: for many
+    files of moderate size.  Use ``read_csv_body`` for large ones.
+    """
     text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     body = lines.filter((F.col("pos") >= skip) & (F.col("line") != ""))
@@ -45,21 +52,29 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return reader.format(kind).load(path)
 
 
-def read_years(spark: SparkSession, paths: list[str], schema: str, fmt: str = "csv") -> DataFrame:
-    """One table over yearly files; the year comes from the name, absent files are skipped."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return where.getFileSystem(conf).exists(where)
 
-    def exists(path: str) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
 
-    found = [p for p in paths if exists(p)]
-    if not found:
-        return spark.createDataFrame([], schema).withColumn("Year", F.lit(None).cast("int"))
-    reader = spark.read.schema(schema).option("ignoreMissingFiles", True)
+def year_of_path(path: str) -> int | None:
+    """The year in the last part of a path."""
+    found = re.search(YEAR_PATTERN, path.rstrip("/").rsplit("/", 1)[-1])
+    return int(found.group(1)) if found else None
+
+
+def read_years(spark: SparkSession, paths: list[str], schema: str, fmt: str = "csv") -> DataFrame:
+    """One table over yearly files; the year comes from the name, absent files are skipped."""
+    reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.format(fmt).load(found).withColumn("Year", year_in_name(F.col("_metadata.file_path")))
+    out = spark.createDataFrame([], schema).withColumn("Year", F.lit(None).cast("int"))
+    for path in paths:
+        if path_exists(spark, path):
+            part = reader.format(fmt).load(path)
+            out = out.unionByName(part.withColumn("Year", F.lit(year_of_path(path)).cast("int")))
+    return out
 
 
 def month_slices(model: DataFrame, hours: DataFrame, ts: str) -> DataFrame:
@@ -78,8 +93,6 @@ def with_spill_years(obs: DataFrame, ts: str, start: str, end: str, year: str =
     Offsets run from -8 to -4 hours: the local range is [start - 8 h, end - 4 h].
     Its years prune the partitions, its bounds are pushed to the scan.
     """
-    from datetime import datetime, timedelta
-
     low = datetime.fromisoformat(start) - timedelta(hours=8)
     high = datetime.fromisoformat(end) - timedelta(hours=4)
     years = list(range(low.year, high.year + 1))
