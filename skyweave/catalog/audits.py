@@ -307,3 +307,29 @@ def _(spark, sf):
 def _(spark, sf):
     model = fx.model_daily(spark, sf).filter(F.col("LAY") == 0)
     return au.grid_days_complete(model, "Date", fx.ROWS * fx.COLS)
+
+
+_BLOCK = """SELECT Site, "Date", CAST(sum(starts) OVER (PARTITION BY Site ORDER BY "Date") AS BIGINT) AS block FROM
+ (SELECT Site, "Date", CASE WHEN Conc >= 30 THEN 1 ELSE 0 END AS starts FROM cv_result)"""
+
+
+@query("w05_running_block_number", _BLOCK, "cv_result")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    along = Window.partitionBy("Site").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.when(F.col("Conc") >= 30, 1).otherwise(0)
+    return fx.cv_result(spark, sf).select("Site", "Date", F.sum(starts).over(along).alias("block"))
+
+
+@query(
+    "w06_adjacent_comparison",
+    'SELECT Site, "Date", Conc - lead(Conc) OVER (PARTITION BY Site ORDER BY "Date") AS step FROM cv_result',
+    "cv_result",
+    "step",
+)
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    along = Window.partitionBy("Site").orderBy("Date")
+    return fx.cv_result(spark, sf).select("Site", "Date", (F.col("Conc") - F.lead("Conc").over(along)).alias("step"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.operators.matching import nearest_known
+from skyweave.session import cut_lineage
 
 
 def with_site_offsets(obs: DataFrame, tz_site: DataFrame, fill: bool = True) -> DataFrame:
@@ -18,11 +19,13 @@ def with_site_offsets(obs: DataFrame, tz_site: DataFrame, fill: bool = True) ->
     zones = tz_site.select("site_id", *take)
     if not fill:
         return obs.join(zones, "site_id", "left")
-    sites = obs.groupBy("site_id").agg(F.min("Lat").alias("Lat"), F.min("Lon").alias("Lon"))
+    sites = cut_lineage(
+        obs.groupBy("site_id").agg(F.min("Lat").alias("Lat"), F.min("Lon").alias("Lon"))
+    )
     known = tz_site.filter(F.col("gmt_offset").isNotNull())
     missing = sites.join(known, "site_id", "left_anti")
     found = nearest_known(missing, known, "site_id", "site_id", "Lon", "Lat", take)
-    resolved = known.select("site_id", *take).unionByName(found)
+    resolved = cut_lineage(known.select("site_id", *take).unionByName(found))
     return obs.join(resolved, "site_id", "left")
 
 
@@ -67,7 +70,7 @@ def training_folds(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     The folds of a key are a set as small as the number of groups; rows are
     copied to the other folds instead of being paired with test rows.
     """
-    folds = df.groupBy(*keys).agg(F.collect_set(group).alias("folds"))
+    folds = cut_lineage(df.groupBy(*keys).agg(F.collect_set(group).alias("folds")))
     return (
         df.join(folds, keys)
         .withColumn("fold", F.explode(F.array_remove(F.col("folds"), F.col(group))))

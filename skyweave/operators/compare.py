@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import exposure_bin, row_spread
 from skyweave.operators.quantiles import exact_percentiles
+from skyweave.session import cut_lineage
 
 
 def method_spread(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -178,6 +179,7 @@ def box_statistics(long: DataFrame, keys: list[str], value: str) -> DataFrame:
         long, keys, {"q1": (value, 0.25), "median": (value, 0.5), "q3": (value, 0.75)}
     )
     fence = (F.col("q3") - F.col("q1")) * 1.5
+    box = cut_lineage(box)
     inside = F.col(value).between(F.col("q1") - fence, F.col("q3") + fence)
     return long.join(box, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.count("*").alias("n"),
@@ -250,29 +252,29 @@ def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFram
     smoothed along one axis after the other.  Work grows with the points once
     and otherwise with the lattice only; no pair of points is ever formed.
     """
-    points = paired(df, x, y).groupBy(x, y).agg(F.count("*").alias("c"))
-    mean = points.agg(
-        F.sum("c").alias("n"),
-        (F.sum(F.col("c") * F.col(x)) / F.sum("c")).alias("mx"),
-        (F.sum(F.col("c") * F.col(y)) / F.sum("c")).alias("my"),
-    )
-    centred = points.withColumns(
-        {"dx": F.col(x) - one_value(mean, "mx"), "dy": F.col(y) - one_value(mean, "my")}
-    )
-    cov = centred.agg(
-        *[
-            (F.sum(F.col("c") * F.col(a) * F.col(b)) / (F.sum("c") - 1)).alias(name)
-            for name, a, b in (("sxx", "dx", "dx"), ("sxy", "dx", "dy"), ("syy", "dy", "dy"))
-        ]
+    pairs = paired(df, x, y).select(x, y)
+    moments = cut_lineage(
+        pairs.agg(
+            F.count("*").alias("n"),
+            F.avg(x).alias("mx"),
+            F.avg(y).alias("my"),
+            F.var_samp(x).alias("sxx"),
+            F.covar_samp(x, y).alias("sxy"),
+            F.var_samp(y).alias("syy"),
+        )
     )
-    sxx, sxy, syy = (one_value(cov, c) for c in ("sxx", "sxy", "syy"))
-    per_unit = F.pow(one_value(mean, "n").cast("double"), F.lit(1.0 / 6.0)) * per_band
-    residual = F.col("dy") - sxy / sxx * F.col("dx")
-    lattice = centred.withColumns(
-        {
-            "iu": F.round(F.col("dx") / F.sqrt(sxx) * per_unit).cast("bigint"),
-            "iv": F.round(residual / F.sqrt(syy - sxy * sxy / sxx) * per_unit).cast("bigint"),
-        }
+    n, mx, my, sxx, sxy, syy = (one_value(moments, c) for c in moments.columns)
+    per_unit = F.pow(n.cast("double"), F.lit(1.0 / 6.0)) * per_band
+    dx, dy = F.col(x) - mx, F.col(y) - my
+    lattice = (
+        pairs.groupBy(x, y)
+        .agg(F.count("*").alias("c"))
+        .withColumns(
+            {
+                "iu": F.round(dx / F.sqrt(sxx) * per_unit).cast("bigint"),
+                "iv": F.round((dy - sxy / sxx * dx) / F.sqrt(syy - sxy * sxy / sxx) * per_unit).cast("bigint"),
+            }
+        )
     )
     reach = 9 * per_band
     offsets = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
@@ -289,6 +291,7 @@ def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFram
         .agg(F.sum(F.col("w") * kernel).alias("density"))
     )
     at_nodes = nodes.join(both_ways, ["iu", "iv"]).select("iu", "iv", "density")
+    at_nodes = cut_lineage(at_nodes)
     bounds = at_nodes.agg(F.min("density").alias("lo"), F.max("density").alias("hi"))
     lo, hi = one_value(bounds, "lo"), one_value(bounds, "hi")
     scaled = F.when(hi > lo, (F.col("density") - lo) / (hi - lo)).otherwise(F.lit(0.0))

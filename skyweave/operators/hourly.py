@@ -222,7 +222,10 @@ def domain_w126(df: DataFrame, columns: list[str], ts: str) -> DataFrame:
 
 
 def daily_extremes(df: DataFrame, keys: list[str], ts: str, column: str) -> DataFrame:
-    """Daily maximum and minimum with the first hour at which each occurs."""
+    """Daily maximum and minimum with the first hour at which each occurs.
+
+    ``df`` has one row per key and hour.
+    """
     high = F.struct(F.col(column).alias("v"), (-F.unix_timestamp(F.col(ts).cast("timestamp"))).alias("t"))
     low = F.struct(F.col(column).alias("v"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t"))
     present = F.col(column).isNotNull()
@@ -231,6 +234,6 @@ def daily_extremes(df: DataFrame, keys: list[str], ts: str, column: str) -> Data
         F.hour(F.max_by(F.when(present, F.col(ts)), F.when(present, high))).cast("int").alias("max_hour"),
         F.min(column).alias("min_value"),
         F.hour(F.min_by(F.when(present, F.col(ts)), F.when(present, low))).cast("int").alias("min_hour"),
-        F.countDistinct(ts).alias("hours"),
-        (24 - F.countDistinct(F.when(present, F.col(ts)))).alias("missing_hours"),
+        F.count("*").alias("hours"),
+        (24 - F.count(column)).alias("missing_hours"),
     )

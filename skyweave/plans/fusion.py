@@ -52,8 +52,12 @@ def matched_monitors(
     model_value: str,
     ratio_limit: float | None = None,
 ) -> DataFrame:
-    """Sites with plane coordinates, nearest cell, model value, bias and ratio."""
-    placed = grid.place(sites.withColumnRenamed(value, "ozone"))
+    """Sites with plane coordinates, nearest cell, model value, bias and ratio.
+
+    The placed sites are written out first: they are read twice, and their real
+    size decides whether the model is streamed past them or shuffled.
+    """
+    placed = cut_lineage(grid.place(sites.withColumnRenamed(value, "ozone")))
     matched = model_at_sites(placed, model, model_value, keys)
     ratio = response_ratio("ozone", "mod")
     return matched.withColumns(

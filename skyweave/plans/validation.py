@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import additive_fusion, ratio_fusion
+from skyweave.operators.audit import positions
 from skyweave.operators.combine import training_folds
 from skyweave.operators.reshape import methods_to_rows
 from skyweave.operators.rollup import calendar_means
 from skyweave.operators.voronoi import voronoi_average
-from skyweave.session import cut_lineage
 from skyweave.plans.fusion import MEASURES, Grid, matched_monitors, site_means
+from skyweave.session import cut_lineage
 
 
 def listed_sites(sites: DataFrame, assignment: DataFrame, keys: list[str], site: str = "Site") -> DataFrame:
@@ -83,9 +84,15 @@ def hash_folds(df: DataFrame, key: list[str], folds: int, seed: int = 42) -> Dat
 
 def equal_site_folds(sites: DataFrame, date: str, site: str, folds: int = 10, seed: int = 42) -> DataFrame:
     """Random site folds of equal size per day (larger ones first), redrawn daily."""
-    day = sites.select(date, site).distinct()
-    order = Window.partitionBy(date).orderBy(fold_hash([site, date], seed), site)
-    return day.withColumn("CVgroup", F.ntile(folds).over(order))
+    day = cut_lineage(sites.select(date, site).distinct().withColumn("_h", fold_hash([site, date], seed)))
+    sizes = cut_lineage(day.groupBy(date).agg(F.count("*").alias("_n")))
+    placed = positions(day, [date], "_h", [site]).join(sizes, date)
+    small, larger = F.floor(F.col("_n") / folds), F.pmod(F.col("_n"), F.lit(folds))
+    cut = larger * (small + 1)
+    fold = F.when(F.col("_p") < cut, F.floor(F.col("_p") / (small + 1))).otherwise(
+        larger + F.floor((F.col("_p") - cut) / F.greatest(small, F.lit(1)))
+    )
+    return placed.select(date, site, (fold + 1).cast("int").alias("CVgroup"))
 
 
 def split_sites(df: DataFrame, train: DataFrame, test: DataFrame, site: str = "Site") -> DataFrame:
