@@ -319,7 +319,7 @@ _WIDE = [("DJF", (12, 1, 2)), ("JJA", (6, 7, 8))]
     "f13_wide_fusion",
     ", mdl AS ("
     + " UNION ALL ".join(
-        f"SELECT '{s}_{v}' AS name, ROW, COL, avg({e}) AS v FROM model_daily WHERE LAY = 0 AND month(\"Date\") IN {m} GROUP BY ROW, COL"
+        f"SELECT '{s}_{v}' AS name, ROW, COL, avg(CASE WHEN month(\"Date\") IN {m} THEN {e} END) AS v FROM model_daily WHERE LAY = 0 GROUP BY ROW, COL"
         for s, m in _WIDE
         for v, e in (("O3", "O3_MDA8"), ("NO2", "O3_MDA8 / 2"))
     )

@@ -89,8 +89,8 @@ def _(spark, sf):
 
 @query(
     "j11_densify_grid",
-    'SELECT c.ROW, c.COL, d.n FROM cells c LEFT JOIN (SELECT ROW, COL, count(*) AS n FROM fused_daily WHERE vna_ozone > 99.5 GROUP BY ALL) d USING (ROW, COL)',
-    "fused_daily cells",
+    'SELECT CAST(r AS INTEGER) AS ROW, CAST(c AS INTEGER) AS COL, d.n FROM (SELECT unnest(range(1, 11)) AS r) CROSS JOIN (SELECT unnest(range(1, 13)) AS c) LEFT JOIN (SELECT ROW, COL, count(*) AS n FROM fused_daily WHERE vna_ozone > 99.5 GROUP BY ALL) d ON d.ROW = r AND d.COL = c',
+    "fused_daily",
 )
 def _(spark, sf):
     from skyweave.sources.grids import regular_grid

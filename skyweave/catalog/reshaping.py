@@ -43,8 +43,8 @@ _DAYS = """SELECT ROW, COL, max(model) AS o3, max(vna_ozone) AS vna, strftime("T
 
 @query(
     "r02_split_and_pivot",
-    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, 'd' || code AS day, o3 AS \"O3\", vna AS \"VNA\" FROM (SELECT c.ROW, c.COL, m.code FROM cells c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
-    "fused_daily cells",
+    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, 'd' || code AS day, o3 AS \"O3\", vna AS \"VNA\" FROM (SELECT c.ROW, c.COL, m.code FROM (SELECT DISTINCT ROW, COL FROM d) c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
+    "fused_daily",
 )
 def _(spark, sf):
     table = wide(spark, sf)
@@ -54,8 +54,8 @@ def _(spark, sf):
 
 @query(
     "r03_day_columns_to_rows",
-    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, strptime('2011' || code, '%Y%m%d')::DATE AS \"Timestamp\", o3 AS model, vna AS vna_ozone FROM (SELECT c.ROW, c.COL, m.code FROM cells c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
-    "fused_daily cells",
+    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, strptime('2011' || code, '%Y%m%d')::DATE AS \"Timestamp\", o3 AS model, vna AS vna_ozone FROM (SELECT c.ROW, c.COL, m.code FROM (SELECT DISTINCT ROW, COL FROM d) c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
+    "fused_daily",
 )
 def _(spark, sf):
     return rs.day_columns_to_rows(wide(spark, sf), ["ROW", "COL"], 2011, {"O3": "model", "VNA": "vna_ozone"})

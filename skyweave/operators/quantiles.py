@@ -33,9 +33,8 @@ def exact_percentiles(
     if not keys:
         return ranked_percentiles(df, keys, wanted)
     ordinary = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*native)
-    return ordinary.unionByName(
-        ranked_percentiles(df.join(hot, keys, "left_semi"), keys, wanted)
-    )
+    ranked = ranked_percentiles(df.join(hot, keys, "left_semi"), keys, wanted)
+    return ordinary.unionByName(hot.join(ranked, keys, "left"))
 
 
 def ranked_percentiles(
@@ -99,21 +98,19 @@ def ranked_percentiles(
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per key and non-null value: ``keys, name, v``."""
-    return (
-        df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot(keys, columns, "name", "v")
-        .filter(F.col("v").isNotNull())
-    )
+    """One row per key and column: ``keys, name, v``."""
+    wide = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    return wide.unpivot(keys, columns, "name", "v")
 
 
 def top_n_mean(df: DataFrame, keys: list[str], columns: list[str], n: int = 10) -> DataFrame:
     """Mean of the n highest values, each column on its own.
 
     The rank filter is applied before the shuffle as well as after it, so a
-    group sends at most n rows per column and task, whatever its size.
+    group sends at most n rows per column and task, whatever its size.  NULLs
+    come last; a group without any value keeps its row.
     """
-    order = Window.partitionBy(*keys, "name").orderBy(F.desc("v"))
+    order = Window.partitionBy(*keys, "name").orderBy(F.desc_nulls_last("v"))
     top = long_values(df, keys, columns).withColumn("r", F.row_number().over(order)).filter(
         F.col("r") <= n
     )
@@ -136,10 +133,9 @@ def nth_largest(df: DataFrame, keys: list[str], column: str, n: int, name: str)
 
 def smallest_of_top(df: DataFrame, keys: list[str], column: str, n: int, name: str) -> DataFrame:
     """Least of the n largest values (all of them in a smaller group)."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(column))
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(column))
     return (
-        df.filter(F.col(column).isNotNull())
-        .withColumn("r", F.row_number().over(order))
+        df.withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= n)
         .groupBy(*keys)
         .agg(F.min(column).alias(name))
