@@ -2,18 +2,24 @@
 
 A monitor among the k nearest of a target is a neighbour when its Voronoi cell
 touches the target's own.  Neighbours weigh ``d**-power``; a monitor at the
-target itself takes all the weight.  Spark finds the candidates (tile joins),
-groups them by block of cells and moves them once; inside a task each block
-is a handful of small arrays.
+target itself takes all the weight.  Spark finds the candidates (tile joins)
+and moves them once, grouped by block of cells; inside a task each block is a
+handful of small arrays.
+
+A block may hold every monitor of its key, so the blocks are used only where
+the largest key is known to be small enough for one task.  Denser networks are
+ranked per cell instead: the k nearest are cut by a rank filter that runs
+before the shuffle too, and no group ever holds more than k monitors.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import nan_to_null
@@ -21,6 +27,10 @@ from skyweave.operators.matching import add_blocks, block_candidates
 
 #: Length of a shared cell edge (relative to the offset scale) that counts as contact.
 EDGE_TOLERANCE = 1e-9
+#: Most monitors of one key that a block of cells may gather.
+GROUP_LIMIT = 20_000
+#: Side of a block of cells is 2**BLOCK cells.
+BLOCK = 3
 
 
 def neighbour_weights(dx: np.ndarray, dy: np.ndarray, power: float) -> np.ndarray:
@@ -52,7 +62,47 @@ def average_block(tx, ty, cx, cy, values, k: int, power: float) -> np.ndarray:
         pick = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
     weight = neighbour_weights(dx, dy, power)[:, :, None]
     parts = np.where(weight > 0, weight * values[pick], 0.0)
-    return parts.sum(axis=1)
+    return np.where(weight.sum(axis=1) > 0, parts.sum(axis=1), np.nan)
+
+
+def fitting_tile(monitors: DataFrame, largest: int, k: int) -> int:
+    """Tile level at which about k monitors of the largest key fall in 3 x 3 tiles."""
+    box = monitors.agg(
+        (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
+    ).first()
+    area = max(box.w, 1e-6) * max(box.h, 1e-6)
+    return max(-30, min(BLOCK, math.floor(math.log2(math.sqrt(k * area / (9.0 * largest))))))
+
+
+def _by_block(cells: DataFrame, bare: DataFrame, keys: list[str], payload: list[str], cell, k: int) -> DataFrame:
+    """One row per block: its cells and every monitor that may be near one of them."""
+    placed = add_blocks(cells, F.col("COL") - 0.5, F.col("ROW") - 0.5, BLOCK)
+    by = [*keys, "bx", "by"]
+    blocks = placed.groupBy(*by).agg(F.collect_list(cell).alias("cells"))
+    pairs = block_candidates(placed.select(*by).distinct(), bare, keys, k, BLOCK)
+    near = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+    return blocks.join(near, by)
+
+
+def _by_cell(cells: DataFrame, bare: DataFrame, keys: list[str], payload: list[str], cell, k: int, level: int) -> DataFrame:
+    """One row per cell with its k nearest monitors; cells that are not wanted get none."""
+    by = [*keys, "ROW", "COL"]
+    x, y = F.col("COL") - 0.5, F.col("ROW") - 0.5
+    wanted = add_blocks(cells.filter("_in"), x, y, level)
+    blocks = wanted.select(*keys, "bx", "by").distinct()
+    pairs = wanted.select(*by, "bx", "by").join(
+        block_candidates(blocks, bare, keys, k, level), [*keys, "bx", "by"]
+    )
+    d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    order = Window.partitionBy(*by).orderBy("d2", "site")
+    nearest = (
+        pairs.withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    )
+    near = nearest.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+    done = cells.filter("_in").join(near, by).select(*keys, F.array(cell).alias("cells"), "c")
+    rest = cells.filter(~F.col("_in")).join(bare.select(*keys).distinct(), keys, "left_semi")
+    none = rest.select(*keys, F.array(cell).alias("cells"), F.lit(None).cast(near.schema["c"].dataType).alias("c"))
+    return done.unionByName(none.withColumn("c", F.coalesce("c", F.array().cast(near.schema["c"].dataType))))
 
 
 def voronoi_average(
@@ -65,7 +115,7 @@ def voronoi_average(
     site: str = "Site",
     k: int = 30,
     power: float = 2.0,
-    finest: int = 3,
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Interpolate ``measures`` of the monitors at the targets of the same key.
 
@@ -77,10 +127,9 @@ def voronoi_average(
     """
     carry = carry or []
     wanted = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
-    targets = targets.withColumn("_in", wanted)
-    cells = add_blocks(targets, F.col("COL") - 0.5, F.col("ROW") - 0.5, finest)
+    cells = targets.withColumn("_in", wanted)
     cell = F.struct("ROW", "COL", "_in", *carry)
-    blocks = cells.groupBy(*keys, "bx", "by").agg(F.collect_list(cell).alias("cells"))
+    payload = ["x", "y", *[f"m_{m}" for m in measures]]
     bare = monitors.select(
         *keys,
         F.col(site).alias("site"),
@@ -88,20 +137,20 @@ def voronoi_average(
         "y",
         *[F.coalesce(F.col(m), F.lit(float("nan"))).alias(f"m_{m}") for m in measures],
     )
-    pairs = block_candidates(cells.select(*keys, "bx", "by").distinct(), bare, keys, k, finest)
-    payload = ["x", "y", *[f"m_{m}" for m in measures]]
-    near = (
-        pairs.groupBy(*keys, "bx", "by")
-        .agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
-        .select(*keys, "bx", "by", *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload])
-    )
-    work = blocks.join(near, [*keys, "bx", "by"]).select(
+    sizes = monitors.groupBy(*keys).agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n").alias("n")).first().n or 0
+    if largest <= group_limit:
+        grouped = _by_block(cells, bare, keys, payload, cell, k)
+    else:
+        level = fitting_tile(monitors, largest, k)
+        grouped = _by_cell(cells, bare, keys, payload, cell, k, level)
+    work = grouped.select(
         *keys,
         "cells",
         F.col("cells.COL").alias("t_col"),
         F.col("cells.ROW").alias("t_row"),
         F.col("cells._in").alias("t_in"),
-        *[f"c_{p}" for p in payload],
+        *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload],
     )
     names = [f"vna_{m}" for m in measures]
     result_type = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">>"
@@ -114,15 +163,16 @@ def voronoi_average(
             for i in range(len(t_col)):
                 inside = np.asarray(t_in.iloc[i], dtype=bool)
                 block = np.full((len(inside), len(values)), np.nan)
-                block[inside] = average_block(
-                    np.asarray(t_col.iloc[i], dtype=float)[inside] - 0.5,
-                    np.asarray(t_row.iloc[i], dtype=float)[inside] - 0.5,
-                    np.asarray(c_x.iloc[i], dtype=float),
-                    np.asarray(c_y.iloc[i], dtype=float),
-                    np.column_stack([np.asarray(v.iloc[i], dtype=float) for v in values]),
-                    k,
-                    power,
-                )
+                if inside.any():
+                    block[inside] = average_block(
+                        np.asarray(t_col.iloc[i], dtype=float)[inside] - 0.5,
+                        np.asarray(t_row.iloc[i], dtype=float)[inside] - 0.5,
+                        np.asarray(c_x.iloc[i], dtype=float),
+                        np.asarray(c_y.iloc[i], dtype=float),
+                        np.column_stack([np.asarray(v.iloc[i], dtype=float) for v in values]),
+                        k,
+                        power,
+                    )
                 out.append([dict(zip(names, row)) for row in block.tolist()])
             yield pd.Series(out)
 

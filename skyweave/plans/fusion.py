@@ -76,7 +76,6 @@ def fuse(
     region: DataFrame | None = None,
     site: str = "Site",
     k: int = 30,
-    finest: int = 3,
 ) -> DataFrame:
     """Fused grid for every key that has monitors; NULL outside the region.
 
@@ -104,7 +103,6 @@ def fuse(
         where="inside" if region is not None else None,
         site=site,
         k=k,
-        finest=finest,
     )
     return averaged.select(
         *keys,

@@ -21,7 +21,7 @@ def listed_sites(sites: DataFrame, assignment: DataFrame, keys: list[str], site:
     return sites.join(groups, [*keys, site])
 
 
-def predict_folds(monitors: DataFrame, keys: list[str], site: str = "Site", k: int = 30, finest: int = 3) -> DataFrame:
+def predict_folds(monitors: DataFrame, keys: list[str], site: str = "Site", k: int = 30) -> DataFrame:
     """Predictions at the cell of each test site from the monitors of the other groups.
 
     ``monitors`` carry ``CVgroup`` and the matched model value ``mod``.  Folds
@@ -31,7 +31,7 @@ def predict_folds(monitors: DataFrame, keys: list[str], site: str = "Site", k: i
     training = training_folds(monitors, keys, "CVgroup").withColumn("CVgroup", F.col("fold")).drop("fold")
     cells = monitors.select(*keys, "CVgroup", "ROW", "COL").distinct()
     by = [*keys, "CVgroup"]
-    averaged = voronoi_average(training, cells, by, MEASURES, site=site, k=k, finest=finest)
+    averaged = voronoi_average(training, cells, by, MEASURES, site=site, k=k)
     joined = monitors.join(averaged, [*by, "ROW", "COL"], "left")
     return joined.select(
         *keys,

@@ -70,8 +70,9 @@ def brute(sites, values, cell, k):
     return float((weights(delta[order]) * values[order]).sum())
 
 
+@pytest.mark.parametrize("limit", [20_000, 5])
 @pytest.mark.parametrize("seed,n,spread", [(1, 200, 60.0), (2, 35, 300.0), (3, 500, 8.0), (4, 7, 50.0)])
-def test_distributed_average_equals_brute_force(spark, seed, n, spread):
+def test_distributed_average_equals_brute_force(spark, seed, n, spread, limit):
     """Sparse, dense, clustered and too few monitors all give the k nearest exactly."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -85,7 +86,7 @@ def test_distributed_average_equals_brute_force(spark, seed, n, spread):
     targets = spark.createDataFrame(cells, "day INT, ROW INT, COL INT")
     got = {
         (r.day, r.ROW, r.COL): (r.vna_ozone, r.vna_one)
-        for r in voronoi_average(monitors, targets, ["day"], ["ozone", "one"], finest=1).collect()
+        for r in voronoi_average(monitors, targets, ["day"], ["ozone", "one"], group_limit=limit).collect()
     }
     assert {k[0] for k in got} == {1, 2}
     for day in (1, 2):
@@ -98,6 +99,16 @@ def test_distributed_average_equals_brute_force(spark, seed, n, spread):
                 assert one == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("limit", [20_000, 1])
+def test_unwanted_targets_stay_null(spark, limit):
+    monitors = spark.createDataFrame(
+        [(0, "a", 0.0, 0.0, 3.0), (0, "b", 9.0, 0.0, 5.0)], "k INT, Site STRING, x DOUBLE, y DOUBLE, ozone DOUBLE"
+    )
+    targets = spark.createDataFrame([(0, 1, 1, True, 7.0), (0, 1, 2, None, 8.0), (1, 1, 1, True, 9.0)], "k INT, ROW INT, COL INT, ok BOOLEAN, model DOUBLE")
+    got = voronoi_average(monitors, targets, ["k"], ["ozone"], ["model"], "ok", group_limit=limit).collect()
+    assert sorted((r.COL, r.model, r.vna_ozone is None) for r in got) == [(1, 7.0, False), (2, 8.0, True)]
+
+
 def test_null_measure_voids_the_average(spark):
     monitors = spark.createDataFrame(
         [(0, "a", 0.0, 0.0, None, 1.0), (0, "b", 2.0, 0.0, 4.0, 1.0)],
