@@ -60,20 +60,35 @@ def fit_statistics(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def score_cube(df: DataFrame, truth: str, predicted: str, time: str = "Timestamp", fold: str = "Fold") -> DataFrame:
-    """Scores per (time, fold), per time, per fold and overall, each from its own rows."""
-    label = lambda c: F.when(F.grouping(c) == 1, F.lit("Mean")).otherwise(F.col(c)).alias(c)
-    text = paired(df, truth, predicted).select(
-        F.col(time).cast("string").alias(time), F.col(fold).cast("string").alias(fold), truth, predicted
-    )
-    rows = text.cube(time, fold).agg(
-        label(time).alias("t"),
-        label(fold).alias("f"),
+    """Scores per (time, fold), per time, per fold and overall, each from its own rows.
+
+    The rows are summed once per (time, fold); the cube then only repeats those
+    sums, and every level's scores follow from its totals.
+    """
+    y, d = F.col(truth), F.col(predicted) - F.col(truth)
+    sums = paired(df, truth, predicted).groupBy(
+        F.col(time).cast("string").alias(time), F.col(fold).cast("string").alias(fold)
+    ).agg(
         F.count("*").alias("n"),
-        r2_score(truth, predicted).alias("R2"),
-        *errors(truth, predicted),
+        F.sum(y).alias("y"),
+        F.sum(y * y).alias("yy"),
+        F.sum(d).alias("d"),
+        F.sum(d * d).alias("dd"),
+        F.sum(F.abs(d)).alias("ad"),
+    )
+    label = lambda c: F.when(F.grouping(c) == 1, F.lit("Mean")).otherwise(F.col(c))
+    totals = sums.cube(time, fold).agg(
+        label(time).alias("t"), label(fold).alias("f"), *[F.sum(c).alias(c) for c in ("n", "y", "yy", "d", "dd", "ad")]
     )
-    return rows.select(
-        F.col("t").alias(time), F.col("f").alias(fold), "n", "R2", "RMSE", "MB", "MAE"
+    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    return totals.select(
+        F.col("t").alias(time),
+        F.col("f").alias(fold),
+        "n",
+        F.when(spread > F.col("yy") * 1e-12, 1 - F.col("dd") / spread).alias("R2"),
+        F.sqrt(F.col("dd") / F.col("n")).alias("RMSE"),
+        (F.col("d") / F.col("n")).alias("MB"),
+        (F.col("ad") / F.col("n")).alias("MAE"),
     )
 
 

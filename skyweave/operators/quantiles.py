@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
+from skyweave.session import cut_lineage
+
+HOT_ROWS = 200_000
 BINS = 1024
 
 
@@ -32,6 +34,7 @@ def exact_percentiles(
         return df.groupBy(*keys).agg(*native)
     if not keys:
         return ranked_percentiles(df, keys, wanted)
+    hot = cut_lineage(hot)
     ordinary = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*native)
     ranked = ranked_percentiles(df.join(hot, keys, "left_semi"), keys, wanted)
     return ordinary.unionByName(hot.join(ranked, keys, "left"))
