@@ -1,9 +1,12 @@
-"""Session settings, shared scratch space and lineage cuts."""
+"""Session settings, shared scratch space, lineage cuts and code shipping."""
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_SHIPPED = "spark.skyweave.shipped"
+
 
 def build_session(app: str = "skyweave", master: str | None = None, **extra: str) -> SparkSession:
     """Start (or reuse) a session; ``extra`` overrides any setting."""
@@ -25,18 +30,43 @@ def build_session(app: str = "skyweave", master: str | None = None, **extra: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The UDFs call functions of the package, and a worker has neither the
+    driver's working directory nor its ``sys.path``.
+    """
+    context = spark.sparkContext
+    if context.getLocalProperty(_SHIPPED) == context.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "skyweave.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(target)
+    context.setLocalProperty(_SHIPPED, context.applicationId)
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder shared by all executors, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own machine.
+    Only a session whose executors are threads of the driver may fall back to a
+    folder of its own machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", own)
