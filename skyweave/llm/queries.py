@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyweave.llm.bestfit import packed_documents
 from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
+from skyweave.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +25,13 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,3 +42,13 @@ def op3_simhash_groups(spark, sf_dir):
     return groups.select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@_query
+def op5_best_fit_packing(spark, sf_dir):
+    return packed_documents(_table(spark, sf_dir, "documents"), vocabulary(), capacity=1024)
+
+
+@_query
+def op10_token_counts(spark, sf_dir):
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
