@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm.bestfit import packed_documents
+from skyweave.llm.quality import quality_verdicts
 from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
 from skyweave.llm.tokens import token_counts
@@ -52,3 +53,8 @@ def op5_best_fit_packing(spark, sf_dir):
 @_query
 def op10_token_counts(spark, sf_dir):
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary(), limit=1024)
+
+
+@_query
+def op9_quality_rules(spark, sf_dir):
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
