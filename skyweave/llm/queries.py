@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm.bestfit import packed_documents
+from skyweave.llm.decontaminate import contamination
 from skyweave.llm.quality import quality_verdicts
 from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
@@ -58,3 +59,8 @@ def op10_token_counts(spark, sf_dir):
 @_query
 def op9_quality_rules(spark, sf_dir):
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_benchmark_decontamination(spark, sf_dir):
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
