@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyweave.llm.bestfit import packed_documents
 from skyweave.llm.decontaminate import contamination
 from skyweave.llm.quality import quality_verdicts
+from skyweave.llm.secret_scan import found_secrets
 from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
 from skyweave.llm.tokens import token_counts
@@ -64,3 +65,8 @@ def op9_quality_rules(spark, sf_dir):
 @_query
 def op7_benchmark_decontamination(spark, sf_dir):
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op6_secret_scan(spark, sf_dir):
+    return found_secrets(_table(spark, sf_dir, "documents"))
