@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.bestfit import packed_documents
 from skyweave.llm.decontaminate import contamination
+from skyweave.llm.kdshards import sharded
 from skyweave.llm.quality import quality_verdicts
 from skyweave.llm.secret_scan import found_secrets
 from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
 from skyweave.llm.tokens import token_counts
+from skyweave.llm.warc import archived_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +72,26 @@ def op7_benchmark_decontamination(spark, sf_dir):
 @_query
 def op6_secret_scan(spark, sf_dir):
     return found_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_warc_archives(spark, sf_dir):
+    pages = archived_pages(_table(spark, sf_dir, "pages"), payloads=False)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op1_warc_archives"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (
+  SELECT digest, size, max(page_id) AS first_id FROM p WHERE size >= 1000 GROUP BY digest, size HAVING count(*) > 1
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id IS NULL OR page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g USING (digest, size)"""
+
+
+@_query
+def op2_kd_tree_shards(spark, sf_dir):
+    return sharded(_table(spark, sf_dir, "documents"), 8)
