@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skyweave.llm.bestfit import packed_documents
 from skyweave.llm.decontaminate import contamination
 from skyweave.llm.kdshards import sharded
+from skyweave.llm.langid import identified
 from skyweave.llm.quality import quality_verdicts
 from skyweave.llm.secret_scan import found_secrets
 from skyweave.llm.simhash import simhash_groups
@@ -95,3 +96,8 @@ FROM p LEFT JOIN g USING (digest, size)"""
 @_query
 def op2_kd_tree_shards(spark, sf_dir):
     return sharded(_table(spark, sf_dir, "documents"), 8)
+
+
+@_query
+def op8_language_id(spark, sf_dir):
+    return identified(_table(spark, sf_dir, "documents"))
