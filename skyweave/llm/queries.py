@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.bestfit import packed_documents
 from skyweave.llm.decontaminate import contamination
+from skyweave.llm.hmm import scored
 from skyweave.llm.kdshards import sharded
 from skyweave.llm.langid import identified
 from skyweave.llm.quality import quality_verdicts
@@ -101,3 +102,8 @@ def op2_kd_tree_shards(spark, sf_dir):
 @_query
 def op8_language_id(spark, sf_dir):
     return identified(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_hidden_markov_scores(spark, sf_dir):
+    return scored(_table(spark, sf_dir, "documents"))
