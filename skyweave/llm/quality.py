@@ -170,13 +170,24 @@ def fit_platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
     """Slope and shift of the calibrated probability, by Newton steps on smoothed labels."""
     good, bad = labels.sum(), len(labels) - labels.sum()
     goal = np.where(labels > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    design = np.column_stack([margins, np.ones(len(margins))])
+    # Unit spread, so that the weak prior on the point means the same for every fit.
+    spread = float(margins.std()) or 1.0
+    design = np.column_stack([margins / spread, np.ones(len(margins))])
     point = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = design @ at
+        return float((np.logaddexp(0, z) - goal * z).sum() + 0.5e-3 * (at @ at))
+
     for _ in range(rounds):
         p = _logistic(design @ point)
-        slope = design.T @ (p - goal) + 1e-3 * (point - [1.0, 0.0])
+        slope = design.T @ (p - goal) + 1e-3 * point
         bend = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        point = point - np.linalg.solve(bend, slope)
+        step, now = np.linalg.solve(bend, slope), loss(point)
+        while np.abs(step).max() > 1e-9 and loss(point - step) > now:
+            step = step / 2
+        point = point - step
+    point[0] /= spread
     return float(point[0]), float(point[1])
 
 
@@ -247,3 +258,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, t
         )
 
     return map_batches(id_text(docs), run, f"doc_id bigint, {RULES}, base_failed boolean, probability double, kept boolean")
+
+
+def quality_filtered(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs``, all columns, without the rows that the rules or the classifier reject."""
+    model = fit_quality(docs, labels, sample)
+
+    def good(text: str | None) -> bool:
+        n_words, _, _, _, repeats = text_rules(text)
+        return not fails(n_words, repeats) and (model is None or model.probability(text) >= threshold)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([good(t) for t in texts_of(batch)], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

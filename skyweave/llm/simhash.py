@@ -149,3 +149,21 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = cut_lineage(placed.join(named, "root").select("bits", "component_id"))
     return prints.join(labels, "bits").select("doc_id", "bits", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """``docs``, all columns, with the smallest ``doc_id`` of each group only.
+
+    Of repeated rows of that id one stays.  A group without any id keeps all of
+    its rows, as nothing tells them apart.
+    """
+    groups = cut_lineage(simhash_groups(docs, shingle, max_bits))
+    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = stays.groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    counted = cut_lineage(counted.select(F.col("doc_id").alias("_stays"), "_copies"))
+    kept = docs.join(counted, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stays")))
+    if counted.filter("_copies > 1 and _stays is not null").isEmpty():
+        return kept.drop("_stays", "_copies")
+    several = (F.col("_copies") > 1) & F.col("_stays").isNotNull()
+    again = kept.filter(several).dropDuplicates(["_stays"])
+    return kept.filter(~several).unionByName(again).drop("_stays", "_copies")

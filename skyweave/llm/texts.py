@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from skyweave.session import ship_package
 
-#: Rows of an Arrow batch; a batch of the longest texts still fits a small worker.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Rows that one task numbers at most (on average).
 BUCKET_ROWS = 20_000
 
@@ -21,6 +21,7 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

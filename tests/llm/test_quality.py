@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from skyweave.llm.queries import QUERIES
-from skyweave.llm.quality import covered_by_repeats, quality_verdicts
+from skyweave.llm.quality import covered_by_repeats, fit_platt, quality_verdicts
 
 
 def brute_rules(text):
@@ -52,3 +54,14 @@ def test_odd_labels(spark, make, edges):
     labels = spark.createDataFrame([(9007, None), (None, 1), (9008, 5), (9006, 1), (9006, 0)], "doc_id long, quality int")
     rows = quality_verdicts(make(edges), labels).collect()
     assert len(rows) == len(edges)
+
+
+def test_calibration_follows_the_shares():
+    rng = np.random.default_rng(0)
+    margins = rng.normal(size=4000) * 30
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-(0.1 * margins - 1)))).astype(float)
+    slope, shift = fit_platt(margins, truth)
+    assert abs(slope - 0.1) < 0.02 and abs(shift + 1) < 0.2
+    apart = np.r_[np.full(300, 25.0), np.full(100, -25.0)]
+    slope, shift = fit_platt(apart, (apart > 0).astype(float))
+    assert 0.95 < 1 / (1 + np.exp(-(25 * slope + shift))) < 0.9999
