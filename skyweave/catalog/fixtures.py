@@ -262,7 +262,7 @@ def tz_site(spark, sf):
     Lon = -120 + l_suppkey % 40 * 91 % 2999 / 64.0"""
         ),
     ).distinct()
-    return columns(
+    listed = columns(
         sites.filter("n % 4 <> 0"),
         """
     site_id = CAST(n AS STRING)
@@ -271,6 +271,17 @@ def tz_site(spark, sf):
     gmt_offset = CAST(-5 - n % 4 AS DOUBLE)
     epa_region = concat('R', CAST(n % 10 AS STRING))""",
     )
+    # Sites without observations, closer to the unlisted ones than any other.
+    unobserved = columns(
+        sites,
+        """
+    site_id = CAST(n + 1000 AS STRING)
+    Lat = Lat + 1 / 64D
+    Lon = Lon + 1 / 64D
+    gmt_offset = -9D
+    epa_region = 'X'""",
+    )
+    return listed.unionByName(unobserved)
 
 
 def model_hourly(spark, sf):
@@ -295,9 +306,14 @@ SQL_VIEWS["obs_hours"] = (
 )
 SQL_VIEWS["tz_site"] = (
     """SELECT CAST(n AS VARCHAR) AS site_id, Lat, Lon, CAST(-5 - n % 4 AS DOUBLE) AS gmt_offset,
-    'R' || CAST(n % 10 AS VARCHAR) AS epa_region FROM (SELECT DISTINCT CAST(l_suppkey % 40 + 1 AS INTEGER) AS n,
+    'R' || CAST(n % 10 AS VARCHAR) AS epa_region FROM tz_places WHERE n % 4 <> 0
+    UNION ALL SELECT CAST(n + 1000 AS VARCHAR), Lat + 1 / 64.0, Lon + 1 / 64.0, CAST(-9 AS DOUBLE), 'X' FROM tz_places""",
+    ["tz_places"],
+)
+SQL_VIEWS["tz_places"] = (
+    """SELECT DISTINCT CAST(l_suppkey % 40 + 1 AS INTEGER) AS n,
     30 + l_suppkey % 40 * 37 % 1000 / 64.0 AS Lat, -120 + l_suppkey % 40 * 91 % 2999 / 64.0 AS Lon
-    FROM lineitem) WHERE n % 4 <> 0""",
+    FROM lineitem""",
     [],
 )
 SQL_VIEWS["model_hourly"] = (

@@ -168,10 +168,10 @@ for _name, _column in (("f02_additive_fusion", "avna_ozone"), ("f03_ratio_fusion
 
 
 # Hourly fusion: offsets by site, missing ones from the nearest known site.
-OFFSETS = """zoned AS (SELECT o.*, coalesce(t.gmt_offset, n.gmt_offset) AS gmt_offset, coalesce(t.epa_region, n.epa_region) AS epa_region FROM obs_hours o LEFT JOIN tz_site t USING (site_id)
+OFFSETS = """zoned AS (SELECT o.*, coalesce(t.gmt_offset, n.gmt_offset) AS gmt_offset, coalesce(t.epa_region, n.epa_region) AS epa_region FROM obs_hours o LEFT JOIN (SELECT * FROM tz_site WHERE gmt_offset IS NOT NULL) t USING (site_id)
  LEFT JOIN (SELECT m.site_id, arg_min(k.gmt_offset, {'d': (m.Lat - k.Lat) * (m.Lat - k.Lat) + (m.Lon - k.Lon) * (m.Lon - k.Lon), 's': k.site_id}) AS gmt_offset,
  arg_min(k.epa_region, {'d': (m.Lat - k.Lat) * (m.Lat - k.Lat) + (m.Lon - k.Lon) * (m.Lon - k.Lon), 's': k.site_id}) AS epa_region
- FROM (SELECT site_id, min(Lat) AS Lat, min(Lon) AS Lon FROM obs_hours GROUP BY site_id) m, tz_site k WHERE m.site_id NOT IN (SELECT site_id FROM tz_site) GROUP BY m.site_id) n USING (site_id))"""
+ FROM (SELECT site_id, min(Lat) AS Lat, min(Lon) AS Lon FROM obs_hours GROUP BY site_id) m, tz_site k WHERE m.site_id NOT IN (SELECT site_id FROM tz_site WHERE gmt_offset IS NOT NULL) AND k.gmt_offset IS NOT NULL AND k.site_id IN (SELECT site_id FROM obs_hours) GROUP BY m.site_id) n USING (site_id))"""
 _UTC = """sites AS (SELECT site_id AS site, dateon - to_hours(CAST(gmt_offset AS INTEGER)) AS TSTEP, avg(O3) AS ozone, avg(Lat) AS Lat, avg(Lon) AS Lon, min(gmt_offset) AS gmt_offset FROM zoned GROUP BY ALL)"""
 _HMODEL = "mdl AS (SELECT TSTEP, ROW, COL, O3 AS v FROM model_hourly)"
 HOURLY_VIEWS = "obs_hours tz_site model_hourly"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.session import cut_lineage
+from skyweave.operators.shelves import running, shelved
 
 
 def distinct_sites(df: DataFrame, site: str, by: list[str] | None = None) -> DataFrame:
@@ -181,28 +181,15 @@ def grid_days_complete(df: DataFrame, date: str, cells: int) -> DataFrame:
     return df.groupBy(date).agg(F.count("*").alias("n")).withColumn("complete", F.col("n") == cells)
 
 
-def positions(
-    df: DataFrame, by: list[str], order: str, then: list[str] | None = None, shelves: int = 1024
-) -> DataFrame:
+def positions(df: DataFrame, by: list[str], order: str, then: list[str] | None = None) -> DataFrame:
     """Zero-based position ``_p`` of each row in its group by a numeric column.
 
-    A group is ranked shelf by shelf (equal value ranges), and each shelf starts
-    where the counts of the shelves before it end: no task orders a whole group.
+    A group is ranked shelf by shelf, and each shelf starts where the counts of
+    the shelves before it end: no task orders a whole group.
     """
-    span = cut_lineage(df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi")))
-    width = (F.col("_hi") - F.col("_lo") + 1) / shelves
-    placed = df.join(span, by).withColumn(
-        "_s", F.floor((F.col(order) - F.col("_lo")) / width)
-    ).drop("_lo", "_hi")
-    counts = placed.groupBy(*by, "_s").agg(F.count("*").alias("_c"))
-    running = F.sum("_c").over(Window.partitionBy(*by).orderBy("_s"))
-    starts = cut_lineage(counts.select(*by, "_s", (running - F.col("_c")).alias("_start")))
-    inside = F.row_number().over(Window.partitionBy(*by, "_s").orderBy(order, *(then or [])))
-    return (
-        placed.join(starts, [*by, "_s"])
-        .withColumn("_p", F.col("_start") + inside - 1)
-        .drop("_s", "_start")
-    )
+    sort = [order, *(then or [])]
+    ranked = running(shelved(df.withColumn("_1", F.lit(1)), by, sort), by, sort, "_1", "_p")
+    return ranked.withColumn("_p", F.col("_p") - 1).drop("_1", "_total")
 
 
 def numbered(df: DataFrame, by: list[str], order: str, rows: int, column_major: bool = True) -> DataFrame:

@@ -12,8 +12,9 @@ from skyweave.session import cut_lineage
 def with_site_offsets(obs: DataFrame, tz_site: DataFrame, fill: bool = True) -> DataFrame:
     """Offset and region of each observation's site.
 
-    The site's own coordinates win.  ``fill`` gives sites without an entry the
-    values of the nearest site that has one (distance in degrees).
+    A site's own entry wins.  ``fill`` gives sites without one the values of the
+    nearest observed site that has one (distance in degrees): only sites that
+    occur in the observations are candidates.
     """
     take = ["gmt_offset", "epa_region"]
     zones = tz_site.select("site_id", *take)
@@ -22,7 +23,7 @@ def with_site_offsets(obs: DataFrame, tz_site: DataFrame, fill: bool = True) ->
     sites = cut_lineage(
         obs.groupBy("site_id").agg(F.min("Lat").alias("Lat"), F.min("Lon").alias("Lon"))
     )
-    known = tz_site.filter(F.col("gmt_offset").isNotNull())
+    known = tz_site.filter(F.col("gmt_offset").isNotNull()).join(sites, "site_id", "left_semi")
     missing = sites.join(known, "site_id", "left_anti")
     found = nearest_known(missing, known, "site_id", "site_id", "Lon", "Lat", take)
     resolved = cut_lineage(known.select("site_id", *take).unionByName(found))
@@ -51,16 +52,16 @@ def fill_from(df: DataFrame, other: DataFrame, keys: list[str], column: str) ->
 
 
 def densify(df: DataFrame, cells: DataFrame, label: str, labels: DataFrame | list) -> DataFrame:
-    """Every cell for every label (a short list), missing values NULL.
+    """Every cell for every label, missing values NULL.
 
-    The labels are laid out beside each cell, so no pair of tables is crossed.
+    The distinct labels are laid out beside each cell as one array (a scalar
+    subquery), so no pair of tables is crossed and nothing reaches the driver.
     """
-    names = labels if isinstance(labels, list) else [r[0] for r in labels.select(label).distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("too many labels to densify")
-    grid = cells.select("ROW", "COL").withColumn(
-        label, F.explode(F.array(*[F.lit(n) for n in sorted(names)]))
-    )
+    if isinstance(labels, list):
+        names = F.array(*[F.lit(n) for n in sorted(labels)])
+    else:
+        names = labels.agg(F.array_sort(F.collect_set(label)).alias("names")).scalar()
+    grid = cells.select("ROW", "COL").withColumn(label, F.explode(names))
     return grid.join(df, ["ROW", "COL", label], "left")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import exposure_bin, row_spread
 from skyweave.operators.quantiles import exact_percentiles
+from skyweave.operators.shelves import running, shelved
 from skyweave.session import cut_lineage
 
 
@@ -63,29 +64,41 @@ def score_cube(df: DataFrame, truth: str, predicted: str, time: str = "Timestamp
     """Scores per (time, fold), per time, per fold and overall, each from its own rows.
 
     The rows are summed once per (time, fold); the cube then only repeats those
-    sums, and every level's scores follow from its totals.
+    sums, and every level's scores follow from its totals.  The spread of the
+    truth is carried as count, mean and sum of squares around the mean, which
+    merge without cancellation: around the level's own mean, the squares are
+    those within the parts plus those of the parts' means.
     """
     y, d = F.col(truth), F.col(predicted) - F.col(truth)
     sums = paired(df, truth, predicted).groupBy(
         F.col(time).cast("string").alias(time), F.col(fold).cast("string").alias(fold)
     ).agg(
         F.count("*").alias("n"),
-        F.sum(y).alias("y"),
-        F.sum(y * y).alias("yy"),
+        F.avg(y).alias("mean"),
+        (F.var_pop(y) * F.count("*")).alias("within"),
         F.sum(d).alias("d"),
         F.sum(d * d).alias("dd"),
         F.sum(F.abs(d)).alias("ad"),
     )
-    label = lambda c: F.when(F.grouping(c) == 1, F.lit("Mean")).otherwise(F.col(c))
-    totals = sums.cube(time, fold).agg(
-        label(time).alias("t"), label(fold).alias("f"), *[F.sum(c).alias(c) for c in ("n", "y", "yy", "d", "dd", "ad")]
+    label = lambda c: F.when(F.grouping(c) == 1, F.lit("Mean")).otherwise(F.col(c))
+    # Means are taken from a value of the column, so that their squares stay small.
+    anchor = one_value(sums.agg(F.min("mean").alias("anchor")), "anchor")
+    shift = F.col("mean") - F.col("anchor")
+    totals = sums.withColumn("anchor", anchor).cube(time, fold).agg(
+        label(time).alias("t"),
+        label(fold).alias("f"),
+        F.sum("within").alias("within"),
+        F.sum(F.col("n") * shift).alias("s"),
+        F.sum(F.col("n") * shift * shift).alias("ss"),
+        *[F.sum(c).alias(c) for c in ("n", "d", "dd", "ad")],
     )
-    spread = F.col("yy") - F.col("y") * F.col("y") / F.col("n")
+    between = F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+    spread = F.col("within") + between
     return totals.select(
         F.col("t").alias(time),
         F.col("f").alias(fold),
         "n",
-        F.when(spread > F.col("yy") * 1e-12, 1 - F.col("dd") / spread).alias("R2"),
+        F.when(spread > 0, 1 - F.col("dd") / spread).alias("R2"),
         F.sqrt(F.col("dd") / F.col("n")).alias("RMSE"),
         (F.col("d") / F.col("n")).alias("MB"),
         (F.col("ad") / F.col("n")).alias("MAE"),
@@ -212,32 +225,16 @@ def one_value(totals: DataFrame, name: str) -> Column:
 def empirical_cdf(df: DataFrame, value: str) -> DataFrame:
     """Distinct values, their row count and the first and last step of the curve.
 
-    Rows are counted per value first.  The running total is taken within value
-    ranges and shifted by the totals of the ranges below, so that no single
-    task has to order the whole column.
+    Rows are counted per value first; the running total is taken shelf by shelf
+    (ranges with about as many values each), so no task orders the column.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    span = counts.agg(
-        F.min(value).alias("low"), F.max(value).alias("high"), F.sum("c").alias("total")
-    )
-    shelves = 1024
-    low, width = one_value(span, "low"), (one_value(span, "high") - one_value(span, "low")) / shelves
-    placed = counts.withColumn(
-        "shelf", F.when(width > 0, F.floor((F.col(value) - low) / width)).otherwise(F.lit(0))
-    )
-    below = (
-        placed.groupBy("shelf")
-        .agg(F.sum("c").alias("s"))
-        .withColumn("below", F.sum("s").over(Window.orderBy("shelf")) - F.col("s"))
-        .drop("s")
-    )
-    upto = F.col("below") + F.sum("c").over(Window.partitionBy("shelf").orderBy(value))
-    total = one_value(span, "total")
-    return placed.join(below, "shelf").select(
+    upto = running(shelved(counts, [], [value]), [], [value], "c", "upto")
+    return upto.select(
         value,
         F.col("c").alias("n"),
-        ((upto - F.col("c") + 1) / total).alias("cdf_first"),
-        (upto / total).alias("cdf_last"),
+        ((F.col("upto") - F.col("c") + 1) / F.col("_total")).alias("cdf_first"),
+        (F.col("upto") / F.col("_total")).alias("cdf_last"),
     )
 
 

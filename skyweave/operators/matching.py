@@ -4,19 +4,21 @@ Candidates come from a pyramid of square tiles.  A tile of side ``s`` whose
 3 x 3 surroundings hold at least ``k`` sites proves that the k-th nearest site
 of any point in it lies within ``2*sqrt(2)*s``, so the sites of the 7 x 7
 surroundings are a complete candidate set.  Each block of points takes the
-finest level that gives this proof; the coarsest level covers the whole plane.
-Everything is an equi-join on tile numbers, and no pair of tables is crossed.
+finest level that gives this proof.  Above the coarsest level there is one root
+tile that holds every site; a block without any proof takes it, so no site is
+ever out of reach.  Everything is an equi-join on tile numbers, and no pair of
+tables is crossed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.projection import LambertConic, nearest_index
 
-#: Tiles of side 2**TOP cells at the origin hold any projected point on Earth.
-TOP = 12
+#: Levels of square tiles above the finest; beyond them comes the root.
+LEVELS = 16
 
 
 def locate_sites(
@@ -47,18 +49,20 @@ def tile(coordinate: Column, level: int) -> Column:
     return F.floor(coordinate / F.lit(float(2.0**level)))
 
 
-def _levels(finest: int) -> Column:
-    return F.sequence(F.lit(finest), F.lit(TOP))
+def _pyramid(df: DataFrame, finest: int) -> DataFrame:
+    """Rows of block (bx, by) once per level with their tile; the root tile is (0, 0)."""
+    root = F.col("level") == finest + LEVELS
+    up = F.pow(F.lit(2.0), F.col("level") - finest)
+    at = lambda c: F.when(root, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(c) / up).cast("bigint"))
+    levels = F.explode(F.sequence(F.lit(finest), F.lit(finest + LEVELS)))
+    return df.withColumn("level", levels).withColumns({"tx": at("bx"), "ty": at("by")})
 
 
-def _parent(index: str, finest: int) -> Column:
-    return F.floor(F.col(index) / F.pow(F.lit(2.0), F.col("level") - finest)).cast("bigint")
-
-
-def _around(df: DataFrame, reach: int) -> DataFrame:
-    """Each row once for every tile at most ``reach`` tiles away."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    wide = df.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+def _around(df: DataFrame, reach: int, finest: int) -> DataFrame:
+    """Each row once for every tile at most ``reach`` tiles away; the root has no neighbours."""
+    root = F.col("level") == finest + LEVELS
+    steps = F.explode(F.when(root, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-reach), F.lit(reach))))
+    wide = df.withColumn("i", steps).withColumn("j", steps)
     return wide.withColumns({"tx": F.col("tx") + F.col("i"), "ty": F.col("ty") + F.col("j")}).drop("i", "j")
 
 
@@ -73,42 +77,44 @@ def block_candidates(
     """Sites that can be among the k nearest of any point of each block.
 
     ``blocks`` holds distinct ``keys, bx, by``; ``sites`` holds ``keys, x, y``
-    and any payload.  The result has one row per block and candidate site.
+    and any payload.  The result has one row per block and candidate site: of
+    those in reach of the proof, the ones no farther from the block's centre
+    than the k-th nearest plus the block's diagonal.
     """
+    by = [*keys, "level", "tx", "ty"]
     placed = add_blocks(sites, F.col("x"), F.col("y"), finest)
-    counted = (
-        placed.groupBy(*keys, "bx", "by")
-        .agg(F.count("*").alias("n"))
-        .withColumn("level", F.explode(_levels(finest)))
-        .select(*keys, "level", _parent("bx", finest).alias("tx"), _parent("by", finest).alias("ty"), "n")
-        .groupBy(*keys, "level", "tx", "ty")
-        .agg(F.sum("n").alias("n"))
-    )
-    spread = _around(counted, 1).groupBy(*keys, "level", "tx", "ty").agg(F.sum("n").alias("n"))
-    proven = spread.filter(F.col("n") >= k).select(*keys, "level", "tx", "ty")
-    tiles = blocks.select(*keys, "bx", "by", F.explode(_levels(finest)).alias("level")).withColumns(
-        {"tx": _parent("bx", finest), "ty": _parent("by", finest)}
+    counted = _pyramid(placed.groupBy(*keys, "bx", "by").agg(F.count("*").alias("n")), finest).groupBy(*by).agg(
+        F.sum("n").alias("n")
     )
+    spread = _around(counted, 1, finest).groupBy(*by).agg(F.sum("n").alias("n"))
+    root = finest + LEVELS
+    proven = spread.filter((F.col("n") >= k) & (F.col("level") < root)).select(*by)
+    tiles = _pyramid(blocks.select(*keys, "bx", "by"), finest)
     chosen = (
-        tiles.join(proven.withColumn("ok", F.lit(1)), [*keys, "level", "tx", "ty"], "left")
+        tiles.join(proven.withColumn("ok", F.lit(1)), by, "left")
         .groupBy(*keys, "bx", "by")
-        .agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("level"))), F.lit(TOP)).alias("level"))
+        .agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("level"))), F.lit(root)).alias("_level"))
     )
     needed = _around(
-        chosen.withColumns({"tx": _parent("bx", finest), "ty": _parent("by", finest)}), 3
+        _pyramid(chosen, finest).filter(F.col("level") == F.col("_level")).drop("_level"), 3, finest
     )
-    copies = (
-        placed.withColumn("level", F.explode(_levels(finest)))
-        .withColumns({"tx": _parent("bx", finest), "ty": _parent("by", finest)})
-        .drop("bx", "by")
+    # Sites are copied to the tiles that are asked for only.
+    asked = needed.select(*by).distinct()
+    copies = _pyramid(placed, finest).drop("bx", "by").join(asked, by, "left_semi")
+    pairs = needed.join(copies, by)
+    side = float(2.0**finest)
+    middle = lambda b, c: (F.col(b) + 0.5) * side - F.col(c)
+    far = F.sqrt(middle("bx", "x") * middle("bx", "x") + middle("by", "y") * middle("by", "y"))
+    ranked = Window.partitionBy(*keys, "bx", "by").orderBy("_far")
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    diagonal = side * 1.4142136 * (1 + 1e-9)
+    kth = F.nth_value("_far", k).over(whole)
+    return (
+        pairs.withColumn("_far", far)
+        .withColumn("_kth", kth)
+        .filter(F.col("_kth").isNull() | (F.col("_far") <= F.col("_kth") + diagonal))
+        .drop("level", "tx", "ty", "_far", "_kth")
     )
-    pairs = needed.join(copies, [*keys, "level", "tx", "ty"])
-    # Corners of the surroundings lie beyond the proven distance.
-    side, reach = F.lit(float(2.0**finest)), F.pow(F.lit(2.0), F.col("level")) * 2.8284272
-    gap_x = F.greatest(F.col("bx") * side - F.col("x"), F.col("x") - (F.col("bx") + 1) * side, F.lit(0.0))
-    gap_y = F.greatest(F.col("by") * side - F.col("y"), F.col("y") - (F.col("by") + 1) * side, F.lit(0.0))
-    near = (F.col("level") == TOP) | (gap_x * gap_x + gap_y * gap_y <= reach * reach)
-    return pairs.filter(near).drop("level", "tx", "ty")
 
 
 def nearest_known(

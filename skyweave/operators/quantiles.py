@@ -1,9 +1,8 @@
 """Exact percentiles and ranked values that survive a dominating group.
 
-``percentile`` keeps every distinct value of a group in one buffer.  That is
-right for ordinary groups; a group above ``hot_rows`` is instead narrowed down
-to the one value bin that holds each wanted rank, with partial aggregation all
-the way, so no task ever holds the group.
+Equal values are counted with partial aggregation, the distinct values are
+dealt to shelves (sampled ranges), and only the shelves that hold a wanted rank
+are opened: no task ever holds a group.
 """
 
 from __future__ import annotations
@@ -11,93 +10,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.session import cut_lineage
+from skyweave.operators.shelves import join_null_safe, shelf_totals, shelved
 
-HOT_ROWS = 200_000
-BINS = 1024
 
-
-def exact_percentiles(
-    df: DataFrame,
-    keys: list[str],
-    wanted: dict[str, tuple[str, float]],
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
     """Linear-interpolated percentiles, ``wanted`` maps output to (column, p).
 
-    The group sizes are checked first (a count of the key columns only).
+    Groups without any value keep their row; a NULL key is a group like others.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > hot_rows).select(*keys)
-    native = [F.percentile(c, F.lit(p)).alias(out) for out, (c, p) in wanted.items()]
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*native)
-    if not keys:
-        return ranked_percentiles(df, keys, wanted)
-    hot = cut_lineage(hot)
-    ordinary = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*native)
-    ranked = ranked_percentiles(df.join(hot, keys, "left_semi"), keys, wanted)
-    return ordinary.unionByName(hot.join(ranked, keys, "left"))
-
-
-def ranked_percentiles(
-    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], bins: int = BINS
-) -> DataFrame:
-    """The same percentiles by value bins: count, locate the rank, open one bin."""
-    named = df.withColumn("one", F.lit(1)) if not keys else df
-    by = keys or ["one"]
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    wide = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+    counted = (
+        wide.unpivot(keys, [f"_c{i}" for i in range(len(columns))], "_name", "_v")
+        .groupBy(*keys, "_name", "_v")
+        .agg(F.count("*").alias("_c"))
+    )
+    by = [*keys, "_name"]
+    rows = shelved(counted, by, ["_v"])
+    valued = rows.filter(F.col("_v").isNotNull())
     wants = F.array(
         *[
-            F.struct(F.lit(out).alias("out"), F.col(c).cast("double").alias("v"), F.lit(p).alias("p"))
+            F.struct(F.lit(out).alias("out"), F.lit(f"_c{columns.index(c)}").alias("name"), F.lit(p).alias("p"))
             for out, (c, p) in wanted.items()
         ]
     )
-    values = (
-        named.select(*by, F.explode(wants).alias("w"))
-        .select(*by, "w.*")
-        .groupBy(*by, "out", "p", "v")
-        .agg(F.count("*").alias("c"))
-        .filter(F.col("v").isNotNull())
-    )
-    group = [*by, "out", "p"]
-    span = values.groupBy(*group).agg(
-        F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    own = F.explode(F.filter(wants, lambda w: w["name"] == F.col("_name"))).alias("_w")
+    # The shelves that hold the lower or the upper neighbour of a position.
+    opened = (
+        shelf_totals(valued, by, "_c")
+        .select(*by, "_shelf", "_sum", "_before", "_total", own)
+        .withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
+        .filter((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_sum") > F.floor("_pos")))
+        .select(*by, "_shelf", "_before", "_pos", F.col("_w.out").alias("_out"))
     )
-    width = (F.col("high") - F.col("low")) / bins
-    bin_no = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1)))
-    binned = values.join(span, group).withColumn("b", F.coalesce(bin_no, F.lit(0)))
-    position = F.col("p") * (F.col("n") - 1)
-    totals = (
-        binned.groupBy(*group, "n", "b")
-        .agg(F.sum("c").alias("c"))
-        .withColumn(
-            "before",
-            F.sum("c").over(Window.partitionBy(*group).orderBy("b")) - F.col("c"),
-        )
-    )
-    # The bins that hold the lower or the upper neighbour of the position.
-    open_bins = totals.filter(
-        (F.col("before") <= F.ceil(position)) & (F.col("before") + F.col("c") > F.floor(position))
-    ).select(*group, "b", "before")
-    upto = F.sum("c").over(Window.partitionBy(*group, "b").orderBy("v"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_shelf", "_out").orderBy("_v"))
     ranked = (
-        binned.join(open_bins, [*group, "b"])
-        .withColumn("last", F.col("before") + upto - 1)
-        .withColumn("first", F.col("last") - F.col("c") + 1)
-        .withColumn("pos", position)
-    )
-    at = lambda edge: F.max(
-        F.when((F.col("first") <= edge("pos")) & (F.col("last") >= edge("pos")), F.col("v"))
+        join_null_safe(valued, opened, [*by, "_shelf"])
+        .withColumn("_last", F.col("_before") + upto - 1)
+        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
     )
-    picked = ranked.groupBy(*group).agg(
-        F.max("pos").alias("pos"), at(F.floor).alias("lo"), at(F.ceil).alias("hi")
+    at = lambda edge: F.max(F.when(edge("_pos").between(F.col("_first"), F.col("_last")), F.col("_v")))
+    picked = ranked.groupBy(*keys, "_out").agg(
+        F.max("_pos").alias("_pos"), at(F.floor).alias("_lo"), at(F.ceil).alias("_hi")
     )
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))
-    wide = picked.withColumn("value", value)
-    out = wide.groupBy(*by).agg(
-        *[F.max(F.when(F.col("out") == o, F.col("value"))).alias(o) for o in wanted]
-    )
-    return out if keys else out.drop("one")
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
+    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_out") == o, value)).alias(o) for o in wanted])
+    if not keys:
+        return found
+    named = {o: f"_o{i}" for i, o in enumerate(wanted)}
+    groups = rows.select(*keys).distinct()
+    joined = join_null_safe(groups, found.withColumnsRenamed(named), keys, "left")
+    return joined.select(*keys, *[F.col(n).alias(o) for o, n in named.items()])
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -56,8 +56,8 @@ def period_mean(
     )
 
 
-def percentile_98(df: DataFrame, keys: list[str], columns: list[str], **kw) -> DataFrame:
-    return exact_percentiles(df, keys, {c: (c, 0.98) for c in columns}, **kw).withColumn(
+def percentile_98(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    return exact_percentiles(df, keys, {c: (c, 0.98) for c in columns}).withColumn(
         "Period", F.lit("98th")
     )
 

@@ -6,31 +6,28 @@ target itself takes all the weight.  Spark finds the candidates (tile joins)
 and moves them once, grouped by block of cells; inside a task each block is a
 handful of small arrays.
 
-A block may hold every monitor of its key, so the blocks are used only where
-the largest key is known to be small enough for one task.  Denser networks are
-ranked per cell instead: the k nearest are cut by a rank filter that runs
-before the shuffle too, and no group ever holds more than k monitors.
+A block gathers its cells and the monitors that can be among the k nearest of
+one of them: those within the k-th distance from its centre plus its diagonal.
+Their number follows the local density, not the size of the network.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyweave.functions.ozone import nan_to_null
 from skyweave.operators.matching import add_blocks, block_candidates
 
 #: Length of a shared cell edge (relative to the offset scale) that counts as contact.
 EDGE_TOLERANCE = 1e-9
-#: Most monitors of one key that a block of cells may gather.
-GROUP_LIMIT = 20_000
 #: Side of a block of cells is 2**BLOCK cells.
 BLOCK = 3
+#: Weights of blocks that a task remembers; days with equal monitors share them.
+REMEMBERED = 256
 
 
 def neighbour_weights(dx: np.ndarray, dy: np.ndarray, power: float) -> np.ndarray:
@@ -51,8 +48,8 @@ def neighbour_weights(dx: np.ndarray, dy: np.ndarray, power: float) -> np.ndarra
     return np.divide(weight, total, out=np.zeros_like(weight), where=total > 0)
 
 
-def average_block(tx, ty, cx, cy, values, k: int, power: float) -> np.ndarray:
-    """Averages (targets x measures) of one block; candidates come in id order."""
+def block_weights(tx, ty, cx, cy, k: int, power: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest candidates of each target and their weights; candidates come in id order."""
     dx, dy = cx[None, :] - tx[:, None], cy[None, :] - ty[:, None]
     d2 = dx * dx + dy * dy
     if d2.shape[1] > k:
@@ -60,49 +57,19 @@ def average_block(tx, ty, cx, cy, values, k: int, power: float) -> np.ndarray:
         dx, dy = np.take_along_axis(dx, pick, 1), np.take_along_axis(dy, pick, 1)
     else:
         pick = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
-    weight = neighbour_weights(dx, dy, power)[:, :, None]
-    parts = np.where(weight > 0, weight * values[pick], 0.0)
-    return np.where(weight.sum(axis=1) > 0, parts.sum(axis=1), np.nan)
+    return pick, neighbour_weights(dx, dy, power)
 
 
-def fitting_tile(monitors: DataFrame, largest: int, k: int) -> int:
-    """Tile level at which about k monitors of the largest key fall in 3 x 3 tiles."""
-    box = monitors.agg(
-        (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
-    ).first()
-    area = max(box.w, 1e-6) * max(box.h, 1e-6)
-    return max(-30, min(BLOCK, math.floor(math.log2(math.sqrt(k * area / (9.0 * largest))))))
-
-
-def _by_block(cells: DataFrame, bare: DataFrame, keys: list[str], payload: list[str], cell, k: int) -> DataFrame:
-    """One row per block: its cells and every monitor that may be near one of them."""
-    placed = add_blocks(cells, F.col("COL") - 0.5, F.col("ROW") - 0.5, BLOCK)
-    by = [*keys, "bx", "by"]
-    blocks = placed.groupBy(*by).agg(F.collect_list(cell).alias("cells"))
-    pairs = block_candidates(placed.select(*by).distinct(), bare, keys, k, BLOCK)
-    near = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
-    return blocks.join(near, by)
+def weighted_means(pick: np.ndarray, weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Averages (targets x measures); a target without neighbours has none."""
+    weight = weight[:, :, None]
+    parts = np.where(weight > 0, weight * values[pick], 0.0)
+    return np.where(weight.sum(axis=1) > 0, parts.sum(axis=1), np.nan)
 
 
-def _by_cell(cells: DataFrame, bare: DataFrame, keys: list[str], payload: list[str], cell, k: int, level: int) -> DataFrame:
-    """One row per cell with its k nearest monitors; cells that are not wanted get none."""
-    by = [*keys, "ROW", "COL"]
-    x, y = F.col("COL") - 0.5, F.col("ROW") - 0.5
-    wanted = add_blocks(cells.filter("_in"), x, y, level)
-    blocks = wanted.select(*keys, "bx", "by").distinct()
-    pairs = wanted.select(*by, "bx", "by").join(
-        block_candidates(blocks, bare, keys, k, level), [*keys, "bx", "by"]
-    )
-    d2 = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
-    order = Window.partitionBy(*by).orderBy("d2", "site")
-    nearest = (
-        pairs.withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    )
-    near = nearest.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
-    done = cells.filter("_in").join(near, by).select(*keys, F.array(cell).alias("cells"), "c")
-    rest = cells.filter(~F.col("_in")).join(bare.select(*keys).distinct(), keys, "left_semi")
-    none = rest.select(*keys, F.array(cell).alias("cells"), F.lit(None).cast(near.schema["c"].dataType).alias("c"))
-    return done.unionByName(none.withColumn("c", F.coalesce("c", F.array().cast(near.schema["c"].dataType))))
+def average_block(tx, ty, cx, cy, values, k: int, power: float) -> np.ndarray:
+    """Averages of one block."""
+    return weighted_means(*block_weights(tx, ty, cx, cy, k, power), values)
 
 
 def voronoi_average(
@@ -115,7 +82,6 @@ def voronoi_average(
     site: str = "Site",
     k: int = 30,
     power: float = 2.0,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Interpolate ``measures`` of the monitors at the targets of the same key.
 
@@ -127,8 +93,7 @@ def voronoi_average(
     """
     carry = carry or []
     wanted = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
-    cells = targets.withColumn("_in", wanted)
-    cell = F.struct("ROW", "COL", "_in", *carry)
+    cell = F.struct("ROW", "COL", wanted.alias("_in"), *carry)
     payload = ["x", "y", *[f"m_{m}" for m in measures]]
     bare = monitors.select(
         *keys,
@@ -137,51 +102,66 @@ def voronoi_average(
         "y",
         *[F.coalesce(F.col(m), F.lit(float("nan"))).alias(f"m_{m}") for m in measures],
     )
-    sizes = monitors.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n").alias("n")).first().n or 0
-    if largest <= group_limit:
-        grouped = _by_block(cells, bare, keys, payload, cell, k)
-    else:
-        level = fitting_tile(monitors, largest, k)
-        grouped = _by_cell(cells, bare, keys, payload, cell, k, level)
-    work = grouped.select(
-        *keys,
+    placed = add_blocks(targets, F.col("COL") - 0.5, F.col("ROW") - 0.5, BLOCK)
+    by = [*keys, "bx", "by"]
+    blocks = placed.groupBy(*by).agg(F.collect_list(cell).alias("cells"))
+    pairs = block_candidates(placed.select(*by).distinct(), bare, keys, k, BLOCK)
+    near = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+    work = blocks.join(near, by).select(
+        *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)],
         "cells",
-        F.col("cells.COL").alias("t_col"),
-        F.col("cells.ROW").alias("t_row"),
-        F.col("cells._in").alias("t_in"),
         *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload],
     )
     names = [f"vna_{m}" for m in measures]
-    result_type = "array<struct<" + ",".join(f"{n}:double" for n in names) + ">>"
-    m_columns = [f"c_m_{m}" for m in measures]
-
-    @F.pandas_udf(result_type)
-    def averages(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for t_col, t_row, t_in, c_x, c_y, *values in columns:
-            out = []
-            for i in range(len(t_col)):
-                inside = np.asarray(t_in.iloc[i], dtype=bool)
-                block = np.full((len(inside), len(values)), np.nan)
-                if inside.any():
-                    block[inside] = average_block(
-                        np.asarray(t_col.iloc[i], dtype=float)[inside] - 0.5,
-                        np.asarray(t_row.iloc[i], dtype=float)[inside] - 0.5,
-                        np.asarray(c_x.iloc[i], dtype=float),
-                        np.asarray(c_y.iloc[i], dtype=float),
-                        np.column_stack([np.asarray(v.iloc[i], dtype=float) for v in values]),
-                        k,
-                        power,
-                    )
-                out.append([dict(zip(names, row)) for row in block.tolist()])
-            yield pd.Series(out)
-
-    filled = work.withColumn("v", averages("t_col", "t_row", "t_in", "c_x", "c_y", *m_columns))
-    rows = filled.select(*keys, F.explode(F.arrays_zip("cells", "v")).alias("r"))
-    return rows.select(
-        *keys,
-        "r.cells.ROW",
-        "r.cells.COL",
-        *[F.col(f"r.cells.{c}").alias(c) for c in carry],
-        *[nan_to_null(F.col(f"r.v.{n}")).alias(n) for n in names],
+    columns = [c for c in ["ROW", "COL", *carry]]
+    cell_type = work.schema["cells"].dataType.elementType
+    schema = T.StructType(
+        [work.schema[f"_k{i}"] for i in range(len(keys))]
+        + [T.StructField(f"_c{i}", cell_type[c].dataType) for i, c in enumerate(columns)]
+        + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(names))]
     )
+    results = work.mapInArrow(_averages(len(keys), columns, payload, len(names), k, power), schema)
+    return results.select(
+        *[F.col(f"_k{i}").alias(key) for i, key in enumerate(keys)],
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)],
+        *[nan_to_null(F.col(f"_v{i}")).alias(n) for i, n in enumerate(names)],
+    )
+
+
+def _averages(n_keys: int, columns: list[str], payload: list[str], n_values: int, k: int, power: float):
+    """Blocks in, one row per cell out, as flat buffers."""
+
+    def run(batches):
+        known: dict[tuple[bytes, ...], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            cells = batch.column("cells")
+            sizes = np.asarray(cells.value_lengths())
+            bounds = np.r_[0, np.cumsum(sizes)]
+            flat = cells.flatten()
+            part = {c: flat.field(flat.type.get_field_index(c)) for c in [*columns, "_in"]}
+            tx, ty = (np.asarray(part[c], dtype=float) - 0.5 for c in ("COL", "ROW"))
+            inside = np.asarray(part["_in"], dtype=bool)
+            spans = batch.column(f"c_{payload[0]}")
+            edges = np.r_[0, np.cumsum(np.asarray(spans.value_lengths()))]
+            cx, cy, *values = (np.asarray(batch.column(f"c_{p}").flatten(), dtype=float) for p in payload)
+            table = np.column_stack(values)
+            out = np.full((len(flat), n_values), np.nan)
+            for i in range(batch.num_rows):
+                a, b = edges[i], edges[i + 1]
+                at = bounds[i] + np.flatnonzero(inside[bounds[i] : bounds[i + 1]])
+                if not len(at) or a == b:
+                    continue
+                place = (tx[at], ty[at], cx[a:b], cy[a:b])
+                key = tuple(p.tobytes() for p in place)
+                if key not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[key] = block_weights(*place, k, power)
+                out[at] = weighted_means(*known[key], table[a:b])
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            arrays = [batch.column(f"_k{i}").take(owner) for i in range(n_keys)]
+            arrays += [part[c] for c in columns] + [pa.array(out[:, j]) for j in range(n_values)]
+            labels = [f"_k{i}" for i in range(n_keys)] + [f"_c{i}" for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=labels + [f"_v{j}" for j in range(n_values)])
+
+    return run

@@ -16,8 +16,9 @@ from skyweave.operators import hourly as hr
 from skyweave.operators import quantiles as qu
 from skyweave.operators import regions as rg
 from skyweave.operators import trend as tr
-from skyweave.operators.combine import with_site_offsets
+from skyweave.operators.combine import densify, with_site_offsets
 from skyweave.operators.matching import nearest_known
+from skyweave.operators.shelves import shelved
 from skyweave.plans.validation import equal_site_folds, hash_folds
 from skyweave.session import cut_lineage, scratch_path
 from skyweave.sources import boundaries as bd
@@ -127,24 +128,57 @@ def test_ranked_percentiles_match_numpy(spark, shape):
     }[shape]
     df = spark.createDataFrame([(i % 2 if shape != "single" else 0, float(v)) for i, v in enumerate(values)], "k INT, v DOUBLE")
     wanted = {"lo": ("v", 0.005), "mid": ("v", 0.5), "hi": ("v", 0.98)}
-    hot = {r.k: r for r in qu.exact_percentiles(df, ["k"], wanted, hot_rows=1).collect()}
-    plain = {r.k: r for r in qu.exact_percentiles(df, ["k"], wanted).collect()}
-    for k, row in hot.items():
+    for k, row in {r.k: r for r in qu.exact_percentiles(df, ["k"], wanted).collect()}.items():
         mine = values[k::2] if shape != "single" else values
         for name, (_, p) in wanted.items():
             assert row[name] == pytest.approx(np.quantile(mine, p), abs=1e-9)
-            assert row[name] == pytest.approx(plain[k][name], abs=1e-9)
 
 
 def test_hot_group_is_split_from_ordinary_ones(spark):
     df = spark.range(5000).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.col("id").cast("double").alias("v"))
     wanted = {"p": ("v", 0.98)}
-    got = {r.k: r.p for r in qu.exact_percentiles(df, ["k"], wanted, hot_rows=1000).collect()}
+    got = {r.k: r.p for r in qu.exact_percentiles(df, ["k"], wanted).collect()}
     ids = np.arange(5000)
     assert got[0] == pytest.approx(np.quantile(ids[ids % 10 != 0], 0.98))
     assert got[1] == pytest.approx(np.quantile(ids[ids % 10 == 0], 0.98))
 
 
+def test_percentiles_of_null_groups_and_columns(spark):
+    rows = [(None, 1.0, None), (None, 4.0, None), ("a", None, 2.0), ("b", 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE, w DOUBLE")
+    got = qu.exact_percentiles(df, ["k"], {"p": ("v", 0.5), "q": ("w", 0.5)}).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 2.5, None), ("a", None, 2.0), ("b", 7.0, 7.0)], key=str)
+    assert tuple(qu.exact_percentiles(df, [], {"p": ("v", 0.5)}).first()) == (4.0,)
+    assert qu.exact_percentiles(df.filter("k = 'z'"), ["k"], {"p": ("v", 0.5)}).count() == 0
+
+
+def test_one_far_outlier_does_not_fill_a_shelf(spark):
+    df = spark.range(40000).select(F.lit(1).alias("k"), F.when(F.col("id") == 7, 1e15).otherwise(F.col("id")).cast("double").alias("v"))
+    wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in shelved(df, ["k"], ["v"]).groupBy("_shelf").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", wide)
+    assert len(sizes) == 8 and max(sizes) < 2 * 40000 / 8
+
+
+def test_cube_score_of_values_far_from_zero(spark):
+    rows = [(d, d % 3, 1e7 + v, 1e7 + v + e) for d in range(6) for v, e in ((-2.0, 0.5), (0.0, -0.5), (2.0, 0.25))]
+    df = spark.createDataFrame(rows, "Timestamp INT, Fold INT, y DOUBLE, p DOUBLE")
+    got = {(r.Timestamp, r.Fold): r.R2 for r in cp.score_cube(df, "y", "p").collect()}
+    want = df.agg(cp.r2_score("y", "p").alias("r")).first().r
+    assert got["Mean", "Mean"] == pytest.approx(want, abs=1e-6) and got["1", "1"] == pytest.approx(want, abs=1e-6)
+
+
+def test_densify_many_labels(spark):
+    cells = spark.createDataFrame([(1, 1), (1, 2)], "ROW INT, COL INT")
+    labels = spark.range(1500).select(F.col("id").alias("Period"))
+    df = spark.createDataFrame([(1, 2, 1400, 3.0)], "ROW INT, COL INT, Period LONG, v DOUBLE")
+    got = densify(df, cells, "Period", labels)
+    assert got.count() == 3000 and [tuple(r) for r in got.filter("v IS NOT NULL").collect()] == [(1, 2, 1400, 3.0)]
+
+
 def series(spark, values):
     rows = [(1, 2000 + i, v) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "k INT, Year INT, v DOUBLE")

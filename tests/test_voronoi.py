@@ -70,9 +70,8 @@ def brute(sites, values, cell, k):
     return float((weights(delta[order]) * values[order]).sum())
 
 
-@pytest.mark.parametrize("limit", [20_000, 5])
 @pytest.mark.parametrize("seed,n,spread", [(1, 200, 60.0), (2, 35, 300.0), (3, 500, 8.0), (4, 7, 50.0)])
-def test_distributed_average_equals_brute_force(spark, seed, n, spread, limit):
+def test_distributed_average_equals_brute_force(spark, seed, n, spread):
     """Sparse, dense, clustered and too few monitors all give the k nearest exactly."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -86,7 +85,7 @@ def test_distributed_average_equals_brute_force(spark, seed, n, spread, limit):
     targets = spark.createDataFrame(cells, "day INT, ROW INT, COL INT")
     got = {
         (r.day, r.ROW, r.COL): (r.vna_ozone, r.vna_one)
-        for r in voronoi_average(monitors, targets, ["day"], ["ozone", "one"], group_limit=limit).collect()
+        for r in voronoi_average(monitors, targets, ["day"], ["ozone", "one"]).collect()
     }
     assert {k[0] for k in got} == {1, 2}
     for day in (1, 2):
@@ -99,16 +98,37 @@ def test_distributed_average_equals_brute_force(spark, seed, n, spread, limit):
                 assert one == pytest.approx(1.0)
 
 
-@pytest.mark.parametrize("limit", [20_000, 1])
-def test_unwanted_targets_stay_null(spark, limit):
+def test_unwanted_targets_stay_null(spark):
     monitors = spark.createDataFrame(
         [(0, "a", 0.0, 0.0, 3.0), (0, "b", 9.0, 0.0, 5.0)], "k INT, Site STRING, x DOUBLE, y DOUBLE, ozone DOUBLE"
     )
     targets = spark.createDataFrame([(0, 1, 1, True, 7.0), (0, 1, 2, None, 8.0), (1, 1, 1, True, 9.0)], "k INT, ROW INT, COL INT, ok BOOLEAN, model DOUBLE")
-    got = voronoi_average(monitors, targets, ["k"], ["ozone"], ["model"], "ok", group_limit=limit).collect()
+    got = voronoi_average(monitors, targets, ["k"], ["ozone"], ["model"], "ok").collect()
     assert sorted((r.COL, r.model, r.vna_ozone is None) for r in got) == [(1, 7.0, False), (2, 8.0, True)]
 
 
+def test_far_monitors_are_in_reach(spark):
+    """A monitor far beyond the coarsest tiles still counts, alone or beside a near one."""
+    schema = "k INT, Site STRING, x DOUBLE, y DOUBLE, ozone DOUBLE"
+    rows = [(0, "far", 2e7, 0.0, 3.0), (1, "far", -3e7, 5.0, 8.0), (1, "near", 4.0, 0.5, 2.0)]
+    targets = spark.createDataFrame([(0, 1, 1), (1, 1, 1)], "k INT, ROW INT, COL INT")
+    got = {r.k: r.vna_ozone for r in voronoi_average(spark.createDataFrame(rows, schema), targets, ["k"], ["ozone"]).collect()}
+    want = brute(np.array([[-3e7, 5.0], [4.0, 0.5]]), np.array([8.0, 2.0]), (0.5, 0.5), 30)
+    assert got[0] == pytest.approx(3.0) and got[1] == pytest.approx(want)
+
+
+def test_a_dense_cluster_keeps_its_k_nearest(spark):
+    rng = np.random.default_rng(8)
+    sites = np.vstack([rng.normal((3.0, 3.0), 0.01, (3000, 2)), rng.uniform(-40, 40, (40, 2))])
+    values = rng.uniform(0, 9, len(sites))
+    rows = [(0, f"s{i:05d}", float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(sites, values))]
+    monitors = spark.createDataFrame(rows, "k INT, Site STRING, x DOUBLE, y DOUBLE, ozone DOUBLE")
+    cells = [(r, c) for r in (1, 3, 4, 20) for c in (1, 3, 4, 20)]
+    targets = spark.createDataFrame([(0, r, c) for r, c in cells], "k INT, ROW INT, COL INT")
+    for r in voronoi_average(monitors, targets, ["k"], ["ozone"]).collect():
+        assert r.vna_ozone == pytest.approx(brute(sites, values, (r.COL - 0.5, r.ROW - 0.5), 30), rel=1e-6)
+
+
 def test_null_measure_voids_the_average(spark):
     monitors = spark.createDataFrame(
         [(0, "a", 0.0, 0.0, None, 1.0), (0, "b", 2.0, 0.0, 4.0, 1.0)],
