@@ -71,13 +71,12 @@ def _(spark, sf):
 @query(
     "a36_site_set_audit",
     """SELECT coalesce(a."Date", b."Date") AS "Date", count(*) FILTER (a.Site IS NOT NULL AND b.Site IS NOT NULL) AS common, count(*) FILTER (b.Site IS NULL) AS only_left,
- count(*) FILTER (a.Site IS NULL) AS only_right, count(*) FILTER (a.Site IS NULL) = 0 AS left_covers FROM (SELECT DISTINCT Site, "Date" FROM obs_daily WHERE POC <> 3) a
+ count(*) FILTER (a.Site IS NULL) AS only_right, count(*) FILTER (a.Site IS NULL) = 0 AS left_covers FROM (SELECT DISTINCT Site, "Date" FROM obs_daily) a
  FULL JOIN (SELECT DISTINCT Site, "Date" FROM cv_assignment) b ON a.Site = b.Site AND a."Date" = b."Date" GROUP BY 1""",
     "obs_daily cv_assignment",
 )
 def _(spark, sf):
-    left = fx.obs_daily(spark, sf).filter(F.col("POC") != 3)
-    return au.site_set_audit(left, fx.cv_assignment(spark, sf), "Date", "Site")
+    return au.site_set_audit(fx.obs_daily(spark, sf), fx.cv_assignment(spark, sf), "Date", "Site")
 
 
 @query(
@@ -105,15 +104,14 @@ def _(spark, sf):
     "a44_key_report",
     " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", TRUE AS same_type, count(DISTINCT a) AS left_distinct, count(DISTINCT b) AS right_distinct, count(DISTINCT CASE WHEN a = b THEN a END) AS common
- FROM (SELECT DISTINCT CAST("{c}" AS VARCHAR) AS a FROM metrics WHERE "Year" = 1996 AND vna_ozone > 60) x FULL JOIN (SELECT DISTINCT CAST("{c}" AS VARCHAR) AS b FROM metrics WHERE "Year" = 1999 AND vna_ozone < 45) y ON a = b"""
-        for c in ("ROW", "COL", "Period")
+ FROM (SELECT DISTINCT CAST("{c}" AS VARCHAR) AS a FROM metrics_even) x FULL JOIN (SELECT DISTINCT CAST({e} AS VARCHAR) AS b FROM metrics_odd) y ON a = b"""
+        for c, e in (("ROW", "ROW + 1"), ("COL", "COL + 2"), ("Period", "Period"))
     ),
-    "metrics",
+    "metrics_even metrics_odd",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    a = m.filter((F.col("Year") == 1996) & (F.col("vna_ozone") > 60))
-    b = m.filter((F.col("Year") == 1999) & (F.col("vna_ozone") < 45))
+    a, b = fx.metric_sides(spark, sf)
+    b = b.withColumns({"ROW": F.col("ROW") + 1, "COL": F.col("COL") + 2})
     return au.key_report(a, b, ["ROW", "COL", "Period"])
 
 

@@ -50,19 +50,16 @@ def _(spark, sf):
 
 @query(
     "p04_copy_missing_mask",
-    """SELECT ROW, COL, Period, CASE WHEN o.m IS NOT NULL THEN x.model END AS model FROM (SELECT * FROM metrics WHERE "Year" = 1996) x
- LEFT JOIN (SELECT ROW, COL, Period, CASE WHEN vna_ozone > 50 THEN vna_ozone END AS m FROM metrics WHERE "Year" = 1997) o USING (ROW, COL, Period)""",
-    "metrics",
+    """SELECT ROW, COL, Period, Pair, CASE WHEN o.m IS NOT NULL THEN x.model END AS model FROM metrics_even x
+ LEFT JOIN (SELECT ROW, COL, Period, Pair, CASE WHEN vna_ozone > 50 THEN vna_ozone END AS m FROM metrics_odd) o USING (ROW, COL, Period, Pair)""",
+    "metrics_even metrics_odd",
     "model",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    keys = ["ROW", "COL", "Period"]
-    other = m.filter(F.col("Year") == 1997).withColumn(
-        "vna_ozone", F.when(F.col("vna_ozone") > 50, F.col("vna_ozone"))
-    )
-    mine = m.filter(F.col("Year") == 1996).select(*keys, "model")
-    return cl.copy_missing(mine, other, keys, "vna_ozone", ["model"])
+    mine, other = fx.metric_sides(spark, sf)
+    keys = ["ROW", "COL", "Period", "Pair"]
+    other = other.withColumn("vna_ozone", F.when(F.col("vna_ozone") > 50, F.col("vna_ozone")))
+    return cl.copy_missing(mine.select(*keys, "model"), other, keys, "vna_ozone", ["model"])
 
 
 @query(
@@ -313,13 +310,13 @@ def _(spark, sf):
 
 @query(
     "p30_columns_by_name",
-    'SELECT ROW, COL, "Timestamp", evna_ozone, avna_ozone FROM fused_daily WHERE vna_ozone > 99',
+    'SELECT ROW, COL, "Timestamp", evna_ozone, avna_ozone FROM fused_daily',
     "fused_daily",
 )
 def _(spark, sf):
     df = fx.fused_daily(spark, sf)
     named = [c for c in cl.columns_like(df, "VNA", "ozone") if c not in cl.columns_with_prefix(df, "vna")]
-    return df.filter(F.col("vna_ozone") > 99).select("ROW", "COL", "Timestamp", *named)
+    return df.select("ROW", "COL", "Timestamp", *named)
 
 
 @query(

@@ -13,13 +13,10 @@ from skyweave.operators.combine import densify
 C = fx.METRIC_COLUMNS
 FLOATS = " ".join(C)
 KEYS = ["ROW", "COL", "Period"]
+PAIRED = [*KEYS, "Pair"]
 _LIMIT = {"harvard_ml": 1999}
 
 
-def year(df, y):
-    return df.filter(F.col("Year") == y).drop("Year")
-
-
 _LIST = "[" + ", ".join(C) + "]"
 
 
@@ -146,31 +143,28 @@ def _(spark, sf):
 
 @query(
     "j28_paired_metric_tables",
-    """SELECT ROW, COL, Period, a.model AS x, b.model AS y, b.model - a.model AS diff FROM (SELECT * FROM metrics WHERE "Year" = 1996) a
- JOIN (SELECT * FROM metrics WHERE "Year" = 1999) b USING (ROW, COL, Period)""",
-    "metrics",
+    """SELECT ROW, COL, Period, Pair, a.model AS x, b.model AS y, b.model - a.model AS diff FROM metrics_even a JOIN metrics_odd b USING (ROW, COL, Period, Pair)""",
+    "metrics_even metrics_odd",
     "x y diff",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    a = year(m, 1996).select(*KEYS, F.col("model").alias("x"))
-    b = year(m, 1999).select(*KEYS, F.col("model").alias("y"))
-    return a.join(b, KEYS).withColumn("diff", F.col("y") - F.col("x"))
+    a, b = fx.metric_sides(spark, sf)
+    a, b = a.select(*PAIRED, F.col("model").alias("x")), b.select(*PAIRED, F.col("model").alias("y"))
+    return a.join(b, PAIRED).withColumn("diff", F.col("y") - F.col("x"))
 
 
-_TWO = """SELECT ROW, COL, Period, {cols} FROM (SELECT *, 1 AS a FROM metrics WHERE "Year" = 1996) x
- FULL JOIN (SELECT *, 1 AS b FROM metrics WHERE "Year" = 2001) y USING (ROW, COL, Period)"""
+_TWO = """SELECT ROW, COL, Period, Pair, {cols} FROM (SELECT *, 1 AS a FROM metrics_even) x
+ FULL JOIN (SELECT *, 1 AS b FROM metrics_odd) y USING (ROW, COL, Period, Pair)"""
 
 
 @query(
     "f23_year_over_base",
     _TWO.format(cols=", ".join(f"y.{c} - x.{c} AS {c}" for c in C) + ", (a IS NOT NULL AND b IS NOT NULL) AS matched"),
-    "metrics",
+    "metrics_even metrics_odd",
     FLOATS,
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    return cp.year_over_base(year(m, 1996), year(m, 2001), KEYS, C)
+    return cp.year_over_base(*fx.metric_sides(spark, sf), PAIRED, C)
 
 
 @query(
@@ -178,11 +172,10 @@ def _(spark, sf):
     "SELECT count(*) AS keys, count(*) FILTER (a IS NULL OR b IS NULL) AS unmatched FROM ("
     + _TWO.format(cols="a, b")
     + ")",
-    "metrics",
+    "metrics_even metrics_odd",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    return cp.unmatched_keys(year(m, 1996), year(m, 2001), KEYS)
+    return cp.unmatched_keys(*fx.metric_sides(spark, sf), PAIRED)
 
 
 _BD = _TWO.format(
@@ -192,14 +185,13 @@ _J13 = f"SELECT * FROM ({_BD}) WHERE Period <> 'W126'"
 
 
 def base_delta(spark, sf):
-    m = fx.metrics(spark, sf)
-    return cp.base_and_delta(year(m, 1996), year(m, 2001), KEYS, ["model", "vna_ozone"])
+    return cp.base_and_delta(*fx.metric_sides(spark, sf), PAIRED, ["model", "vna_ozone"])
 
 
 @query(
     "j13_base_and_delta",
     _J13,
-    "metrics",
+    "metrics_even metrics_odd",
     "model_base model_delta vna_ozone_base vna_ozone_delta",
 )
 def _(spark, sf):
@@ -214,16 +206,16 @@ def _bin(c: str) -> str:
 _BINNED = (
     f", bd AS ({_J13}), long AS ("
     + " UNION ALL ".join(
-        f"SELECT ROW, COL, Period, {_bin(c + '_base')} AS bin, {c}_delta AS delta, '{c}' AS \"method\" FROM bd"
+        f"SELECT ROW, COL, Period, Pair, {_bin(c + '_base')} AS bin, {c}_delta AS delta, '{c}' AS \"method\" FROM bd"
         for c in ("model", "vna_ozone")
     )
     + "), l AS (SELECT * FROM long WHERE bin IS NOT NULL AND delta IS NOT NULL)"
 )
 
 
-@query("r06_binned_deltas", _BINNED + " SELECT * FROM l", "metrics", "delta")
+@query("r06_binned_deltas", _BINNED + " SELECT * FROM l", "metrics_even metrics_odd", "delta")
 def _(spark, sf):
-    return cp.binned_deltas(base_delta(spark, sf), KEYS, ["model", "vna_ozone"])
+    return cp.binned_deltas(base_delta(spark, sf), PAIRED, ["model", "vna_ozone"])
 
 
 @query(
@@ -234,11 +226,11 @@ def _(spark, sf):
  max(delta) FILTER (delta >= q1 - 1.5 * (q3 - q1) AND delta <= q3 + 1.5 * (q3 - q1)) AS whisker_high,
  count(*) FILTER (NOT (delta >= q1 - 1.5 * (q3 - q1) AND delta <= q3 + 1.5 * (q3 - q1))) AS outliers
  FROM l JOIN q USING (Period, bin, "method") GROUP BY ALL""",
-    "metrics",
+    "metrics_even metrics_odd",
     "q1 median q3 whisker_low whisker_high",
 )
 def _(spark, sf):
-    long = cp.binned_deltas(base_delta(spark, sf), KEYS, ["model", "vna_ozone"])
+    long = cp.binned_deltas(base_delta(spark, sf), PAIRED, ["model", "vna_ozone"])
     return cp.box_statistics(long, ["Period", "bin", "method"], "delta")
 
 
@@ -406,13 +398,14 @@ def _(spark, sf):
 @query(
     "j12_densify_periods",
     """SELECT c.ROW, c.COL, p.Period, m.model FROM cells c CROSS JOIN (SELECT DISTINCT Period FROM metrics) p
- LEFT JOIN (SELECT * FROM metrics WHERE "Year" = 1996 AND vna_ozone > 50) m ON m.ROW = c.ROW AND m.COL = c.COL AND m.Period = p.Period""",
+ LEFT JOIN (SELECT ROW % 10 + 2 AS ROW, COL, Period, avg(model) AS model FROM metrics GROUP BY ALL) m ON m.ROW = c.ROW AND m.COL = c.COL AND m.Period = p.Period""",
     "metrics cells",
     "model",
 )
 def _(spark, sf):
     m = fx.metrics(spark, sf)
-    some = year(m, 1996).filter(F.col("vna_ozone") > 50).select(*KEYS, "model")
+    # One row up: the first row of cells has no values.
+    some = m.groupBy((F.col("ROW") % 10 + 2).alias("ROW"), "COL", "Period").agg(F.avg("model").alias("model"))
     return densify(some, fx.region(spark, sf), "Period", m)
 
 

@@ -360,6 +360,19 @@ SQL_VIEWS["metrics"] = (
 )
 
 
+def metric_sides(spark, sf):
+    """Even and odd years of the metric table; ``Pair`` joins each even year to the next one."""
+    m = metrics(spark, sf).withColumn("Pair", F.expr("CAST(Year DIV 2 AS INT)"))
+    return m.filter(F.col("Year") % 2 == 0).drop("Year"), m.filter(F.col("Year") % 2 == 1).drop("Year")
+
+
+for _side, _rest in (("even", 0), ("odd", 1)):
+    SQL_VIEWS[f"metrics_{_side}"] = (
+        f'SELECT * EXCLUDE ("Year"), CAST("Year" // 2 AS INTEGER) AS Pair FROM metrics WHERE "Year" % 2 = {_rest}',
+        ["metrics"],
+    )
+
+
 # Event stream as monitor hours: 8 sites in January 2024.
 def event_hours(spark, sf):
     return columns(

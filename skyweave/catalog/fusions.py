@@ -156,14 +156,12 @@ for _name, _column in (("f02_additive_fusion", "avna_ozone"), ("f03_ratio_fusion
             " SELECT \"Date\" AS \"Timestamp\", ROW, COL, " + FUSED_SQL,
             f" SELECT \"Timestamp\", ROW, COL, model, {_column} FROM (SELECT \"Date\" AS \"Timestamp\", ROW, COL, " + FUSED_SQL,
         )
-        + ") WHERE year(\"Timestamp\") = 1997",
+        + ")",
         "obs_daily model_daily",
         f"model {_column}",
     )
     def _(spark, sf, column=_column):
-        fused = fu.daily_fusion(
-            fx.obs_daily(spark, sf), surface(spark, sf), G, start="1997-01-01", end="1997-12-31"
-        )
+        fused = fu.daily_fusion(fx.obs_daily(spark, sf), surface(spark, sf), G)
         return fused.select("Timestamp", "ROW", "COL", "model", column)
 
 
@@ -242,7 +240,7 @@ def _(spark, sf):
 
 @query(
     "f09_metric_fusion",
-    """, mdl AS (SELECT ROW, COL, model AS v FROM metrics WHERE Period = 'W126' AND "Year" = 1998),
+    """, mdl AS (SELECT ROW, COL, avg(model) AS v FROM metrics WHERE Period = 'W126' GROUP BY ALL),
  sites AS (SELECT Site AS site, avg(Conc) AS ozone, avg(Lat) AS Lat, avg(Lon) AS Lon FROM obs_daily GROUP BY Site), """
     + monitors_sql("sites", "mdl", "")
     + ", "
@@ -251,7 +249,7 @@ def _(spark, sf):
     FUSED,
 )
 def _(spark, sf):
-    w126 = fx.metrics(spark, sf).filter((F.col("Period") == "W126") & (F.col("Year") == 1998)).select("ROW", "COL", "model")
+    w126 = fx.metrics(spark, sf).filter(F.col("Period") == "W126").groupBy("ROW", "COL").agg(F.avg("model").alias("model"))
     sites = fu.site_means(fx.obs_daily(spark, sf), []).withColumnRenamed("Conc", "O3")
     return fu.metric_fusion(sites, w126, G, fx.region(spark, sf))
 

@@ -75,28 +75,27 @@ def _(spark, sf):
 
 @query(
     "j10_add_metric_column",
-    """SELECT m.ROW, m.COL, m.Period, m.model, d.ds_ozone FROM (SELECT * FROM metrics WHERE "Year" = 1996) m
- LEFT JOIN (SELECT * FROM metrics WHERE "Year" = 1997 AND ds_ozone > 40) d USING (ROW, COL, Period)""",
-    "metrics",
+    """SELECT m.ROW, m.COL, m.Period, m.Pair, m.model, d.ds_ozone FROM metrics_even m LEFT JOIN metrics_odd d USING (ROW, COL, Period, Pair)""",
+    "metrics_even metrics_odd",
     "model ds_ozone",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf)
-    keys = ["ROW", "COL", "Period"]
-    extra = m.filter((F.col("Year") == 1997) & (F.col("ds_ozone") > 40)).select(*keys, "ds_ozone")
-    return m.filter(F.col("Year") == 1996).select(*keys, "model").join(extra, keys, "left")
+    mine, extra = fx.metric_sides(spark, sf)
+    keys = ["ROW", "COL", "Period", "Pair"]
+    return mine.select(*keys, "model").join(extra.select(*keys, "ds_ozone"), keys, "left")
 
 
 @query(
     "j11_densify_grid",
-    'SELECT CAST(r AS INTEGER) AS ROW, CAST(c AS INTEGER) AS COL, d.n FROM (SELECT unnest(range(1, 11)) AS r) CROSS JOIN (SELECT unnest(range(1, 13)) AS c) LEFT JOIN (SELECT ROW, COL, count(*) AS n FROM fused_daily WHERE vna_ozone > 99.5 GROUP BY ALL) d ON d.ROW = r AND d.COL = c',
+    'SELECT CAST(r AS INTEGER) AS ROW, CAST(c AS INTEGER) AS COL, d.n FROM (SELECT unnest(range(1, 11)) AS r) CROSS JOIN (SELECT unnest(range(1, 13)) AS c) LEFT JOIN (SELECT ROW + 1 AS ROW, COL, count(*) AS n FROM fused_daily GROUP BY ALL) d ON d.ROW = r AND d.COL = c',
     "fused_daily",
 )
 def _(spark, sf):
     from skyweave.sources.grids import regular_grid
 
-    peaks = fx.fused_daily(spark, sf).filter(F.col("vna_ozone") > 99.5).groupBy("ROW", "COL").agg(F.count("*").alias("n"))
-    return regular_grid(spark, fx.ROWS, fx.COLS).join(peaks, ["ROW", "COL"], "left")
+    # One row up: the first row of the grid has no counts, the last counts have no cell.
+    counts = fx.fused_daily(spark, sf).groupBy((F.col("ROW") + 1).alias("ROW"), "COL").agg(F.count("*").alias("n"))
+    return regular_grid(spark, fx.ROWS, fx.COLS).join(counts, ["ROW", "COL"], "left")
 
 
 @query(
@@ -139,11 +138,11 @@ def _(spark, sf):
 
 @query(
     "j19_site_coordinates",
-    "SELECT o_orderkey, o_custkey, n_regionkey FROM orders JOIN (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0) ON c_custkey = o_custkey",
+    "SELECT o_orderkey, o_custkey, n_regionkey FROM orders JOIN (SELECT c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey) ON c_custkey = o_custkey",
 )
 def _(spark, sf):
     nations = fx.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    places = fx.table(spark, sf, "customer").filter(F.col("c_acctbal") > 0).join(
+    places = fx.table(spark, sf, "customer").join(
         nations, F.col("n_nationkey") == F.col("c_nationkey")
     )
     return (
@@ -155,12 +154,12 @@ def _(spark, sf):
 
 @query(
     "j20_first_station",
-    """SELECT o.Site, o."Date", o.Conc, s.Lat, s.POC AS first_poc FROM obs_daily o JOIN (SELECT Site, arg_min(Lat, k) AS Lat, arg_min(POC, k) AS POC FROM (SELECT Site, Lat, POC, {'d': "Date", 'p': POC} AS k FROM obs_daily WHERE POC <> 1) GROUP BY Site) s USING (Site)""",
+    """SELECT o.Site, o."Date", o.Conc, s.Lat, s.POC AS first_poc FROM obs_daily o JOIN (SELECT Site, arg_min(Lat, k) AS Lat, arg_min(POC, k) AS POC FROM (SELECT Site, Lat, POC, {'d': "Date", 'p': POC} AS k FROM obs_daily) GROUP BY Site) s USING (Site)""",
     "obs_daily",
 )
 def _(spark, sf):
     obs = fx.obs_daily(spark, sf)
-    stations = obs.filter(F.col("POC") != 1).withColumn("k", F.struct("Date", "POC"))
+    stations = obs.withColumn("k", F.struct("Date", "POC"))
     first = co.first_station(stations, "Site", ["Lat", "POC"], "k").withColumnRenamed("POC", "first_poc")
     return obs.select("Site", "Date", "Conc").join(first, "Site")
 
@@ -200,7 +199,7 @@ def _(spark, sf):
 
 @query(
     "j26_fused_value_at_test_cell",
-    """, t AS (SELECT Site, "Date", Conc, CAST(CAST(Site AS INTEGER) % 10 + 1 AS INTEGER) AS ROW, CAST(CAST(Site AS INTEGER) % 12 + 1 AS INTEGER) AS COL FROM obs_daily WHERE POC = 1),
+    """, t AS (SELECT Site, "Date", Conc, CAST(CAST(Site AS INTEGER) % 10 + 1 AS INTEGER) AS ROW, CAST(CAST(Site AS INTEGER) % 12 + 1 AS INTEGER) AS COL FROM obs_daily),
  f AS (SELECT ROW, COL, date_trunc('month', "Timestamp")::DATE AS "Date", avg(vna_ozone) AS vna_ozone, avg(evna_ozone) AS evna_ozone FROM fused_daily GROUP BY ALL),
  j AS (SELECT Site, "Date", Conc AS y_true, ROW, COL, vna_ozone, evna_ozone FROM t JOIN f USING (ROW, COL, "Date"))
  SELECT Site, "Date", y_true, ROW, COL, 'vna_ozone' AS "Method", vna_ozone AS y_pred FROM j UNION ALL SELECT Site, "Date", y_true, ROW, COL, 'evna_ozone', evna_ozone FROM j""",
@@ -211,7 +210,7 @@ def _(spark, sf):
     from skyweave.operators.reshape import methods_to_rows
 
     number = F.col("Site").cast("int")
-    test = fx.obs_daily(spark, sf).filter(F.col("POC") == 1).select(
+    test = fx.obs_daily(spark, sf).select(
         "Site", "Date", F.col("Conc").alias("y_true"), (number % 10 + 1).alias("ROW"), (number % 12 + 1).alias("COL")
     )
     fused = (
@@ -225,7 +224,7 @@ def _(spark, sf):
 
 @query(
     "j27_observation_on_cell",
-    """SELECT c.ROW, c.COL, c.Period, c.model, o.Conc FROM (SELECT * FROM metrics WHERE "Year" = 1999) c LEFT JOIN
+    """SELECT c.ROW, c.COL, c.Period, c."Year", c.model, o.Conc FROM metrics c LEFT JOIN
  (SELECT CAST(CAST(Site AS INTEGER) % 10 + 1 AS INTEGER) AS ROW, CAST(CAST(Site AS INTEGER) % 12 + 1 AS INTEGER) AS COL, avg(Conc) AS Conc FROM obs_daily GROUP BY ALL) o USING (ROW, COL)""",
     "metrics obs_daily",
     "model Conc",
@@ -235,7 +234,7 @@ def _(spark, sf):
     stamped = fx.obs_daily(spark, sf).groupBy(
         (number % 10 + 1).alias("ROW"), (number % 12 + 1).alias("COL")
     ).agg(F.avg("Conc").alias("Conc"))
-    grid = fx.metrics(spark, sf).filter(F.col("Year") == 1999).select("ROW", "COL", "Period", "model")
+    grid = fx.metrics(spark, sf).select("ROW", "COL", "Period", "Year", "model")
     return grid.join(stamped, ["ROW", "COL"], "left")
 
 
@@ -250,13 +249,13 @@ def _(spark, sf):
 
 
 # Set operations.
-_LEFT = """(SELECT * FROM obs_daily WHERE POC = 1)"""
-_RIGHT = """(SELECT * FROM obs_daily WHERE POC = 2 AND Conc > 20)"""
+_LEFT = """(SELECT * FROM obs_daily WHERE POC <> 2)"""
+_RIGHT = """(SELECT * FROM obs_daily WHERE POC = 2)"""
 
 
 def sides(spark, sf):
     obs = fx.obs_daily(spark, sf)
-    return obs.filter(F.col("POC") == 1), obs.filter((F.col("POC") == 2) & (F.col("Conc") > 20))
+    return obs.filter(F.col("POC") != 2), obs.filter(F.col("POC") == 2)
 
 
 @query(
@@ -331,34 +330,33 @@ def _(spark, sf):
 
 @query(
     "u07_found_counts",
-    "SELECT count(b.c) AS found, count(*) - count(b.c) AS not_found FROM (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_totalprice > 300000) a LEFT JOIN (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderstatus = 'F') b USING (c)",
+    "SELECT count(b.c) AS found, count(*) - count(b.c) AS not_found FROM (SELECT DISTINCT o_custkey AS c FROM orders) a LEFT JOIN (SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE -o_custkey END AS c FROM orders) b USING (c)",
 )
 def _(spark, sf):
     from skyweave.operators.audit import found_counts
 
     orders = fx.table(spark, sf, "orders")
-    return found_counts(
-        orders.filter(F.col("o_totalprice") > 300000), orders.filter(F.col("o_orderstatus") == "F"), "o_custkey"
-    )
+    own = F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(-F.col("o_custkey"))
+    return found_counts(orders, orders.withColumn("o_custkey", own), "o_custkey")
 
 
 @query(
     "u08_validity_counts",
     """SELECT count(*) FILTER (x IS NULL AND y IS NULL) AS invalid_both, count(*) FILTER (x IS NOT NULL AND y IS NULL) AS valid_left_only, count(*) FILTER (x IS NULL AND y IS NOT NULL) AS valid_right_only
- FROM (SELECT a.ds_ozone AS x, b.ds_ozone AS y FROM (SELECT * FROM metrics WHERE "Year" = 1996) a JOIN (SELECT ROW, COL, Period, CASE WHEN ds_ozone > 30 THEN ds_ozone END AS ds_ozone FROM metrics WHERE "Year" = 1997) b USING (ROW, COL, Period))""",
-    "metrics",
+ FROM (SELECT a.ds_ozone AS x, b.ds_ozone AS y FROM metrics_even a JOIN (SELECT ROW, COL, Period, Pair, CASE WHEN ds_ozone > 30 THEN ds_ozone END AS ds_ozone FROM metrics_odd) b USING (ROW, COL, Period, Pair))""",
+    "metrics_even metrics_odd",
 )
 def _(spark, sf):
     from skyweave.operators.audit import validity_counts
 
-    m = fx.metrics(spark, sf)
-    b = m.filter(F.col("Year") == 1997).withColumn("ds_ozone", F.when(F.col("ds_ozone") > 30, F.col("ds_ozone")))
-    return validity_counts(m.filter(F.col("Year") == 1996), b, ["ROW", "COL", "Period"], "ds_ozone")
+    a, b = fx.metric_sides(spark, sf)
+    b = b.withColumn("ds_ozone", F.when(F.col("ds_ozone") > 30, F.col("ds_ozone")))
+    return validity_counts(a, b, ["ROW", "COL", "Period", "Pair"], "ds_ozone")
 
 
 @query(
     "u09_common_and_missing",
-    """, a AS (SELECT DISTINCT Site, Lat, Lon FROM obs_daily WHERE CAST(Site AS INTEGER) % 3 <> 0), b AS (SELECT DISTINCT Site, Lat + 1 AS Lat, Lon FROM obs_daily WHERE CAST(Site AS INTEGER) % 2 = 0)
+    """, a AS (SELECT DISTINCT Site, Lat, Lon FROM obs_daily WHERE CAST(Site AS INTEGER) % 3 <> 0), b AS (SELECT DISTINCT CASE WHEN CAST(Site AS INTEGER) % 6 IN (1, 5) THEN CAST(CAST(Site AS INTEGER) + 6000000 AS VARCHAR) ELSE Site END AS Site, Lat + 1 AS Lat, Lon FROM obs_daily)
  SELECT * FROM a WHERE Site IN (SELECT Site FROM b) UNION ALL SELECT * FROM b WHERE Site NOT IN (SELECT Site FROM a)""",
     "obs_daily",
 )
@@ -366,7 +364,8 @@ def _(spark, sf):
     sites = fx.obs_daily(spark, sf).select("Site", "Lat", "Lon").distinct()
     number = F.col("Site").cast("int")
     a = sites.filter(number % 3 != 0)
-    b = sites.filter(number % 2 == 0).withColumn("Lat", F.col("Lat") + 1)
+    renamed = F.when((number % 6).isin(1, 5), (number + 6000000).cast("string")).otherwise(F.col("Site"))
+    b = sites.withColumns({"Site": renamed, "Lat": F.col("Lat") + 1})
     return co.common_and_missing(a, b, "Site")
 
 

@@ -9,25 +9,26 @@ from skyweave.catalog.base import query
 from skyweave.operators import reshape as rs
 
 _SEASONS = ["DJF", "MAM", "JJA", "SON"]
+_PERIODS = [*_SEASONS, "W126"]
 
 
 @query(
     "r01_metric_pivot",
     """, l AS (SELECT ROW, COL, "Year", Period, avg(model) AS v FROM metrics GROUP BY ALL) SELECT ROW, COL, "Year", """
-    + ", ".join(f"max(v) FILTER (Period = '{p}') AS {p}" for p in _SEASONS)
+    + ", ".join(f"max(v) FILTER (Period = '{p}') AS \"{p}\"" for p in _PERIODS)
     + " FROM l GROUP BY ALL",
     "metrics",
-    "DJF MAM JJA SON",
+    "DJF MAM JJA SON W126",
 )
 def _(spark, sf):
     long = fx.metrics(spark, sf).select("ROW", "COL", "Year", "Period", F.col("model").alias("v"))
-    return rs.metric_rows_to_columns(long, ["ROW", "COL", "Year"], "Period", "v", _SEASONS)
+    return rs.metric_rows_to_columns(long, ["ROW", "COL", "Year"], "Period", "v", _PERIODS)
 
 
 def wide(spark, sf):
     """One row per cell, a column per (method, day code)."""
     day = F.date_format("Timestamp", "MMdd")
-    df = fx.fused_daily(spark, sf).filter(F.dayofmonth("Timestamp") == 1)
+    df = fx.fused_daily(spark, sf).withColumn("Timestamp", F.trunc("Timestamp", "month"))
     codes = [f"{m:02d}01" for m in range(1, 13)]
     return df.groupBy("ROW", "COL").agg(
         *[
@@ -38,7 +39,7 @@ def wide(spark, sf):
     )
 
 
-_DAYS = """SELECT ROW, COL, max(model) AS o3, max(vna_ozone) AS vna, strftime("Timestamp", '%m%d') AS code FROM fused_daily WHERE day("Timestamp") = 1 GROUP BY ALL"""
+_DAYS = """SELECT ROW, COL, max(model) AS o3, max(vna_ozone) AS vna, strftime(date_trunc('month', "Timestamp"), '%m%d') AS code FROM fused_daily GROUP BY ALL"""
 
 
 @query(
@@ -75,17 +76,18 @@ def _(spark, sf):
 
 @query(
     "r05_period_columns_to_rows",
-    """, k AS (SELECT ROW * 1000 + COL AS id, Period, avg(model) AS model, avg(vna_ozone) AS vna_ozone FROM metrics WHERE Period IN ('DJF', 'JJA') GROUP BY ALL)
- SELECT i.id, p.Period, k.model, k.vna_ozone FROM (SELECT DISTINCT id FROM k) i CROSS JOIN (VALUES ('DJF'), ('JJA')) p(Period) LEFT JOIN k ON k.id = i.id AND k.Period = p.Period""",
+    """, k AS (SELECT ROW * 1000 + COL AS id, Period, avg(model) AS model, avg(vna_ozone) AS vna_ozone FROM metrics GROUP BY ALL)
+ SELECT i.id, p.Period, k.model, k.vna_ozone FROM (SELECT DISTINCT id FROM k) i CROSS JOIN (VALUES ('DJF'), ('MAM'), ('JJA'), ('SON'), ('top-10'), ('W126')) p(Period) LEFT JOIN k ON k.id = i.id AND k.Period = p.Period""",
     "metrics",
     "model vna_ozone",
 )
 def _(spark, sf):
-    m = fx.metrics(spark, sf).filter(F.col("Period").isin("DJF", "JJA")).withColumn("id", F.col("ROW") * 1000 + F.col("COL"))
+    periods = [*_SEASONS, "top-10", "W126"]
+    m = fx.metrics(spark, sf).withColumn("id", F.col("ROW") * 1000 + F.col("COL"))
     by = lambda c: m.groupBy("id").agg(
-        *[F.avg(F.when(F.col("Period") == p, F.col(c))).alias(p) for p in ("DJF", "JJA")]
+        *[F.avg(F.when(F.col("Period") == p, F.col(c))).alias(p) for p in periods]
     )
-    return rs.period_columns_to_rows({c: by(c) for c in ("model", "vna_ozone")}, "id", ["DJF", "JJA"])
+    return rs.period_columns_to_rows({c: by(c) for c in ("model", "vna_ozone")}, "id", periods)
 
 
 @query(

@@ -91,8 +91,8 @@ def _(spark, sf):
 
 @query(
     "fn_month_set_labels",
-    """SELECT ROW, COL, CASE WHEN month("Timestamp") <= 3 THEN 'JFM_1996' WHEN month("Timestamp") <= 6 THEN 'AMJ_1996' WHEN month("Timestamp") <= 9 THEN 'JAS_1996' ELSE 'OND_1996' END AS label,
- avg(model) AS model FROM fused_daily WHERE year("Timestamp") = 1996 GROUP BY ALL""",
+    """SELECT ROW, COL, CAST(year("Timestamp") AS INTEGER) AS "Year", CASE WHEN month("Timestamp") <= 3 THEN 'JFM_1996' WHEN month("Timestamp") <= 6 THEN 'AMJ_1996' WHEN month("Timestamp") <= 9 THEN 'JAS_1996' ELSE 'OND_1996' END AS label,
+ avg(model) AS model FROM fused_daily GROUP BY ALL""",
     "fused_daily",
     "model",
 )
@@ -100,10 +100,11 @@ def _(spark, sf):
     from skyweave.operators.rollup import calendar_means
 
     quarters = [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12]]
-    year = fx.fused_daily(spark, sf).filter(F.year("Timestamp") == 1996)
-    return calendar_means(
-        year, ["ROW", "COL"], "Timestamp", ["model"], {cal.month_set_label(q, 1996): q for q in quarters}
+    dated = fx.fused_daily(spark, sf).withColumn("Year0", F.year("Timestamp"))
+    means = calendar_means(
+        dated, ["ROW", "COL", "Year0"], "Timestamp", ["model"], {cal.month_set_label(q, 1996): q for q in quarters}
     )
+    return means.withColumnRenamed("Year0", "Year")
 
 
 @query(
@@ -170,13 +171,13 @@ def _(spark, sf):
 
 @query(
     "fn_min_max_scale",
-    """SELECT ROW, COL, "Timestamp", (model - lo) / (hi - lo) AS scaled, CAST(model AS INTEGER) AS whole, sqrt(pow(model, 2) + pow(vna_ozone, 2)) AS norm FROM
- (SELECT ROW, COL, "Timestamp", floor(model) AS model, vna_ozone FROM fused_daily) CROSS JOIN (SELECT min(floor(model)) AS lo, max(floor(model)) AS hi FROM fused_daily)""",
+    """SELECT ROW, COL, "Timestamp", (model - lo) / (hi - lo) AS scaled, CAST(trunc(model) AS INTEGER) AS whole, sqrt(pow(model, 2) + pow(vna_ozone, 2)) AS norm FROM
+ fused_daily CROSS JOIN (SELECT min(model) AS lo, max(model) AS hi FROM fused_daily)""",
     "fused_daily",
     "scaled norm",
 )
 def _(spark, sf):
-    df = fx.fused_daily(spark, sf).withColumn("model", F.floor("model").cast("double"))
+    df = fx.fused_daily(spark, sf)
     ends = df.agg(F.min("model").alias("lo"), F.max("model").alias("hi"))
     return df.select(
         "ROW",

@@ -159,17 +159,17 @@ def _(spark, sf):
 
 @query(
     "s09_yearly_files",
-    'SELECT ROW, COL, Period, model, CAST("Year" + 10 AS INTEGER) AS "Year" FROM metrics WHERE "Year" BETWEEN 1996 AND 1999',
+    'SELECT ROW, COL, Period, model, CAST("Year" + 10 AS INTEGER) AS "Year" FROM metrics',
     "metrics",
     "model",
 )
 def _(spark, sf):
     m = fx.metrics(spark, sf)
     root = scratch_path(spark, "years")
-    for year in (1996, 1997, 1998, 1999):
+    for year in range(1992, 2002):
         rows = m.filter(F.col("Year") == year).select("ROW", "COL", "Period", "model")
         sk.write_csv(rows, f"{root}/{year + 10}_Metrics.csv")
-    paths = [f"{root}/{y}_Metrics.csv" for y in range(2004, 2013)]
+    paths = [f"{root}/{y}_Metrics.csv" for y in range(2000, 2013)]
     return tb.read_years(spark, paths, "ROW INT, COL INT, Period STRING, model DOUBLE")
 
 
@@ -231,20 +231,19 @@ def _(spark, sf):
 
 @query(
     "k02_files_per_day",
-    """SELECT "Date", ROW, COL, O3_MDA8 FROM model_daily WHERE LAY = 0 AND "Date" >= DATE '1999-01-01'""",
+    """SELECT "Date", ROW, COL, O3_MDA8 FROM model_daily WHERE LAY = 0""",
     "model_daily",
     "O3_MDA8",
 )
 def _(spark, sf):
     path = scratch_path(spark, "days")
     sk.write_by(gr.surface_layer(fx.model_daily(spark, sf)).drop("LAY"), path, ["Date"])
-    back = spark.read.parquet(path)
-    return back.filter(F.col("Date") >= F.lit("1999-01-01").cast("date"))
+    return spark.read.parquet(path)
 
 
 @query(
     "k03_files_per_metric",
-    "SELECT Period, ROW, COL, \"Year\", model FROM metrics WHERE Period IN ('DJF', 'JJA')",
+    "SELECT Period, ROW, COL, \"Year\", model FROM metrics",
     "metrics",
     "model",
 )
@@ -252,7 +251,7 @@ def _(spark, sf):
     path = scratch_path(spark, "periods")
     rows = fx.metrics(spark, sf).select("ROW", "COL", "Year", "Period", "model")
     sk.write_by(rows, path, ["Period"], salts=4)
-    return spark.read.parquet(path).filter(F.col("Period").isin("DJF", "JJA"))
+    return spark.read.parquet(path)
 
 
 @query(

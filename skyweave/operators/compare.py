@@ -175,11 +175,22 @@ def unmatched_keys(base: DataFrame, current: DataFrame, keys: list[str]) -> Data
     )
 
 
-def base_and_delta(base: DataFrame, delta: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Base-year and delta columns side by side, keeping keys of either table; no W126."""
+def base_and_delta(
+    base: DataFrame,
+    delta: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    periods: list[str] | None = None,
+    drop: tuple[str, ...] = ("W126",),
+) -> DataFrame:
+    """Base-year and delta columns side by side, keeping keys of either table.
+
+    ``periods`` selects some periods; those in ``drop`` are left out.
+    """
     left = base.select(*keys, *[F.col(c).alias(f"{c}_base") for c in columns])
     right = delta.select(*keys, *[F.col(c).alias(f"{c}_delta") for c in columns])
-    return left.join(right, keys, "full").filter(F.col("Period") != "W126")
+    both = left.join(right, keys, "full").filter(~F.col("Period").isin(*drop)) if drop else left.join(right, keys, "full")
+    return both.filter(F.col("Period").isin(*periods)) if periods else both
 
 
 def binned_deltas(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Polygons and time zones: which area holds a point.
 
 Edges and points meet on strips of one coordinate (an equi-join), and an edge
-is stored once for each strip it crosses.
+is stored once for each strip it crosses.  The points of a strip are dealt to
+``SALTS`` shares and the few edges copied to each, so that a crowded strip is
+not one key.
 """
 
 from __future__ import annotations
@@ -20,10 +22,21 @@ def ring_edges(vertices: DataFrame, keys: list[str], order: str = "pos", x: str
     )
 
 
+#: Shares of the points of one strip.
+SALTS = 16
+
+
 def _strips(low: Column, high: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
 
 
+def _meet(points: DataFrame, edges: DataFrame, point: list[str]) -> DataFrame:
+    """Every point with the edges of its strip."""
+    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*point), F.lit(SALTS)))
+    copied = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return dealt.join(copied, ["strip", "_salt"]).drop("_salt")
+
+
 def containing_polygon(
     points: DataFrame,
     edges: DataFrame,
@@ -51,7 +64,7 @@ def containing_polygon(
         F.col("y2") - F.col("y1")
     )
     crossed = (
-        at.join(striped, "strip")
+        _meet(at, striped, point)
         .filter(spans & (F.col("px") < where))
         .groupBy(*point, poly)
         .agg(F.count("*").alias("n"))
@@ -113,7 +126,7 @@ def time_zone(
     spans = ((px >= F.col("x1")) & (px < F.col("x2"))) | ((px <= F.col("x1")) & (px > F.col("x2")))
     slope = (F.col("y1") - F.col("y2")) / (F.col("x1") - F.col("x2"))
     cuts = (
-        at.join(striped, "strip")
+        _meet(at, striped, point)
         .filter(spans)
         .select(
             *point, "py", "zone_id", "offset", "ymin", "ymax",

@@ -346,6 +346,33 @@ def test_folds(spark):
     assert {r.CVgroup for r in again[0]} == {1, 2, 3, 4, 5}
 
 
+def test_points_of_one_strip(spark):
+    ring = [(1, p, float(x), float(y)) for p, (x, y) in enumerate([(0, 0), (6, 0), (6, 1), (0, 1), (0, 0)])]
+    edges = rg.ring_edges(spark.createDataFrame(ring, "poly_id INT, pos INT, x DOUBLE, y DOUBLE"), ["poly_id"])
+    points = spark.range(4000).select("id", (F.col("id") / 400.0).alias("x"), F.lit(0.5).alias("y"))
+    found = rg.containing_polygon(points, edges, ["id"]).filter("region = 1")
+    assert found.count() == 2400 and found.agg(F.max("id")).first()[0] == 2399
+
+
+def test_replacement_survives_a_stop_between_its_renames(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).write.parquet(path + ".old")
+    sk.recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    sk.replace_table(spark.range(7).toDF("id"), path)
+    assert spark.read.parquet(path).count() == 7
+    assert not (tmp_path / "t.old").exists() and not (tmp_path / "t.new").exists()
+
+
+def test_resume_with_odd_partition_values(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([("a b/c", 1, 1), (None, 2, 2), ("x=y", 3, 3)], "k STRING, m INT, v INT")
+    sk.write_missing(df.filter("v < 3"), path, ["k", "m"])
+    sk.write_missing(df.withColumn("v", F.col("v") + 10), path, ["k", "m"])
+    rows = sorted(((r.k, r.m, r.v) for r in spark.read.parquet(path).collect()), key=str)
+    assert rows == sorted([("a b/c", 1, 1), (None, 2, 2), ("x=y", 3, 13)], key=str)
+
+
 def test_replace_and_resume(spark):
     path = scratch_path(spark, "t")
     spark.range(5).write.parquet(path)
