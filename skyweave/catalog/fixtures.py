@@ -139,7 +139,7 @@ SQL_VIEWS["climate_region"] = (
     ["cells"],
 )
 
-# Sites are suppliers; monthly dates keep many sites on each date.
+# Sites are suppliers, dates are true days.
 _LAT = "30 + l_suppkey * 37 % 1000 / 64.0"
 _LON = "-120 + l_suppkey * 91 % 2999 / 64.0"
 
@@ -151,7 +151,7 @@ def obs_daily(spark, sf):
             f"""
     Site = CAST(l_suppkey AS STRING)
     POC = CAST(l_linenumber % 3 + 1 AS INT)
-    Date = CAST(trunc(l_shipdate, 'MONTH') AS DATE)
+    Date = CAST(l_shipdate AS DATE)
     Lat = {_LAT}
     Lon = {_LON}
     Conc = l_quantity"""
@@ -161,7 +161,7 @@ def obs_daily(spark, sf):
 
 SQL_VIEWS["obs_daily"] = (
     f"""SELECT CAST(l_suppkey AS VARCHAR) AS Site, CAST(l_linenumber % 3 + 1 AS INTEGER) AS POC,
-    CAST(date_trunc('month', l_shipdate) AS DATE) AS "Date", {_LAT} AS Lat, {_LON} AS Lon,
+    CAST(l_shipdate AS DATE) AS "Date", {_LAT} AS Lat, {_LON} AS Lon,
     l_quantity AS Conc FROM lineitem""",
     [],
 )
@@ -174,7 +174,7 @@ def model_daily(spark, sf):
         + _d(
             f"""
     LAY = CAST(l_linenumber % 2 AS INT)
-    Date = CAST(trunc(l_shipdate, 'MONTH') AS DATE)
+    Date = CAST(l_shipdate AS DATE)
     O3_MDA8 = {_PRICE}"""
         ),
     )
@@ -183,7 +183,7 @@ def model_daily(spark, sf):
 
 SQL_VIEWS["model_daily"] = (
     f"""SELECT {_SQL_CELL}, CAST(l_linenumber % 2 AS INTEGER) AS LAY,
-    CAST(date_trunc('month', l_shipdate) AS DATE) AS "Date", avg({_PRICE}) AS O3_MDA8
+    CAST(l_shipdate AS DATE) AS "Date", avg({_PRICE}) AS O3_MDA8
     FROM lineitem GROUP BY ALL""",
     [],
 )

@@ -200,7 +200,7 @@ def _(spark, sf):
 @query(
     "j26_fused_value_at_test_cell",
     """, t AS (SELECT Site, "Date", Conc, CAST(CAST(Site AS INTEGER) % 10 + 1 AS INTEGER) AS ROW, CAST(CAST(Site AS INTEGER) % 12 + 1 AS INTEGER) AS COL FROM obs_daily),
- f AS (SELECT ROW, COL, date_trunc('month', "Timestamp")::DATE AS "Date", avg(vna_ozone) AS vna_ozone, avg(evna_ozone) AS evna_ozone FROM fused_daily GROUP BY ALL),
+ f AS (SELECT ROW, COL, "Timestamp" AS "Date", avg(vna_ozone) AS vna_ozone, avg(evna_ozone) AS evna_ozone FROM fused_daily GROUP BY ALL),
  j AS (SELECT Site, "Date", Conc AS y_true, ROW, COL, vna_ozone, evna_ozone FROM t JOIN f USING (ROW, COL, "Date"))
  SELECT Site, "Date", y_true, ROW, COL, 'vna_ozone' AS "Method", vna_ozone AS y_pred FROM j UNION ALL SELECT Site, "Date", y_true, ROW, COL, 'evna_ozone', evna_ozone FROM j""",
     "obs_daily fused_daily",
@@ -215,7 +215,7 @@ def _(spark, sf):
     )
     fused = (
         fx.fused_daily(spark, sf)
-        .groupBy("ROW", "COL", F.trunc("Timestamp", "month").alias("Date"))
+        .groupBy("ROW", "COL", F.col("Timestamp").alias("Date"))
         .agg(F.avg("vna_ozone").alias("vna_ozone"), F.avg("evna_ozone").alias("evna_ozone"))
     )
     joined = test.join(fused, ["ROW", "COL", "Date"])

@@ -204,7 +204,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = scratch_path(spark, "obs")
-    sk.write_by(fx.obs_hourly(spark, sf).withColumn("Year", F.year("dateon")), path, ["Year"], salts=8)
+    sk.write_by(fx.obs_hourly(spark, sf).withColumn("Year", F.year("dateon")), path, ["Year"])
     return tb.with_spill_years(spark.read.parquet(path), "dateon", "2011-01-01 00:00:00", "2011-03-01 08:00:00")
 
 
@@ -250,7 +250,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "periods")
     rows = fx.metrics(spark, sf).select("ROW", "COL", "Year", "Period", "model")
-    sk.write_by(rows, path, ["Period"], salts=4)
+    sk.write_by(rows, path, ["Period"])
     return spark.read.parquet(path)
 
 

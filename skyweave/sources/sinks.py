@@ -6,23 +6,19 @@ import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def write_by(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet", mode: str = "overwrite", salts: int = 8) -> None:
+def write_by(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per value of ``columns`` (per day, per metric).
 
     Rows are brought together by those columns so that each folder gets few
-    files; ``salts`` spreads a dominating value over that many tasks.
+    files; adaptive execution splits a value that dominates by its size.
     """
-    by = [F.col(c) for c in columns]
-    if salts > 1:
-        by.append(F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    writer = df.repartition(*by).write.mode(mode).partitionBy(*columns)
+    writer = df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(path)
