@@ -364,7 +364,7 @@ def _(spark, sf):
     return cp.empirical_cdf(fx.fused_daily(spark, sf), "model")
 
 
-_KDE = """, p AS (SELECT Conc AS x, model AS y, count(*) AS c FROM (SELECT Conc, floor(model) AS model FROM cv_result WHERE Conc IS NOT NULL AND model IS NOT NULL) GROUP BY ALL),
+_KDE = """, p AS (SELECT Conc AS x, model AS y, count(*) AS c FROM (SELECT Conc, model FROM cv_result WHERE Conc IS NOT NULL AND model IS NOT NULL) GROUP BY ALL),
  m AS (SELECT sum(c) AS n, sum(c * x) / sum(c) AS mx, sum(c * y) / sum(c) AS my FROM p),
  v AS (SELECT max(n) AS n, max(mx) AS mx, max(my) AS my, sum(c * (x - mx) * (x - mx)) / (sum(c) - 1) AS sxx, sum(c * (x - mx) * (y - my)) / (sum(c) - 1) AS sxy,
  sum(c * (y - my) * (y - my)) / (sum(c) - 1) AS syy FROM p, m),
@@ -379,7 +379,7 @@ _KDE = """, p AS (SELECT Conc AS x, model AS y, count(*) AS c FROM (SELECT Conc,
 
 @query("a52_kernel_density", _KDE, "cv_result", "density")
 def _(spark, sf):
-    pairs = fx.cv_result(spark, sf).select("Conc", F.floor("model").cast("double").alias("model"))
+    pairs = fx.cv_result(spark, sf).select("Conc", "model")
     return cp.kernel_density(pairs, "Conc", "model")
 
 

@@ -43,11 +43,6 @@ def day_index(date: str | Column) -> Column:
     return F.dayofyear(col(date)) - 1
 
 
-def month_file_index(ts: str | Column, first_year: int) -> Column:
-    """Position of a month in a list of monthly files that starts in January."""
-    return (F.year(col(ts)) - first_year) * 12 + F.month(col(ts)) - 1
-
-
 def days_in_month(ts: str | Column) -> Column:
     return F.dayofmonth(F.last_day(col(ts).cast("date")))
 
@@ -82,7 +77,8 @@ def in_wrapping_range(date: str | Column, start: str, end: str) -> Column:
     return (day >= start) | (day <= end)
 
 
-def month_set_label(months: list[int], year: int) -> str:
+def month_set_label(months: list[int] | None, year: int | None = None, dates: list | None = None) -> str:
+    """Name of a selection: a month set with its year, else the first and last date, else unspecified."""
     # Names of month sets.
     named = {
         (1, 2, 3): "JFM",
@@ -92,5 +88,7 @@ def month_set_label(months: list[int], year: int) -> str:
         (4, 5, 6, 7, 8, 9): "AS",
         tuple(range(1, 13)): "ALL",
     }
-    name = named.get(tuple(sorted(set(months))))
-    return f"{name}_{year}" if name else f"{year}{list(months)}"
+    if months:
+        name = named.get(tuple(sorted(set(months))))
+        return f"{name}_{year}" if name else f"{year}{list(months)}"
+    return f"{dates[0]:%Y%m%d}_{dates[-1]:%Y%m%d}" if dates else "UNSPECIFIED"

@@ -90,12 +90,6 @@ def whole_number_or_same(c: str | Column) -> Column:
     )
 
 
-def nonnull_mean(values: list[Column]) -> Column:
-    present = F.filter(F.array(*values), lambda v: v.isNotNull())
-    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
-    return F.when(F.size(present) > 0, total / F.size(present))
-
-
 def row_spread(columns: list[str]) -> tuple[Column, Column]:
     """Sample standard deviation and mean over the non-null columns of a row."""
     present = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull())

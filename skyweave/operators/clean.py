@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.functions.ozone import nan_to_null, ppb_to_ppm
+from skyweave.functions.ozone import ppb_to_ppm
 from skyweave.schemas import SENTINEL
 
 
@@ -13,10 +13,6 @@ def scale_to_ppm(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: ppb_to_ppm(c) for c in columns})
 
 
-def nulls_for_nan(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: nan_to_null(c) for c in columns})
-
-
 def keep_region(df: DataFrame, region: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Rows whose cell is marked for fusion."""
     return df.join(region.filter(F.col("Is") == 1), on or ["ROW", "COL"], "left_semi")

@@ -273,7 +273,10 @@ def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFram
     coordinates the kernel is a product of two one-dimensional ones, so the
     points are counted on a lattice with ``per_band`` steps per bandwidth and
     smoothed along one axis after the other.  Work grows with the points once
-    and otherwise with the lattice only; no pair of points is ever formed.
+    and otherwise with the lattice only; no pair of points is ever formed.  A
+    point moves by at most half a step, so a single kernel changes by less than
+    ``0.31 / per_band`` of its peak per axis; over many points the shifts cancel
+    and the error falls with the square of the step.
     """
     pairs = paired(df, x, y).select(x, y)
     moments = cut_lineage(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.operators.hourly import daily_max_8h, grid_local_time, grid_w126
-from skyweave.operators.rollup import metric_table, site_metrics
+from skyweave.operators.rollup import metric_table
 
 
 def hourly_to_mda8(hourly: DataFrame, tz_grid: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,9 +27,3 @@ def hourly_to_metrics(
 
 def hourly_to_w126(hourly: DataFrame, tz_grid: DataFrame, columns: list[str], year: int, cells: DataFrame | None = None) -> DataFrame:
     return grid_w126(grid_local_time(hourly, tz_grid), columns, year, cells)
-
-
-def site_hours_to_metrics(hourly: DataFrame, site: str, ts: str, leader: str, columns: list[str]) -> DataFrame:
-    """Per-site 8-hour maxima, then site metrics."""
-    days = daily_max_8h(hourly, [site], ts, columns)
-    return site_metrics(days, [site], "Date", leader, columns, ["Date"])

@@ -1,28 +1,9 @@
-"""Explicit schemas and fixed names of the domain tables."""
+"""Fixed names and sizes of the domain."""
 
 from __future__ import annotations
 
-# Method columns, period labels, month sets.
-METHODS = ["vna_ozone", "evna_ozone", "avna_ozone", "model"]
-ALL_METHODS = ["model", "vna_ozone", "evna_ozone", "avna_ozone", "ds_ozone", "harvard_ml"]
+# Seasons, the warm season, the 12 km grid, the missing-value code.
 SEASONS = {"DJF": (12, 1, 2), "MAM": (3, 4, 5), "JJA": (6, 7, 8), "SON": (9, 10, 11)}
 WARM_SEASON = ("Apr-Sep", (4, 5, 6, 7, 8, 9))
 GRID_ROWS, GRID_COLS = 299, 459
-NO_REGION = -999
 SENTINEL = -999.0
-
-OBS_DAILY = "Site STRING, POC INT, Date DATE, Lat DOUBLE, Lon DOUBLE, Conc DOUBLE"
-OBS_HOURLY = (
-    "site_id STRING, POCode INT, dateon TIMESTAMP_NTZ, O3 DOUBLE, Lat DOUBLE, Lon DOUBLE"
-)
-MODEL_DAILY = "ROW INT, COL INT, LAY INT, Date DATE, O3_MDA8 DOUBLE"
-MODEL_HOURLY = "ROW INT, COL INT, LAY INT, TSTEP TIMESTAMP_NTZ, O3 DOUBLE, year INT, month INT"
-MODEL_CUBE = "TSTEP INT, LAY INT, v ARRAY<ARRAY<DOUBLE>>"
-FUSED_DAILY = (
-    "ROW INT, COL INT, vna_ozone DOUBLE, vna_mod DOUBLE, vna_bias DOUBLE, vna_r_n DOUBLE, "
-    "avna_ozone DOUBLE, evna_ozone DOUBLE, model DOUBLE, Timestamp DATE"
-)
-FUSED_HOURLY = FUSED_DAILY.replace("Timestamp DATE", "Timestamp TIMESTAMP_NTZ")
-REGION = "ROW INT, COL INT, Is INT"
-TZ_GRID = "ROW INT, COL INT, Lat DOUBLE, Lon DOUBLE, gmt_offset DOUBLE"
-TZ_SITE = "site_id STRING, Lat DOUBLE, Lon DOUBLE, gmt_offset DOUBLE, epa_region STRING"

@@ -291,6 +291,8 @@ def test_calendar(spark):
     assert dates == [dt.date(2012, 12, 31), None, None, dt.date(2011, 2, 28)]
     assert cal.month_set_label([9, 8, 7], 2011) == "JAS_2011"
     assert cal.month_set_label([1, 2], 2011) == "2011[1, 2]"
+    assert cal.month_set_label(None, 2011, [dt.date(2011, 4, 1), dt.date(2011, 10, 31)]) == "20110401_20111031"
+    assert cal.month_set_label([]) == "UNSPECIFIED"
     days = spark.createDataFrame([(dt.date(2011, m, 15),) for m in range(1, 13)], "d DATE")
     winter = days.filter(cal.in_wrapping_range("d", "11-15", "02-10")).count()
     assert winter == 3
