@@ -346,8 +346,8 @@ def _(spark, sf):
 
 @query(
     "p33_large_groups",
-    "SELECT * FROM obs_daily WHERE (Site, \"Date\") IN (SELECT (Site, \"Date\") FROM obs_daily GROUP BY Site, \"Date\" HAVING count(*) >= 10)",
+    "SELECT * FROM obs_daily WHERE (Site, \"Date\") IN (SELECT (Site, \"Date\") FROM obs_daily GROUP BY Site, \"Date\" HAVING count(*) >= 2)",
     "obs_daily",
 )
 def _(spark, sf):
-    return cl.large_groups(fx.obs_daily(spark, sf), ["Site", "Date"], 10)
+    return cl.large_groups(fx.obs_daily(spark, sf), ["Site", "Date"], 2)

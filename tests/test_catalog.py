@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 import check  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+SF, NEXT_SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 entry = importlib.import_module("__spark_entry__")
 
 
@@ -24,7 +24,8 @@ def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     problems, rows, _ = check.compare(df, duck, entry.oracle_sql()[name])
     assert not problems
-    assert rows > 0
+    if not rows:  # the smallest tables may hold none of the rows asked for, the next ones must
+        assert not entry.queries()[name](spark, NEXT_SF).isEmpty()
 
 
 def test_entry_runs(spark):
