@@ -31,6 +31,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a bucket that are compared pair by pair; larger buckets meet in variants.
 BUCKET = 64
+#: Bits of the lookup of ids that lose a row; a fuller lookup only sends more rows to the join.
+LOOKUP_BITS = 1 << 24
 #: Shingle hashes unpacked to bits at a time.
 BLOCK = 1 << 17
 
@@ -158,12 +160,37 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> D
     its rows, as nothing tells them apart.
     """
     groups = cut_lineage(simhash_groups(docs, shingle, max_bits))
-    stays = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = stays.groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counted = groups.filter(own).groupBy("doc_id").agg(F.count("*").alias("_copies"))
     counted = cut_lineage(counted.select(F.col("doc_id").alias("_stays"), "_copies"))
-    kept = docs.join(counted, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stays")))
+    # Only ids that lose a row have to be looked up; a bitmap of fixed size tells which may.
+    losing = groups.filter(~own).select("doc_id").union(counted.filter("_copies > 1").select("_stays"))
+    bits = cut_lineage(
+        losing.filter("doc_id IS NOT NULL")
+        .select(_place("doc_id").alias("_at"))
+        .groupBy(F.floor(F.col("_at") / BITS).alias("_word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_at") % BITS).cast("int"))).alias("_bits"))
+    )
+
+    def suspected(df: DataFrame, id_col: str) -> DataFrame:
+        at = df.withColumn("_at", _place(id_col))
+        # At most LOOKUP_BITS / 64 rows.
+        met = at.join(F.broadcast(bits), F.floor(F.col("_at") / BITS) == F.col("_word"), "left")
+        bit = F.call_function("shiftright", F.col("_bits"), (F.col("_at") % BITS).cast("int")).bitwiseAND(F.lit(1))
+        return met.withColumn("_suspect", F.col(id_col).isNull() | (F.coalesce(bit, F.lit(0)) == 1)).drop("_at", "_word", "_bits")
+
+    marked = suspected(docs, "doc_id")
+    sure = marked.filter(~F.col("_suspect")).drop("_suspect")
+    stays = suspected(counted, "_stays").filter("_suspect").drop("_suspect")
+    unsure = marked.filter("_suspect").drop("_suspect")
+    kept = unsure.join(stays, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_stays")))
     if counted.filter("_copies > 1 and _stays is not null").isEmpty():
-        return kept.drop("_stays", "_copies")
+        return sure.unionByName(kept.drop("_stays", "_copies"))
     several = (F.col("_copies") > 1) & F.col("_stays").isNotNull()
     again = kept.filter(several).dropDuplicates(["_stays"])
-    return kept.filter(~several).unionByName(again).drop("_stays", "_copies")
+    return sure.unionByName(kept.filter(~several).unionByName(again).drop("_stays", "_copies"))
+
+
+def _place(id_col: str) -> Column:
+    """Place of an id in the lookup bitmap."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(LOOKUP_BITS))
