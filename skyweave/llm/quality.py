@@ -2,9 +2,9 @@
 
 The classifier is a logistic regression on the shares of hashed word n-grams
 (one and two words) and byte n-grams (three and four bytes) of the whole text.
-It is fitted on labelled rows: the ``sample`` rows with the smallest hashed ids
-(a documented bound, the only one here), a quarter of which is held back for
-Platt calibration.  Every row of the table is scored, in Arrow batches, against
+It is fitted on about ``sample`` labelled rows, chosen by their hashed ids (a
+documented bound, the only one here), a quarter of which is held back for Platt
+calibration.  Every row of the table is scored, in Arrow batches, against
 the fixed ``threshold`` on the calibrated probability.
 
 A null text has no words and fails the base rules.  Labels that are null or
@@ -14,6 +14,7 @@ Without labels of both kinds the classifier keeps everything.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
+from skyweave.llm.texts import about, id_text, map_batches, prepare, texts_of
 
 SPACES = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -192,7 +193,7 @@ def fit_platt(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tupl
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """Fit on the labelled rows with the ``sample`` smallest hashed ids."""
+    """Fit on about ``sample`` of the labelled rows."""
     prepare(docs.sparkSession)
     known = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("label"))
@@ -200,7 +201,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cla
         .groupBy("doc_id")
         .agg(F.min("label").alias("label"))
     )
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = known.filter(about("doc_id", known.count(), sample))
     marked = id_text(docs).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -215,14 +216,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cla
             names=["doc_id", "label", "at", "value"],
         )
 
-    table = map_batches(marked, run, "doc_id bigint, label int, at binary, value binary").collect()
-    table.sort(key=lambda r: r.doc_id)
-    rows = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4").astype(float)) for r in table]
-    truth = np.array([r.label for r in table], float)
-    if len(set(truth.tolist())) < 2:
-        return None
-    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 0 for r in table])
-    fit_on = [i for i in range(len(rows)) if not held[i]]
+    features = map_batches(marked, run, "doc_id bigint, label int, at binary, value binary")
+
+    def fit(batches):
+        table = sorted((tuple(r.values()) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        if len({label for _, label, _, _ in table}) == 2:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(_fitted(table))]})
+
+    # The sample is bounded: one task fits it, and the driver sees the weights only.
+    model = features.repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(model[0].model) if model else None
+
+
+def _fitted(table: list[tuple[int, int, bytes, bytes]]) -> Classifier:
+    """The classifier of rows ``(doc_id, label, buckets, values)``."""
+    rows = [(np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4")) for _, _, at, value in table]
+    truth = np.array([label for _, label, _, _ in table], float)
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i, _, _, _ in table])
+    fit_on = np.flatnonzero(~held)
     weights, bias = fit_logistic([rows[i] for i in fit_on], truth[fit_on])
     checked = np.flatnonzero(held) if len(set(truth[held].tolist())) == 2 else np.arange(len(rows))
     margins = np.array([bias + weights[rows[i][0]] @ rows[i][1] for i in checked])

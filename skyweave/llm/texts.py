@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyweave.session import ship_package
@@ -54,6 +54,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(column).to_pylist()
 
 
+def about(id_col: str, total: Column | int, wanted: int) -> Column:
+    """Whether a row is among about ``wanted`` of ``total``: its hashed id lies below a bound.
+
+    No row has to be sorted or moved; where no more than ``wanted`` exist all are taken.
+    """
+    share = F.lit(float(wanted)) / F.greatest(F.lit(total) if isinstance(total, int) else total, F.lit(1))
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)
+
+
 def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: a gapless number from 0 within the groups ``by``.
 
