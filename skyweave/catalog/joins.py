@@ -197,6 +197,23 @@ def _(spark, sf):
     return co.nearest_entries(missing, known, ["epa_region"])
 
 
+@query(
+    "j25_thirty_neighbours",
+    """SELECT POC, id, Site, CAST(r AS INTEGER) AS rank, sqrt(d2) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY POC, id ORDER BY d2, Site) AS r
+ FROM (SELECT *, (x - px) * (x - px) + (y - py) * (y - py) AS d2 FROM (SELECT ROW * 100 + COL AS id, -125 + COL * 5.0 AS px, 25 + ROW * 2.5 AS py FROM cells) p,
+ (SELECT DISTINCT POC, Site, Lon AS x, Lat AS y FROM obs_daily) s)) WHERE r <= 30""",
+    "obs_daily cells",
+    "distance",
+)
+def _(spark, sf):
+    from skyweave.operators.matching import nearest_k
+
+    sites = fx.obs_daily(spark, sf).select("POC", "Site", F.col("Lon").alias("x"), F.col("Lat").alias("y")).distinct()
+    cells = fx.tz_grid(spark, sf).select((F.col("ROW") * 100 + F.col("COL")).alias("id"), F.col("Lon").alias("x"), F.col("Lat").alias("y"))
+    keys = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("POC")
+    return nearest_k(cells.select(keys, "id", "x", "y"), sites, ["POC"], "id", "Site", 30)
+
+
 @query(
     "j26_fused_value_at_test_cell",
     """, t AS (SELECT Site, "Date", Conc, CAST(CAST(Site AS INTEGER) % 10 + 1 AS INTEGER) AS ROW, CAST(CAST(Site AS INTEGER) % 12 + 1 AS INTEGER) AS COL FROM obs_daily),

@@ -146,3 +146,18 @@ def nearest_known(
     d2 = (F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2
     best = F.min_by(F.struct(*take), F.struct(d2.alias("d2"), F.col("known_site")))
     return pairs.groupBy(point_id).agg(best.alias("best")).select(point_id, "best.*")
+
+
+def nearest_k(points: DataFrame, sites: DataFrame, keys: list[str], point: str, site: str, k: int = 30, finest: int = 0) -> DataFrame:
+    """The ``k`` nearest sites of each point with their rank and distance, per key.
+
+    Both sides hold ``keys`` (at least one) and plane coordinates ``x, y``;
+    equal distances go by site.  Fewer than ``k`` rows mean fewer sites.
+    """
+    placed = add_blocks(points.select(*keys, point, F.col("x").alias("px"), F.col("y").alias("py")), F.col("px"), F.col("py"), finest)
+    by = [*keys, "bx", "by"]
+    near = block_candidates(placed.select(*by).distinct(), sites.select(*keys, site, "x", "y"), keys, k, finest)
+    d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2
+    order = Window.partitionBy(*keys, point).orderBy("d2", site)
+    ranked = placed.join(near, by).withColumn("d2", d2).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select(*keys, point, site, "rank", F.sqrt("d2").alias("distance"))
