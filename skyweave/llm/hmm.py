@@ -7,7 +7,7 @@ with one end token.  Word counts over all learning texts give the base model
 The latent states emit a symbol: the end, one of the ``symbols`` most frequent
 words, or "another word", which then is drawn from ``b`` among the others.  So
 every text has an exact probability.  Baum-Welch starts on a bounded sample
-(the ``sample`` learning texts with the smallest hashed ids) and ends with
+(about ``sample`` learning texts, by their hashed ids) and ends with
 ``full_rounds`` rounds over all learning texts; expected counts are formed for
 whole texts in each task and summed by Spark, and only the tables of the model,
 whose size is set by ``states`` and ``symbols``, reach the driver.  The
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.langid import _share, remainder
 from skyweave.llm.lockstep import Lockstep, bounded_groups
-from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
+from skyweave.llm.texts import about, id_text, map_batches, prepare, texts_of
 from skyweave.session import cut_lineage
 
 #: Latent states and words with emissions of their own.
@@ -42,6 +43,8 @@ STATES, SYMBOLS = 8, 8192
 DICTIONARY = 100_000
 #: Learning texts of the first rounds, and the rounds.
 SAMPLE, SAMPLE_ROUNDS, FULL_ROUNDS = 1500, 8, 2
+#: Steps of a doubling of the count at which the dictionary may end.
+STEPS = 16
 #: Pseudo-count of a word in the base model.
 PSEUDO = 0.1
 #: Tokens that go through the recursion together.
@@ -104,8 +107,8 @@ class Vocabulary:
         """Words, their places (-1 for infrequent words) and the words per text."""
         words = [tokens_of(t) for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        get = self.places.get
-        places = np.fromiter((get(w, -1) for ws in words for w in ws), np.int64, int(sizes.sum()))
+        found = map(self.places.get, chain.from_iterable(words), repeat(-1))
+        places = np.fromiter(found, np.int32, int(sizes.sum()))
         return words, places, sizes
 
     def sequences(self, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -131,7 +134,7 @@ class Model:
 
     def _forward(self, symbols: np.ndarray, steps: Lockstep):
         seen = self.emit[symbols[steps.order]]
-        scale = np.empty(len(seen))
+        scale = np.empty(len(seen), seen.dtype)
         alpha = None
         for a, b in steps.steps():
             now = seen[a:b] * (self.start if alpha is None else alpha[: b - a] @ self.step)
@@ -150,20 +153,23 @@ class Model:
     def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, transitions and emissions of the sequences."""
         steps = Lockstep(sizes)
-        alphas = np.empty((len(symbols), len(self.start)))
+        alphas = np.empty((len(symbols), len(self.start)), self.emit.dtype)
         seen = scale = None
         for a, b, alpha, seen, scale in self._forward(symbols, steps):
             alphas[a:b] = alpha
         betas = np.empty_like(alphas)
-        back = np.zeros((0, len(self.start)))
+        seen /= scale[:, None]
+        turned, n, back = self.step.T.copy(), 0, None
         for a, b in reversed(list(steps.steps())):
-            beta = np.ones((b - a, len(self.start)))
-            beta[: len(back)] = back @ self.step.T
-            betas[a:b] = beta
-            back = seen[a:b] * beta / scale[a:b, None]
-        gamma = alphas * betas
+            beta = betas[a:b]
+            if n:
+                np.matmul(back, turned, out=beta[:n])
+            beta[n:] = 1
+            back, n = seen[a:b] * beta, b - a
+        seen *= betas
         later, before = steps.previous()
-        moved = self.step * (alphas[before].T @ (seen[later] * betas[later] / scale[later, None]))
+        moved = self.step * (alphas[before].T @ seen[later])
+        gamma = np.multiply(alphas, betas, out=betas)
         emitted = np.empty_like(self.emit)
         placed = symbols[steps.order]
         for k in range(emitted.shape[1]):
@@ -186,15 +192,18 @@ def baum_welch_round(learning: DataFrame, model: Model, vocabulary, symbols: int
     Rows of the counts: ``0`` starts, ``1 .. K`` transitions, then the symbols.
     """
     states = len(model.start)
-    sent = learning.sparkSession.sparkContext.broadcast(model)
+    # Expected counts need no more than single precision; the likelihood keeps double.
+    single = learning.sparkSession.sparkContext.broadcast(
+        Model(*(x.astype(np.float32) for x in (model.start, model.step, model.emit)))
+    )
 
     def run(batches):
         total = np.zeros((1 + states + symbols, states))
         for batch in batches:
-            own = vocabulary.value
+            own, model = vocabulary.value, single.value
             _, places, sizes = own.encode(texts_of(batch))
             for _, codes, lengths in _in_groups(own.sequences(places, sizes), sizes + 1):
-                start, moved, emitted = sent.value.expected(codes, lengths)
+                start, moved, emitted = model.expected(codes, lengths)
                 total[0] += start
                 total[1 : 1 + states] += moved
                 total[1 + states :] += emitted
@@ -209,7 +218,7 @@ def baum_welch_round(learning: DataFrame, model: Model, vocabulary, symbols: int
     total = np.zeros((1 + states + symbols, states))
     if len(table):
         total[table["slot"].to_numpy()] = table[[f"n{k}" for k in range(states)]].to_numpy()
-    sent.unpersist()
+    single.unpersist()
     base = vocabulary.value
     prior = np.r_[base.base(base.ends), base.other_mass, base.base(base.counts[: base.symbols])]
     start = total[0] + 1.0 / states
@@ -220,9 +229,18 @@ def baum_welch_round(learning: DataFrame, model: Model, vocabulary, symbols: int
 
 
 def fit_vocabulary(counts: DataFrame, ends: int, symbols: int, dictionary: int) -> Vocabulary:
-    """The ``dictionary`` most frequent words and the totals of the written ``word, c``."""
+    """The most frequent words, ``dictionary`` at most, and the totals of the written ``word, c``."""
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(dictionary).toPandas()
+    # Words per step of their count; the bound is the lowest step from which few enough are left.
+    step = F.floor(F.log2("c") * STEPS).cast("int")
+    taken, bound = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        taken += r.v
+        if taken > dictionary:
+            break
+        bound = r.step
+    frequent = counts.filter(step >= bound) if bound is not None else counts.limit(0)
+    top = frequent.toPandas().sort_values(["c", "word"], ascending=[False, True])
     places = {w.encode(): i for i, w in enumerate(top["word"])}
     return Vocabulary(
         places, top["c"].to_numpy(np.int64), ends, whole.n + ends, whole.v + (ends > 0), min(symbols, len(places))
@@ -249,7 +267,7 @@ def scored(
     known = words.symbols + 2
     prior = np.r_[words.base(words.ends), words.other_mass, words.base(words.counts[: words.symbols])]
     model = Model.first(prior / prior.sum(), states)
-    few = cut_lineage(learning.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).repartition(6))
+    few = cut_lineage(learning.filter(about("doc_id", words.ends, sample)).repartition(6))
     for _ in range(sample_rounds):
         model = baum_welch_round(few, model, shared, known)
     for _ in range(full_rounds):
