@@ -6,8 +6,8 @@ those seen in that script.  Viterbi over the words with a penalty for each
 switch labels spans of mixed-language text; the language with the most letters
 is the prediction and its share of the letters the score.
 
-Only text and language of the learning rows shape the model: at most
-``per_language`` texts of each language (those with the smallest hashed ids; a
+Only text and language of the learning rows shape the model: about
+``per_language`` texts of each language, chosen by their hashed ids (a
 documented bound), used whole.  Null and letterless texts are ``und`` with
 score 0, as is every text where nothing could be learned.
 """
@@ -21,11 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.lockstep import Lockstep, bounded_groups
-from skyweave.llm.texts import map_batches, prepare, texts_of
+from skyweave.llm.texts import about, map_batches, prepare, texts_of
 
 #: Learning texts of each language.
 PER_LANGUAGE = 1500
@@ -203,9 +203,10 @@ def _stepped(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarr
 def fit_languages(learning: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
     """Fit on ``doc_id, text, lang``: n-gram and script counts, summed by Spark."""
     usable = learning.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    texts = usable.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    totals = usable.groupBy("lang").agg(F.count("*").alias("total"))
+    # One row per language, of which the model itself holds a whole table; no text is moved.
+    chosen = usable.join(F.broadcast(totals), "lang").filter(about("doc_id", F.col("total"), per_language))
+    texts = chosen.select("lang", "text")
 
     def run(batch: pa.RecordBatch):
         langs = np.array(batch.column("lang").to_pylist(), object)
