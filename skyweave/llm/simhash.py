@@ -153,13 +153,16 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Data
     return prints.join(labels, "bits").select("doc_id", "bits", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """``docs``, all columns, with the smallest ``doc_id`` of each group only.
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns, with the smallest ``doc_id`` of each group of near copies only.
 
+    The groups are those of ``nearcopies``: fingerprints at few bits miss most pairs at the bound.
     Of repeated rows of that id one stays.  A group without any id keeps all of
     its rows, as nothing tells them apart.
     """
-    groups = cut_lineage(simhash_groups(docs, shingle, max_bits))
+    from skyweave.llm.nearcopies import near_copy_groups
+
+    groups = cut_lineage(near_copy_groups(docs, shingle, similarity))
     own = F.col("doc_id").eqNullSafe(F.col("component_id"))
     counted = groups.filter(own).groupBy("doc_id").agg(F.count("*").alias("_copies"))
     counted = cut_lineage(counted.select(F.col("doc_id").alias("_stays"), "_copies"))
