@@ -6,6 +6,10 @@ programming into known words, dates, repeats, keyboard walks and brute-force
 characters, so that the decimal logarithm of the guesses is least.  A value that
 still costs ``min_cost`` or more and lies in no base span is added as ``guess``.
 
+The known words are those of the corpus itself, ranked by the number of texts
+that hold them (values in a credential context do not count), besides a short
+fixed list; at most ``DICTIONARY`` words, which every task holds.
+
 Positions are code points, ends are exclusive.  A null text is empty.
 """
 
@@ -14,15 +18,26 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
+from skyweave.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Decimal logarithm of the guesses from which a value counts as a secret.
 MIN_COST = 8.0
+#: Words of the corpus that every task holds, and the texts that have to hold such a word.
+DICTIONARY, LEAST_TEXTS = 50_000, 2
+#: Distinct words that a task counts before it passes them on.
+FLUSH = 400_000
+#: Steps of a doubling of the count at which the list may end.
+STEPS = 16
+#: Cost of a sign that joins two letters, as in a compound word.
+JOINT = 0.3
 #: Characters of one walk or repeat; longer ones are several, so that the cost of a value is linear work.
 LONGEST_PART = 64
 
@@ -53,12 +68,53 @@ WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0123456789", "abcd
 # Digits and signs that stand for letters.
 LEET = str.maketrans("013457@$!", "oleastasi")
 
+#: Letters of the longest known word.
+WORD_LETTERS = 32
+WORD = re.compile(rf"[^\W\d_]{{2,{WORD_LETTERS}}}")
+
 _RANK = {w: i for i, w in reversed(list(enumerate(COMMON_WORDS, 1)))}
-_LONGEST = max(map(len, _RANK))
 _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d)")
 _DATE_LENGTHS = (4, 8, 10)
 
 
+def word_ranks(texts: DataFrame) -> dict[str, int]:
+    """Ranks of the most frequent words by the number of rows of ``text`` that hold them."""
+
+    def run(batches):
+        counts: Counter[str] = Counter()
+
+        def told():
+            return pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+        for batch in batches:
+            for text in texts_of(batch):
+                low = (text or "").lower()
+                if any(cue in low for cue in CUES):
+                    low = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], low)
+                counts.update(set(WORD.findall(low)))
+            if len(counts) > FLUSH:
+                yield told()
+                counts.clear()
+        if counts:
+            yield told()
+
+    counted = texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+    counted = cut_lineage(counted.filter(F.col("c") >= LEAST_TEXTS))
+    step = F.floor(F.log2("c") * STEPS).cast("int")
+    taken, bound = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        taken += r.v
+        if taken > DICTIONARY:
+            break
+        bound = r.step
+    ranks = dict(_RANK)
+    if bound is not None:
+        top = sorted((-r.c, r.word) for r in counted.filter(step >= bound).collect())
+        for i, (_, word) in enumerate(top, 1):
+            ranks[word] = min(i, ranks.get(word, i))
+    return ranks
+
+
 def _walk_runs(value: str) -> list[int]:
     """For each place, the length of the longest keyboard walk that begins there."""
     steps = {(a, b) for row in WALKS for s in (row, row[::-1]) for a, b in zip(s, s[1:])}
@@ -72,7 +128,7 @@ def _walk_runs(value: str) -> list[int]:
 def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """Least decimal logarithm of the guesses over all segmentations of ``value``."""
     rank, n = words or _RANK, len(value)
-    longest = max(map(len, rank))
+    longest = WORD_LETTERS
     low, plain = value.lower(), value.lower().translate(LEET)
     walks = _walk_runs(low)
     best = [0.0] + [math.inf] * n
@@ -83,7 +139,8 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
 
     for i in range(n):
         here = best[i]
-        offer(i + 1, here + 1.0)
+        joins = value[i] in "-'’/" and 0 < i < n - 1 and value[i - 1].isalpha() and value[i + 1].isalpha()
+        offer(i + 1, here + (JOINT if joins else 1.0))
         for end in range(i + 2, min(n, i + longest) + 1):
             found = rank.get(low[i:end]) or rank.get(plain[i:end])
             if found:
@@ -116,7 +173,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def guess_spans(text: str, taken: list[tuple[int, int, int]], min_cost: float) -> list[tuple[int, int, int]]:
+def guess_spans(
+    text: str, taken: list[tuple[int, int, int]], min_cost: float, words: dict[str, int] | None = None
+) -> list[tuple[int, int, int]]:
     low = text.lower()
     if not any(cue in low for cue in CUES):
         return []
@@ -124,7 +183,7 @@ def guess_spans(text: str, taken: list[tuple[int, int, int]], min_cost: float) -
     for m in CONTEXT.finditer(text):
         start, end = m.span(1)
         inside = any(a <= start and end <= b for a, _, b in taken)
-        if not inside and guess_cost(m[1]) >= min_cost:
+        if not inside and guess_cost(m[1], words) >= min_cost:
             out.append((start, 3, end))
     return out
 
@@ -136,6 +195,8 @@ def _told(spans) -> str:
 def found_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
     """Per document: counts of the base kinds, the digest of the base spans, all spans."""
     prepare(docs.sparkSession)
+    rows = id_text(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(rows))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, told = [], [], []
@@ -143,22 +204,24 @@ def found_secrets(docs: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
             base = base_spans(text or "")
             counts.append([sum(k == kind for _, k, _ in base) for kind in range(3)])
             digests.append(hashlib.sha256(_told(base).encode()).hexdigest())
-            told.append(_told(sorted(base + guess_spans(text or "", base, min_cost))))
+            told.append(_told(sorted(base + guess_spans(text or "", base, min_cost, shared.value))))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*counts)], pa.array(digests), pa.array(told)],
             names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
         )
 
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
-    return map_batches(id_text(docs), run, schema)
+    return map_batches(rows, run, schema)
 
 
-def redacted(text: str, min_cost: float = MIN_COST, mark: str = "[SECRET]") -> str:
+def redacted(
+    text: str, min_cost: float = MIN_COST, mark: str = "[SECRET]", words: dict[str, int] | None = None
+) -> str:
     """``text`` with every span replaced; overlapping spans become one mark."""
     base = base_spans(text)
     parts, at = [], 0
     reach = -1
-    for start, _, end in sorted(base + guess_spans(text, base, min_cost)):
+    for start, _, end in sorted(base + guess_spans(text, base, min_cost, words)):
         if start >= reach:
             parts += [text[at:start], mark]
         reach = at = max(reach, end)
@@ -168,10 +231,12 @@ def redacted(text: str, min_cost: float = MIN_COST, mark: str = "[SECRET]") -> s
 def without_secrets(docs: DataFrame, min_cost: float = MIN_COST, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in the text; ``n_chars`` follows a changed text."""
     prepare(docs.sparkSession)
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(texts))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         old = batch.column(text_col).to_pylist()
-        new = [t and redacted(t, min_cost) for t in old]
+        new = [t and redacted(t, min_cost, words=shared.value) for t in old]
         columns = {n: batch.column(n) for n in batch.schema.names}
         columns[text_col] = pa.array(new, pa.string())
         if "n_chars" in columns:

@@ -86,3 +86,23 @@ def test_redaction(make):
 def test_query(spark, sf, sample):
     got = {r.doc_id: r.base_sha256 for r in QUERIES["op6_secret_scan"](spark, sf).collect()}
     assert got == {i: hashlib.sha256(",".join(brute(t)).encode()).hexdigest() for i, t in sample}
+
+
+CLEAN = [
+    "The secret is persistence.",
+    "Each token is represented by a vector",
+    "The password is case-sensitive",
+    "the only secret is preparation",
+]
+
+
+def test_clean_sentences_stay(make):
+    """Ordinary words of the corpus are no secrets; a value that is not made of them still is."""
+    prose = "Persistence and preparation are represented in every case, however sensitive."
+    rows = [(i, t) for i, t in enumerate([*CLEAN, prose, f"{prose} Again.", "the password is xkwqzvtrbn"])]
+    got = {r.doc_id: r.text for r in without_secrets(make(rows)).collect()}
+    assert [got[i] for i in range(len(CLEAN))] == CLEAN and got[6] == "the password is [SECRET]"
+    assert all("guess" not in r.spans for r in found_secrets(make(rows)).collect() if r.doc_id < 6)
+    # What stands in a credential context teaches no words.
+    again = [(i, "the password is xkwqzvtrbn") for i in range(5)]
+    assert all(r.text == "the password is [SECRET]" for r in without_secrets(make(again)).collect())
