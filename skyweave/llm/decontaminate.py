@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
 
@@ -278,47 +279,56 @@ def decontaminated(
     max_coverage: float = 0.5,
     min_span: int = 1,
     text_col: str = "text",
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs`` with marked spans of at least ``min_span`` words cut out of the text.
 
     Documents of which more than ``max_coverage`` is marked are dropped.  All
-    columns stay; ``n_chars`` follows a changed text.
+    columns stay; ``n_chars`` follows a changed text.  The marks of all blocks
+    are gathered on the whole text before anything is cut.
     """
     prepare(docs.sparkSession)
-    names, schema = docs.columns, docs.schema
-
-    def clean(marker):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            marks = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None] * batch.num_rows, pa.int64()),
-                    batch.column(text_col),
-                    pa.array([[]] * batch.num_rows, pa.list_(pa.int32())),
-                    pa.array([[]] * batch.num_rows, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "text", "hits", "items"],
+    names, schema, marks = docs.columns, docs.schema, "_hits"
+    while marks in map(str.lower, names):
+        marks = f"_{marks}"
+
+    def adding(marker):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            marked = marker(
+                pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([None] * batch.num_rows, pa.int64()),
+                        batch.column(text_col),
+                        batch.column(marks),
+                        pa.array([[]] * batch.num_rows, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "text", "hits", "items"],
+                )
             )
-            marked = marker(marks)
-            texts, sizes, keep = batch.column(text_col).to_pylist(), None, []
-            for i, (n, hits) in enumerate(zip(marked.column("n_words").to_pylist(), marked.column("hits").to_pylist())):
-                covered = sum(hits[1::2]) - sum(hits[::2])
-                keep.append(covered <= max_coverage * n)
-                if hits and keep[-1]:
-                    texts[i] = without_spans(texts[i], hits, min_span)
-            columns = {name: batch.column(name) for name in names}
-            columns[text_col] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                sizes = [
-                    n if m == t else len(m)
-                    for n, m, t in zip(columns["n_chars"].to_pylist(), texts, batch.column(text_col).to_pylist())
-                ]
-                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-            out = pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-            return out.filter(pa.array(keep))
+            columns = [*[batch.column(n) for n in names], marked.column("hits")]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, marks])
 
         return run
 
-    out = docs
-    for block in _blocks(benchmark, BLOCK_WORDS):
-        out = map_batches(out, clean(_marker(tuple(block), window)), schema)
-    return out
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, keep = batch.column(text_col).to_pylist(), []
+        for i, hits in enumerate(batch.column(marks).to_pylist()):
+            covered = sum(hits[1::2]) - sum(hits[::2])
+            keep.append(not hits or covered <= max_coverage * len(words_of(texts[i])))
+            if hits and keep[-1]:
+                texts[i] = without_spans(texts[i], hits, min_span)
+        columns = {name: batch.column(name) for name in names}
+        columns[text_col] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            sizes = [
+                n if m == t else len(m)
+                for n, m, t in zip(columns["n_chars"].to_pylist(), texts, batch.column(text_col).to_pylist())
+            ]
+            columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(keep))
+
+    out = docs.withColumn(marks, F.expr("cast(array() as array<int>)"))
+    marked_schema = StructType([*schema.fields, StructField(marks, ArrayType(IntegerType()))])
+    for block in _blocks(benchmark, block_words):
+        out = map_batches(out, adding(_marker(tuple(block), window)), marked_schema)
+    return map_batches(out, cut, schema)

@@ -74,3 +74,14 @@ def test_spans_are_cut_and_covered_documents_dropped(spark, make):
     got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in decontaminated(make(docs), bench).collect()}
     cut = f"{filler}; ! {filler}"
     assert got == {1: (cut, len(cut), True), 3: (filler, len(filler), True), 4: (None, None, True), 5: ("", 0, True)}
+
+
+def test_stage_is_the_same_for_every_block_size(spark, make, edges):
+    first, second = (" ".join(f"{c}{i}" for i in range(12)) for c in "qr")
+    over = " ".join([*first.split()[6:], *second.split()[:6]])
+    filler = " ".join(f"w{i}" for i in range(8))
+    docs = [(1, f"{first} {filler} {second}"), (2, f"{filler * 6} {first} {second.split()[6]} {filler}"), (3, f"{filler} x {first} {filler} {filler} {over} {filler}")]
+    docs += [(4, " ".join([filler, filler, filler, *first.split()[:6], *over.split(), *second.split()[6:], filler]))] + edges
+    bench = spark.createDataFrame(list(enumerate([first, over, second])), "item_id long, text string")
+    whole, *others = (rows(decontaminated(make(docs), bench, block_words=n)) for n in (10**6, 1, 20))
+    assert all(o == whole for o in others) and 1 not in {r[0] for r in whole}
