@@ -6,9 +6,9 @@ with one end token.  Word counts over all learning texts give the base model
 
 The latent states emit a symbol: the end, one of the ``symbols`` most frequent
 words, or "another word", which then is drawn from ``b`` among the others.  So
-every text has an exact probability.  Baum-Welch starts on a bounded sample
-(about ``sample`` learning texts, by their hashed ids) and ends with
-``full_rounds`` rounds over all learning texts; expected counts are formed for
+every text has an exact probability.  Every round of Baum-Welch reads all
+learning texts (``sample_rounds`` before them may read about ``sample`` texts,
+by their hashed ids; there are none by default); expected counts are formed for
 whole texts in each task and summed by Spark, and only the tables of the model,
 whose size is set by ``states`` and ``symbols``, reach the driver.  The
 likelihood is the scaled forward recursion over the whole text.
@@ -41,8 +41,8 @@ from skyweave.session import cut_lineage
 STATES, SYMBOLS = 8, 8192
 #: Frequent words whose counts every task holds.
 DICTIONARY = 100_000
-#: Learning texts of the first rounds, and the rounds.
-SAMPLE, SAMPLE_ROUNDS, FULL_ROUNDS = 1500, 8, 2
+#: Rounds over all learning texts; texts and number of rounds over a sample before them.
+FULL_ROUNDS, SAMPLE, SAMPLE_ROUNDS = 10, 1500, 0
 #: Steps of a doubling of the count at which the dictionary may end.
 STEPS = 16
 #: Pseudo-count of a word in the base model.
@@ -267,9 +267,10 @@ def scored(
     known = words.symbols + 2
     prior = np.r_[words.base(words.ends), words.other_mass, words.base(words.counts[: words.symbols])]
     model = Model.first(prior / prior.sum(), states)
-    few = cut_lineage(learning.filter(about("doc_id", words.ends, sample)).repartition(6))
-    for _ in range(sample_rounds):
-        model = baum_welch_round(few, model, shared, known)
+    if sample_rounds:
+        few = cut_lineage(learning.filter(about("doc_id", words.ends, sample)).repartition(6))
+        for _ in range(sample_rounds):
+            model = baum_welch_round(few, model, shared, known)
     for _ in range(full_rounds):
         model = baum_welch_round(learning, model, shared, known)
     return _scores(rows, counts, shared, words, model, modulus)

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from skyweave.llm import hmm
 from skyweave.llm.hmm import Model, scored
 from skyweave.llm.queries import QUERIES
 
@@ -108,3 +109,17 @@ def test_query_beats_the_base_on_held_out_texts(spark, sf):
     compare(got, brute(rows))
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > 0.98 * sum(r.base_score for r in held)
+
+
+def test_every_round_reads_all_learning_texts(make, monkeypatch):
+    """Also where there are more texts than the former sample of 1,500 held."""
+    rows = [(i, f"a b{i % 7}") for i in range(3000)]
+    read = []
+
+    def counted(learning, model, vocabulary, symbols):
+        read.append(learning.count())
+        return model
+
+    monkeypatch.setattr(hmm, "baum_welch_round", counted)
+    scored(make(rows), states=2)
+    assert read == [sum(zlib.crc32(str(i).encode()) % 10 > 0 for i, _ in rows)] * hmm.FULL_ROUNDS
