@@ -12,6 +12,7 @@ from skyweave.llm.decontaminate import contamination
 from skyweave.llm.hmm import scored
 from skyweave.llm.kdshards import sharded
 from skyweave.llm.langid import identified
+from skyweave.llm.linededup import line_digests
 from skyweave.llm.quality import quality_verdicts
 from skyweave.llm.secret_scan import found_secrets
 from skyweave.llm.simhash import simhash_groups
@@ -107,3 +108,27 @@ def op8_language_id(spark, sf_dir):
 @_query
 def op4_hidden_markov_scores(spark, sf_dir):
     return scored(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_line_dedup(spark, sf_dir):
+    return line_digests(_table(spark, sf_dir, "documents"), min_docs=10)
+
+
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+ORACLES["op11_line_dedup"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d
+), k AS (
+  SELECT *, translate(trim(line, {_BLANKS}), {_AZ}) AS key FROM l
+), common AS (
+  SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), marked AS (
+  SELECT k.*, common.key IS NOT NULL AS gone FROM k LEFT JOIN common USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r"""
