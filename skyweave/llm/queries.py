@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm.bestfit import packed_documents
+from skyweave.llm.conversations import repaired
 from skyweave.llm.decontaminate import contamination
 from skyweave.llm.hmm import scored
 from skyweave.llm.kdshards import sharded
@@ -19,6 +20,7 @@ from skyweave.llm.simhash import simhash_groups
 from skyweave.llm.texts import prepare
 from skyweave.llm.tokens import token_counts
 from skyweave.llm.warc import archived_pages
+from skyweave.llm.whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +134,13 @@ WITH d AS (
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r"""
+
+
+@_query
+def op12_embedding_whitening(spark, sf_dir):
+    return whitened(_table(spark, sf_dir, "embeddings"), components=16)
+
+
+@_query
+def op13_conversation_repair(spark, sf_dir):
+    return repaired(_table(spark, sf_dir, "conversations"))
