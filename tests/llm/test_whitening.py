@@ -47,10 +47,8 @@ def same(df, rows, components=16, close=1e-7):
         mine, theirs = [], []
         for i, copies in want.items():
             assert sorted(d for d, _ in got[i, c]) == sorted(d for d, _ in copies)
-            mine += sorted(w for _, w in got[i, c])
-            theirs += sorted(float(s[c - 1]) for _, s in copies)
-            if len(copies) > 1:
-                assert len({s[c - 1] for _, s in copies}) == 1
+            mine += [w for _, w in sorted(got[i, c])]
+            theirs += [w for _, w in sorted((d, float(s[c - 1])) for d, s in copies)]
         mine, theirs = np.array(mine), np.array(theirs)
         sign = np.sign(mine @ theirs)
         assert np.abs(mine - sign * theirs).max() < close
