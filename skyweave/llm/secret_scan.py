@@ -115,6 +115,12 @@ def word_ranks(texts: DataFrame) -> dict[str, int]:
     return ranks
 
 
+def folded(value: str) -> str:
+    """Lower case, character by character: one whose lower case is longer stays as it is."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
 def _walk_runs(value: str) -> list[int]:
     """For each place, the length of the longest keyboard walk that begins there."""
     steps = {(a, b) for row in WALKS for s in (row, row[::-1]) for a, b in zip(s, s[1:])}
@@ -129,7 +135,8 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     """Least decimal logarithm of the guesses over all segmentations of ``value``."""
     rank, n = words or _RANK, len(value)
     longest = WORD_LETTERS
-    low, plain = value.lower(), value.lower().translate(LEET)
+    low = folded(value)
+    plain = low.translate(LEET)
     walks = _walk_runs(low)
     best = [0.0] + [math.inf] * n
 

@@ -1,13 +1,16 @@
 import random
+import re
 
 import pytest
 
 from skyweave.llm.nearcopies import near_copy_groups
 from skyweave.llm.simhash import one_of_each_group
 
+AZ = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
 
 def shingles(text, width=5):
-    w = (text or "").lower().split()
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(AZ))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 

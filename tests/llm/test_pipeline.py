@@ -7,9 +7,9 @@ from skyweave.llm.simhash import one_of_each_group
 from skyweave.session import cut_lineage
 
 from test_decontaminate import brute as brute_marks
+from test_nearcopies import brute as brute_copies
 from test_quality import brute_rules
 from test_secret_scan import brute as brute_secrets
-from test_simhash import brute_components, brute_print
 from test_tokens import check_packing
 
 
@@ -35,12 +35,8 @@ def test_stages_replayed(spark, sf):
     assert len(good & set(first)) >= 0.97 * len(good)
     assert all(first[i] == rows[i] for i in first)
 
-    prints = {i: brute_print(r.text) for i, r in first.items()}
-    comp = brute_components(set(prints.values()))
-    least = {}
-    for i, p in prints.items():
-        least[comp[p]] = min(i, least.get(comp[p], i))
-    assert set(second) == set(least.values()) and all(second[i] == first[i] for i in second)
+    kept = {c for _, c in brute_copies([(i, r.text) for i, r in first.items()])}
+    assert set(second) == kept and all(second[i] == first[i] for i in second)
 
     marks = {m[0]: m for m in brute_marks([(i, r.text) for i, r in second.items()], items)}
     assert set(third) == {i for i in second if marks[i][2] <= 0.5 * marks[i][1]}
@@ -80,4 +76,4 @@ def test_registered(name):
     found = getattr(entry, name)()
     assert len(found) > 200
     if name == "queries":
-        assert {f"op{i}_" for i in range(1, 11)} <= {q.split("_")[0] + "_" for q in found} and "pipeline" in found
+        assert {f"op{i}_" for i in range(1, 14)} <= {q.split("_")[0] + "_" for q in found} and "pipeline" in found

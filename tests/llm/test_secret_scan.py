@@ -4,7 +4,7 @@ import math
 import re
 
 from skyweave.llm.queries import QUERIES
-from skyweave.llm.secret_scan import found_secrets, guess_cost, redacted, without_secrets
+from skyweave.llm.secret_scan import found_secrets, guess_cost, guess_spans, redacted, without_secrets
 
 PATTERNS = [
     ("assign", r"""((?:[pP][aA][sS][sS][wW](?:[oO][rR])?[dD])|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
@@ -106,3 +106,11 @@ def test_clean_sentences_stay(make):
     # What stands in a credential context teaches no words.
     again = [(i, "the password is xkwqzvtrbn") for i in range(5)]
     assert all(r.text == "the password is [SECRET]" for r in without_secrets(make(again)).collect())
+
+
+def test_letters_whose_lower_case_is_longer():
+    """A dotted capital I becomes two characters in lower case; places must not shift."""
+    assert guess_spans("the password is İİİqwertyuiop", [], 8.0) == []
+    assert guess_cost("aİpassword") == guess_cost("aßpassword")
+    assert guess_cost("İİİqwertyuiop") == guess_cost("ßßßqwertyuiop")
+    assert math.isfinite(guess_cost("İ" * 500 + "2019-01-01"))
