@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.projection import LambertConic, nearest_index
+from skyweave.session import cut_lineage
 
-#: Levels of square tiles above the finest; beyond them comes the root.
-LEVELS = 16
+#: Levels of square tiles from the finest up; beyond them comes the root.
+LEVELS = 12
 
 
 def locate_sites(
@@ -49,13 +50,18 @@ def tile(coordinate: Column, level: int) -> Column:
     return F.floor(coordinate / F.lit(float(2.0**level)))
 
 
-def _pyramid(df: DataFrame, finest: int) -> DataFrame:
-    """Rows of block (bx, by) once per level with their tile; the root tile is (0, 0)."""
+def _at_level(df: DataFrame, finest: int) -> DataFrame:
+    """Add the tile (tx, ty) of ``level`` that holds block (bx, by); the root tile is (0, 0)."""
     root = F.col("level") == finest + LEVELS
     up = F.pow(F.lit(2.0), F.col("level") - finest)
     at = lambda c: F.when(root, F.lit(0).cast("bigint")).otherwise(F.floor(F.col(c) / up).cast("bigint"))
-    levels = F.explode(F.sequence(F.lit(finest), F.lit(finest + LEVELS)))
-    return df.withColumn("level", levels).withColumns({"tx": at("bx"), "ty": at("by")})
+    return df.withColumns({"tx": at("bx"), "ty": at("by")})
+
+
+def _pyramid(df: DataFrame, finest: int) -> DataFrame:
+    """Rows of block (bx, by) once per level below the root, with their tile."""
+    levels = F.explode(F.sequence(F.lit(finest), F.lit(finest + LEVELS - 1)))
+    return _at_level(df.withColumn("level", levels), finest)
 
 
 def _around(df: DataFrame, reach: int, finest: int) -> DataFrame:
@@ -82,25 +88,29 @@ def block_candidates(
     than the k-th nearest plus the block's diagonal.
     """
     by = [*keys, "level", "tx", "ty"]
+    root = finest + LEVELS
     placed = add_blocks(sites, F.col("x"), F.col("y"), finest)
     counted = _pyramid(placed.groupBy(*keys, "bx", "by").agg(F.count("*").alias("n")), finest).groupBy(*by).agg(
         F.sum("n").alias("n")
     )
-    spread = _around(counted, 1, finest).groupBy(*by).agg(F.sum("n").alias("n"))
-    root = finest + LEVELS
-    proven = spread.filter((F.col("n") >= k) & (F.col("level") < root)).select(*by)
-    tiles = _pyramid(blocks.select(*keys, "bx", "by"), finest)
-    chosen = (
-        tiles.join(proven.withColumn("ok", F.lit(1)), by, "left")
-        .groupBy(*keys, "bx", "by")
-        .agg(F.coalesce(F.min(F.when(F.col("ok") == 1, F.col("level"))), F.lit(root)).alias("_level"))
-    )
-    needed = _around(
-        _pyramid(chosen, finest).filter(F.col("level") == F.col("_level")).drop("_level"), 3, finest
+    # Only tiles that hold a block look around; coarse levels have few of them.
+    blocks = cut_lineage(blocks.select(*keys, "bx", "by"))
+    own = _pyramid(blocks, finest).select(*by).distinct()
+    looked = _around(own.withColumns({"ox": F.col("tx"), "oy": F.col("ty")}), 1, finest).join(counted, by)
+    proven = (
+        looked.groupBy(*keys, "level", F.col("ox").alias("tx"), F.col("oy").alias("ty"))
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= k)
+        .select(*by)
     )
-    # Sites are copied to the tiles that are asked for only.
+    best = _pyramid(blocks, finest).join(proven, by).groupBy(*keys, "bx", "by").agg(F.min("level").alias("level"))
+    chosen = cut_lineage(blocks.join(best, [*keys, "bx", "by"], "left").fillna(root, "level"))
+    needed = _around(_at_level(chosen, finest), 3, finest)
+    # A site is copied to the levels that its key asks for, and of those to tiles that are asked for.
+    levels = chosen.groupBy(*keys).agg(F.collect_set("level").alias("levels"))
+    spread = placed.join(levels, keys).withColumn("level", F.explode("levels")).drop("levels")
     asked = needed.select(*by).distinct()
-    copies = _pyramid(placed, finest).drop("bx", "by").join(asked, by, "left_semi")
+    copies = _at_level(spread, finest).drop("bx", "by").join(asked, by, "left_semi")
     pairs = needed.join(copies, by)
     side = float(2.0**finest)
     middle = lambda b, c: (F.col(b) + 0.5) * side - F.col(c)

@@ -1,16 +1,11 @@
-"""Exact percentiles and ranked values that survive a dominating group.
-
-Equal values are counted with partial aggregation, the distinct values are
-dealt to shelves (sampled ranges), and only the shelves that hold a wanted rank
-are opened: no task ever holds a group.
-"""
+"""Exact percentiles and ranked values that survive a dominating group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.operators.shelves import join_null_safe, shelf_totals, shelved
+from skyweave.operators.radix import selected
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -18,49 +13,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
 
     Groups without any value keep their row; a NULL key is a group like others.
     """
-    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    wide = df.select(*keys, *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
-    counted = (
-        wide.unpivot(keys, [f"_c{i}" for i in range(len(columns))], "_name", "_v")
-        .groupBy(*keys, "_name", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
-    by = [*keys, "_name"]
-    rows = shelved(counted, by, ["_v"])
-    valued = rows.filter(F.col("_v").isNotNull())
-    wants = F.array(
-        *[
-            F.struct(F.lit(out).alias("out"), F.lit(f"_c{columns.index(c)}").alias("name"), F.lit(p).alias("p"))
-            for out, (c, p) in wanted.items()
-        ]
-    )
-    own = F.explode(F.filter(wants, lambda w: w["name"] == F.col("_name"))).alias("_w")
-    # The shelves that hold the lower or the upper neighbour of a position.
-    opened = (
-        shelf_totals(valued, by, "_c")
-        .select(*by, "_shelf", "_sum", "_before", "_total", own)
-        .withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
-        .filter((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_sum") > F.floor("_pos")))
-        .select(*by, "_shelf", "_before", "_pos", F.col("_w.out").alias("_out"))
-    )
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_shelf", "_out").orderBy("_v"))
-    ranked = (
-        join_null_safe(valued, opened, [*by, "_shelf"])
-        .withColumn("_last", F.col("_before") + upto - 1)
-        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
-    )
-    at = lambda edge: F.max(F.when(edge("_pos").between(F.col("_first"), F.col("_last")), F.col("_v")))
-    picked = ranked.groupBy(*keys, "_out").agg(
-        F.max("_pos").alias("_pos"), at(F.floor).alias("_lo"), at(F.ceil).alias("_hi")
-    )
-    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos"))
-    found = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_out") == o, value)).alias(o) for o in wanted])
-    if not keys:
-        return found
-    named = {o: f"_o{i}" for i, o in enumerate(wanted)}
-    groups = rows.select(*keys).distinct()
-    joined = join_null_safe(groups, found.withColumnsRenamed(named), keys, "left")
-    return joined.select(*keys, *[F.col(n).alias(o) for o, n in named.items()])
+    return selected(df, keys, wanted)
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions.calendar import period_labels
+from skyweave.operators.periodstate import top_and_period_means
 from skyweave.operators.quantiles import exact_percentiles, ranked_rows, top_n_mean
 
 
@@ -70,7 +71,7 @@ def metric_table(
     df: DataFrame, keys: list[str], date: str, columns: list[str], with_98th: bool = True
 ) -> DataFrame:
     """98th percentile, top-10, annual, warm-season and seasonal rows per key."""
-    parts = [top_10(df, keys, columns), period_means(df, keys, date, columns)]
+    parts = [top_and_period_means(df, keys, date, columns)]
     if with_98th:
         parts.insert(0, percentile_98(df, keys, columns))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -13,6 +13,8 @@ Their number follows the local density, not the size of the network.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +23,15 @@ from pyspark.sql import types as T
 
 from skyweave.functions.ozone import nan_to_null
 from skyweave.operators.matching import add_blocks, block_candidates
+from skyweave.session import cut_lineage
 
 #: Length of a shared cell edge (relative to the offset scale) that counts as contact.
 EDGE_TOLERANCE = 1e-9
 #: Side of a block of cells is 2**BLOCK cells.
 BLOCK = 3
-#: Weights of blocks that a task remembers; days with equal monitors share them.
+#: Monitors of a key, in multiples of k, up to which a block takes all of them without a search.
+FEW = 16
+#: Weights of blocks that a task remembers, least recently used first to go.
 REMEMBERED = 256
 
 
@@ -82,6 +87,7 @@ def voronoi_average(
     site: str = "Site",
     k: int = 30,
     power: float = 2.0,
+    fold: str | None = None,
 ) -> DataFrame:
     """Interpolate ``measures`` of the monitors at the targets of the same key.
 
@@ -90,78 +96,147 @@ def voronoi_average(
     Adds ``vna_<measure>``; a NULL measure of a neighbour makes the average
     NULL.  Targets whose key has no monitor give no row; targets whose flag
     ``where`` is false stay NULL.
+
+    ``fold`` names a column of both sides: a target of fold g is served by the
+    monitors of the other folds, NULL if there are none.  Monitors are not copied
+    to folds unless their key is crowded.
+
+    The monitors of a key with few of them are laid side by side once per key and
+    every block takes all; keys with many search candidates per block.  Blocks with
+    the same cells and monitors share their weights; where site sets recur over the
+    keys, such blocks are brought together, so weights are found once per set.
     """
     carry = carry or []
-    wanted = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
-    cell = F.struct("ROW", "COL", wanted.alias("_in"), *carry)
-    payload = ["x", "y", *[f"m_{m}" for m in measures]]
+    names = [f"vna_{m}" for m in measures]
+    none = F.lit(None).cast("int")
     bare = monitors.select(
-        *keys,
+        *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)],
         F.col(site).alias("site"),
         "x",
         "y",
+        (F.col(fold).cast("int") if fold else none).alias("g"),
         *[F.coalesce(F.col(m), F.lit(float("nan"))).alias(f"m_{m}") for m in measures],
     )
-    placed = add_blocks(targets, F.col("COL") - 0.5, F.col("ROW") - 0.5, BLOCK)
-    by = [*keys, "bx", "by"]
-    blocks = placed.groupBy(*by).agg(F.collect_list(cell).alias("cells"))
-    pairs = block_candidates(placed.select(*by).distinct(), bare, keys, k, BLOCK)
-    near = pairs.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
-    work = blocks.join(near, by).select(
+    wanted = F.coalesce(F.col(where), F.lit(False)) if where else F.lit(True)
+    cells = targets.select(
         *[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)],
-        "cells",
-        *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload],
+        "ROW",
+        "COL",
+        wanted.alias("_in"),
+        (F.col(fold).cast("int") if fold else none).alias("_g"),
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     )
-    names = [f"vna_{m}" for m in measures]
-    columns = [c for c in ["ROW", "COL", *carry]]
+    by = [f"_k{i}" for i in range(len(keys))]
+    # Counts and fingerprints of the site sets, summed before they move.
+    where_is = F.xxhash64("site", "x", "y")
+    sets = cut_lineage(
+        bare.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(F.shiftright(where_is, 20)).alias("_set"), F.bit_xor(where_is).alias("_xor"))
+    )
+    limit = FEW * k
+    sizes = sets.agg(F.max("_n").alias("most"), F.min("_n").alias("least"), F.count("*").alias("keys")).first()
+    recur = sets.select("_n", "_set", "_xor").distinct().count() * 2 <= (sizes["keys"] or 0)
+    columns = ["ROW", "COL", "_in", "_g", *[f"_c{i}" for i in range(len(carry))]]
+    payload = ["x", "y", "g", *[f"m_{m}" for m in measures]]
+    placed = add_blocks(cells, F.col("COL") - 0.5, F.col("ROW") - 0.5, BLOCK)
+    works = []
+    if sizes.least is None or sizes.least <= limit:
+        few = sets.filter(F.col("_n") <= limit).select(*by)
+        mine = bare if sizes.most is None or sizes.most <= limit else bare.join(few, by, "left_semi")
+        near = mine.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+        blocks = placed.groupBy(*by, "bx", "by").agg(F.collect_list(F.struct(*columns)).alias("cells"))
+        works.append(blocks.join(near, by))
+    if sizes.most is not None and sizes.most > limit:
+        many = sets.filter(F.col("_n") > limit).select(*by)
+        works.append(_crowded(bare.join(many, by, "left_semi"), placed.join(many, by, "left_semi"), by, columns, payload, k, bool(fold)))
+    work = works[0] if len(works) == 1 else works[0].unionByName(works[1])
+    work = work.select(*by, "bx", "by", "cells", *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload])
+    if recur:
+        same = F.xxhash64("bx", "by", "c_x", "c_y")
+        work = work.withColumn("_same", same).repartition("_same").sortWithinPartitions("_same").drop("_same")
     cell_type = work.schema["cells"].dataType.elementType
+    out = ["ROW", "COL", *[f"_c{i}" for i in range(len(carry))]]
     schema = T.StructType(
-        [work.schema[f"_k{i}"] for i in range(len(keys))]
-        + [T.StructField(f"_c{i}", cell_type[c].dataType) for i, c in enumerate(columns)]
+        [work.schema[b] for b in by]
+        + [T.StructField(c, cell_type[c].dataType) for c in out]
+        + ([T.StructField("_g", T.IntegerType())] if fold else [])
         + [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(names))]
     )
-    results = work.mapInArrow(_averages(len(keys), columns, payload, len(names), k, power), schema)
+    results = work.mapInArrow(_averages(by, out + (["_g"] if fold else []), payload, len(names), k, power), schema)
     return results.select(
-        *[F.col(f"_k{i}").alias(key) for i, key in enumerate(keys)],
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)],
+        *[F.col(b).alias(key) for b, key in zip(by, keys)],
+        *([F.col("_g").alias(fold)] if fold else []),
+        "ROW",
+        "COL",
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
         *[nan_to_null(F.col(f"_v{i}")).alias(n) for i, n in enumerate(names)],
     )
 
 
-def _averages(n_keys: int, columns: list[str], payload: list[str], n_values: int, k: int, power: float):
+def _crowded(
+    bare: DataFrame, placed: DataFrame, by: list[str], columns: list[str], payload: list[str], k: int, folded: bool
+) -> DataFrame:
+    """``by, bx, by, cells, c`` of keys with many monitors: the candidates of each block.
+
+    With folds the key is (key, fold) here, each monitor a copy for every other fold
+    of its key: only so the k-th nearest of the others bounds the search.
+    """
+    inner = by
+    if folded:
+        asked = placed.select(*by, F.col("_g").alias("_f")).distinct()
+        bare = bare.join(asked, by).filter(~F.col("g").eqNullSafe(F.col("_f")))
+        placed = placed.withColumn("_f", F.col("_g"))
+        inner = [*by, "_f"]
+    group = [*inner, "bx", "by"]
+    blocks = placed.groupBy(*group).agg(F.collect_list(F.struct(*columns)).alias("cells"))
+    pairs = block_candidates(placed.select(*group).distinct(), bare, inner, k, BLOCK)
+    near = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+    return blocks.join(near, group, "left" if folded else "inner").select(*by, "bx", "by", "cells", "c")
+
+
+def _averages(by: list[str], out: list[str], payload: list[str], n_values: int, k: int, power: float):
     """Blocks in, one row per cell out, as flat buffers."""
 
     def run(batches):
-        known: dict[tuple[bytes, ...], tuple[np.ndarray, np.ndarray]] = {}
+        known: OrderedDict[tuple, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+
+        def weights(*place):
+            key = tuple(p.tobytes() for p in place)
+            if key in known:
+                known.move_to_end(key)
+                return known[key]
+            if len(known) >= REMEMBERED:
+                known.popitem(last=False)
+            known[key] = block_weights(*place, k, power)
+            return known[key]
+
         for batch in batches:
             cells = batch.column("cells")
             sizes = np.asarray(cells.value_lengths())
             bounds = np.r_[0, np.cumsum(sizes)]
             flat = cells.flatten()
-            part = {c: flat.field(flat.type.get_field_index(c)) for c in [*columns, "_in"]}
+            part = {c: flat.field(flat.type.get_field_index(c)) for c in {*out, "_in", "_g"}}
             tx, ty = (np.asarray(part[c], dtype=float) - 0.5 for c in ("COL", "ROW"))
             inside = np.asarray(part["_in"], dtype=bool)
-            spans = batch.column(f"c_{payload[0]}")
-            edges = np.r_[0, np.cumsum(np.asarray(spans.value_lengths()))]
-            cx, cy, *values = (np.asarray(batch.column(f"c_{p}").flatten(), dtype=float) for p in payload)
+            fold = part["_g"].fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.cumsum(np.asarray(batch.column(f"c_{payload[0]}").value_lengths().fill_null(0)))]
+            flats = {p: batch.column(f"c_{p}").flatten() for p in payload}
+            cx, cy, *values = (np.asarray(flats[p], dtype=float) for p in payload if p != "g")
+            group = flats["g"].fill_null(-2).to_numpy(zero_copy_only=False)
             table = np.column_stack(values)
-            out = np.full((len(flat), n_values), np.nan)
+            done = np.full((len(flat), n_values), np.nan)
             for i in range(batch.num_rows):
                 a, b = edges[i], edges[i + 1]
                 at = bounds[i] + np.flatnonzero(inside[bounds[i] : bounds[i + 1]])
                 if not len(at) or a == b:
                     continue
-                place = (tx[at], ty[at], cx[a:b], cy[a:b])
-                key = tuple(p.tobytes() for p in place)
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[key] = block_weights(*place, k, power)
-                out[at] = weighted_means(*known[key], table[a:b])
+                for g in np.unique(fold[at]):
+                    mine = at[fold[at] == g]
+                    sites = a + np.flatnonzero(group[a:b] != g)
+                    if len(sites):
+                        done[mine] = weighted_means(*weights(tx[mine], ty[mine], cx[sites], cy[sites]), table[sites])
             owner = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            arrays = [batch.column(f"_k{i}").take(owner) for i in range(n_keys)]
-            arrays += [part[c] for c in columns] + [pa.array(out[:, j]) for j in range(n_values)]
-            labels = [f"_k{i}" for i in range(n_keys)] + [f"_c{i}" for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=labels + [f"_v{j}" for j in range(n_values)])
+            arrays = [batch.column(b).take(owner) for b in by]
+            arrays += [part[c] for c in out] + [pa.array(done[:, j]) for j in range(n_values)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*by, *out, *[f"_v{j}" for j in range(n_values)]])
 
     return run

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from skyweave.functions.ozone import additive_fusion, ratio_fusion
 from skyweave.operators.audit import positions
-from skyweave.operators.combine import training_folds
 from skyweave.operators.reshape import methods_to_rows
 from skyweave.operators.rollup import calendar_means
 from skyweave.operators.voronoi import voronoi_average
@@ -28,10 +27,10 @@ def predict_folds(monitors: DataFrame, keys: list[str], site: str = "Site", k: i
     without training sites give NULL predictions.
     """
     monitors = cut_lineage(monitors)
-    training = training_folds(monitors, keys, "CVgroup").withColumn("CVgroup", F.col("fold")).drop("fold")
+    monitors = monitors.withColumn("CVgroup", F.col("CVgroup").cast("int"))
     cells = monitors.select(*keys, "CVgroup", "ROW", "COL").distinct()
     by = [*keys, "CVgroup"]
-    averaged = voronoi_average(training, cells, by, MEASURES, site=site, k=k)
+    averaged = voronoi_average(monitors, cells, keys, MEASURES, site=site, k=k, fold="CVgroup")
     joined = monitors.join(averaged, [*by, "ROW", "COL"], "left")
     return joined.select(
         *keys,

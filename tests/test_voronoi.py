@@ -1,5 +1,7 @@
 """Interpolation: hand-made cases, invariants and a plain NumPy reference."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -142,3 +144,51 @@ def test_null_measure_voids_the_average(spark):
 def test_block_with_fewer_candidates_than_k():
     out = average_block(np.array([0.0]), np.array([0.0]), np.array([1.0, -1.0]), np.array([0.0, 0.0]), np.array([[2.0], [4.0]]), 30, 2.0)
     assert out.tolist() == [[3.0]]
+
+
+def fold_case(sites, seed):
+    rng = random.Random(seed)
+    monitors = [(d, f"s{i:04d}", rng.uniform(0, 40), rng.uniform(0, 30), rng.choice([1, 1, 1, 1, 2, 3]), rng.uniform(20, 60)) for d in (1, 2) for i in range(sites)]
+    targets = [(d, rng.randrange(1, 31), rng.randrange(1, 41), g) for d in (1, 2) for g in (1, 2, 3) for _ in range(15)]
+    return monitors, sorted(set(targets))
+
+
+@pytest.mark.parametrize("few", [16, 1, 0])
+def test_folds_leave_out_their_own_monitors(spark, few, monkeypatch):
+    """Very unequal folds, with the monitors of a key side by side and with the crowded path, against copies."""
+    import skyweave.operators.voronoi as vo
+
+    monkeypatch.setattr(vo, "FEW", few)
+    monitors, targets = fold_case(90, 8)
+    schema = "day int, Site string, x double, y double, g int, ozone double"
+    df = spark.createDataFrame(monitors, schema)
+    cells = spark.createDataFrame(targets, "day int, ROW int, COL int, g int")
+    got = {(r.day, r.g, r.ROW, r.COL): r.vna_ozone for r in vo.voronoi_average(df, cells, ["day"], ["ozone"], fold="g").collect()}
+    assert set(got) == {(d, g, r, c) for d, r, c, g in targets}
+    for (day, g, row, col), value in got.items():
+        own = sorted((s, x, y, v) for d, s, x, y, f, v in monitors if d == day and f != g)
+        cx, cy, v = (np.array([o[i] for o in own]) for i in (1, 2, 3))
+        want = average_block(np.array([col - 0.5]), np.array([row - 0.5]), cx, cy, v[:, None], 30, 2.0)[0, 0]
+        assert value == pytest.approx(want, rel=1e-9)
+
+
+def test_a_fold_without_training_monitors_is_null(spark):
+    df = spark.createDataFrame([(1, "a", 1.0, 1.0, 5, 30.0), (1, "b", 2.0, 2.0, 5, 40.0)], "day int, Site string, x double, y double, g int, ozone double")
+    cells = spark.createDataFrame([(1, 1, 1, 5), (1, 1, 1, 6)], "day int, ROW int, COL int, g int")
+    got = {r.g: r.vna_ozone for r in voronoi_average(df, cells, ["day"], ["ozone"], fold="g").collect()}
+    assert got[5] is None and got[6] is not None
+
+
+def test_recurring_site_sets_share_their_weights(spark):
+    """The same sites on many days: rows with equal cells and monitors meet in one task, results stay per day."""
+    rng = random.Random(2)
+    sites = [(f"s{i}", rng.uniform(0, 16), rng.uniform(0, 16)) for i in range(40)]
+    rows = [(d, s, x, y, float(d * 10 + i)) for d in range(12) for i, (s, x, y) in enumerate(sites)]
+    df = spark.createDataFrame(rows, "day int, Site string, x double, y double, ozone double")
+    cells = spark.createDataFrame([(d, r, c) for d in range(12) for r in range(1, 17, 3) for c in range(1, 17, 3)], "day int, ROW int, COL int")
+    out = voronoi_average(df, cells, ["day"], ["ozone"])
+    assert "_same" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r.day, r.ROW, r.COL): r.vna_ozone for r in out.collect()}
+    assert len(got) == 12 * 36
+    for (d, r, c), v in got.items():
+        assert v == pytest.approx(got[0, r, c] + d * 10)
