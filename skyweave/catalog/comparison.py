@@ -353,6 +353,30 @@ def _(spark, sf):
     return cp.describe(fx.fused_daily(spark, sf), fx.METHODS)
 
 
+def _both_sql(c: str) -> str:
+    sides = [("x", "fused_daily WHERE month(\"Timestamp\") <= 6"), ("y", "fused_daily WHERE month(\"Timestamp\") > 6")]
+    parts = []
+    for s, (_, source) in enumerate(sides, 1):
+        parts.append(
+            f"""(SELECT count({c}) AS count{s}, count(*) - count({c}) AS nulls{s}, avg({c}) AS mean{s}, stddev_samp({c}) AS std{s}, min({c}) AS min{s}, max({c}) AS max{s},
+ count(DISTINCT {c}) AS distinct{s}, quantile_cont({c}, 0.25) AS q25_{s}, quantile_cont({c}, 0.5) AS q50_{s}, quantile_cont({c}, 0.75) AS q75_{s} FROM {source})"""
+        )
+    shared = f"SELECT count(*) FROM (SELECT {c} FROM {sides[0][1]} AND {c} IS NOT NULL INTERSECT SELECT {c} FROM {sides[1][1]})"
+    return f"SELECT '{c}' AS \"column\", *, ({shared}) AS common_distinct FROM {parts[0]}, {parts[1]}"
+
+
+@query(
+    "a43_describe_both",
+    " UNION ALL ".join(_both_sql(c) for c in fx.METHODS),
+    "fused_daily",
+    "mean1 std1 min1 max1 q25_1 q50_1 q75_1 mean2 std2 min2 max2 q25_2 q50_2 q75_2",
+)
+def _(spark, sf):
+    daily = fx.fused_daily(spark, sf)
+    first = F.month("Timestamp") <= 6
+    return cp.describe_both(daily.filter(first), daily.filter(~first), fx.METHODS)
+
+
 @query(
     "a51_empirical_cdf",
     """SELECT model, count(*) AS n, (min(r) * 1.0 / max(t))::DOUBLE AS cdf_first, (max(r) * 1.0 / max(t))::DOUBLE AS cdf_last FROM

@@ -310,7 +310,7 @@ def _(spark, sf):
     return fu.daily_fusion(obs, model, G, value="PM25", model_value="PM25_TOT")
 
 
-_WIDE = [("DJF", (12, 1, 2)), ("JJA", (6, 7, 8))]
+_WIDE = [("DJF", (12, 1, 2)), ("MAM", (3, 4, 5)), ("JJA", (6, 7, 8)), ("SON", (9, 10, 11))]
 
 
 @query(
@@ -344,7 +344,7 @@ def _(spark, sf):
 
     obs = wide(fx.obs_daily(spark, sf), ["Site", "Lat", "Lon"], "Conc", 4)
     model = wide(surface(spark, sf), ["ROW", "COL"], "O3_MDA8", 2)
-    return fu.wide_fusion(obs, model, G, ["DJF", "JJA"], ["O3", "NO2"])
+    return fu.wide_fusion(obs, model, G, [s for s, _ in _WIDE], ["O3", "NO2"])
 
 
 # Cross-validation.

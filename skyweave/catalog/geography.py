@@ -174,6 +174,18 @@ def _(spark, sf):
     return rg.time_zone(lonlat(spark, sf), zones, ["o_orderkey"])
 
 
+@query(
+    "j24_time_zone_of_valid_points",
+    f"SELECT o_orderkey, Lon, Lat, o_orderkey % 3 = 0 AS ok, CASE WHEN o_orderkey % 3 = 0 THEN gmt_offset END AS gmt_offset, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 - gmt_offset AS INTEGER) END AS hours_west FROM ({_TZ})",
+)
+def _(spark, sf):
+    zones = bd.zone_edges(bd.read_zone_lines(spark, zone_file(spark, sf)))
+    points = lonlat(spark, sf).withColumn("ok", F.col("o_orderkey") % 3 == 0)
+    east = rg.time_zone(points, zones, ["o_orderkey"], valid="ok")
+    west = rg.time_zone(points, zones, ["o_orderkey"], valid="ok", west_plus_one=True)
+    return east.join(west.select("o_orderkey", F.col("gmt_offset").alias("hours_west")), "o_orderkey")
+
+
 @query(
     "s15_regular_grid",
     """SELECT CAST(r AS INTEGER) AS ROW, CAST(c AS INTEGER) AS COL, n FROM (SELECT unnest(range(1, 300)) AS r) CROSS JOIN (SELECT unnest(range(1, 460)) AS c)

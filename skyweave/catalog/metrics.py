@@ -308,6 +308,23 @@ def _(spark, sf):
     return hr.domain_w126(year, M, "Timestamp")
 
 
+@query(
+    "a20_w126_domain_all_hours",
+    """, l AS (SELECT "Timestamp", unnest(['vna_ozone', 'evna_ozone', 'avna_ozone', 'model']) AS name, unnest([vna_ozone, evna_ozone, avna_ozone, model]) AS v
+  FROM fused_hourly WHERE year("Timestamp") = 2011 AND hour("Timestamp") >= 8 AND hour("Timestamp") < 20),
+ m AS (SELECT name, CAST(month("Timestamp") AS INTEGER) AS "Month", coalesce(sum("""
+    + _w("v")
+    + """), 0) AS v FROM l GROUP BY ALL), """
+    + _triples("name", "m", ["v"], strict=False)
+    + """ SELECT 'W126_' || name AS Period, v AS "Value" FROM best WHERE v IS NOT NULL""",
+    "fused_hourly",
+    "Value",
+)
+def _(spark, sf):
+    year = fx.fused_hourly(spark, sf).filter(F.year("Timestamp") == 2011)
+    return hr.domain_w126(year, M, "Timestamp", complete=False)
+
+
 @query(
     "a21_w126_dense_grid",
     _W126 + f" SELECT c.ROW, c.COL, 'W126' AS Period, {', '.join(M)} FROM cells c LEFT JOIN w USING (ROW, COL)",

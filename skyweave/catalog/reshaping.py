@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from skyweave.catalog import fixtures as fx
@@ -9,42 +11,45 @@ from skyweave.catalog.base import query
 from skyweave.operators import reshape as rs
 
 _SEASONS = ["DJF", "MAM", "JJA", "SON"]
-_PERIODS = [*_SEASONS, "W126"]
+_PERIODS = [*_SEASONS, "top-10", "W126"]
 
 
 @query(
     "r01_metric_pivot",
     """, l AS (SELECT ROW, COL, "Year", Period, avg(model) AS v FROM metrics GROUP BY ALL) SELECT ROW, COL, "Year", """
-    + ", ".join(f"max(v) FILTER (Period = '{p}') AS \"{p}\"" for p in _PERIODS)
+    + ", ".join(f"max(v) FILTER (Period = '{p}') AS {p.replace('-', '_')}" for p in _PERIODS)
     + " FROM l GROUP BY ALL",
     "metrics",
-    "DJF MAM JJA SON W126",
+    "DJF MAM JJA SON top_10 W126",
 )
 def _(spark, sf):
     long = fx.metrics(spark, sf).select("ROW", "COL", "Year", "Period", F.col("model").alias("v"))
-    return rs.metric_rows_to_columns(long, ["ROW", "COL", "Year"], "Period", "v", _PERIODS)
+    return rs.metric_rows_to_columns(long, ["ROW", "COL", "Year"], "Period", "v", _PERIODS).withColumnRenamed("top-10", "top_10")
+
+
+def day_codes() -> list[str]:
+    """The day codes MMDD of a leap year."""
+    first = date(2012, 1, 1)
+    return [f"{first + timedelta(i):%m%d}" for i in range(366)]
 
 
 def wide(spark, sf):
-    """One row per cell, a column per (method, day code)."""
+    """One row per cell, a column per (method, day code): 2 x 366."""
     day = F.date_format("Timestamp", "MMdd")
-    df = fx.fused_daily(spark, sf).withColumn("Timestamp", F.trunc("Timestamp", "month"))
-    codes = [f"{m:02d}01" for m in range(1, 13)]
-    return df.groupBy("ROW", "COL").agg(
-        *[
-            F.max(F.when(day == c, F.col(v))).alias(f"{n}_d{c}")
-            for n, v in (("O3", "model"), ("VNA", "vna_ozone"))
-            for c in codes
-        ]
-    )
+    codes = day_codes()
+    df = fx.fused_daily(spark, sf).select("ROW", "COL", day.alias("day"), "model", "vna_ozone")
+    spread = df.groupBy("ROW", "COL").pivot("day", codes).agg(F.max("model").alias("O3"), F.max("vna_ozone").alias("VNA"))
+    return spread.toDF("ROW", "COL", *[f"{n}_d{c}" for c in codes for n in ("O3", "VNA")])
 
 
-_DAYS = """SELECT ROW, COL, max(model) AS o3, max(vna_ozone) AS vna, strftime(date_trunc('month', "Timestamp"), '%m%d') AS code FROM fused_daily GROUP BY ALL"""
+_DAYS = """SELECT ROW, COL, max(model) AS o3, max(vna_ozone) AS vna, strftime("Timestamp", '%m%d') AS code FROM fused_daily GROUP BY ALL"""
+_EVERY_DAY = """(SELECT c.ROW, c.COL, m.code FROM (SELECT DISTINCT ROW, COL FROM d) c
+ CROSS JOIN (SELECT strftime(DATE '2012-01-01' + CAST(i AS INTEGER), '%m%d') AS code FROM (SELECT unnest(range(366)) AS i)) m)"""
 
 
 @query(
     "r02_split_and_pivot",
-    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, 'd' || code AS day, o3 AS \"O3\", vna AS \"VNA\" FROM (SELECT c.ROW, c.COL, m.code FROM (SELECT DISTINCT ROW, COL FROM d) c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
+    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, 'd' || code AS day, o3 AS \"O3\", vna AS \"VNA\" FROM {_EVERY_DAY} g LEFT JOIN d USING (ROW, COL, code)",
     "fused_daily",
 )
 def _(spark, sf):
@@ -55,11 +60,11 @@ def _(spark, sf):
 
 @query(
     "r03_day_columns_to_rows",
-    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, strptime('2011' || code, '%Y%m%d')::DATE AS \"Timestamp\", o3 AS model, vna AS vna_ozone FROM (SELECT c.ROW, c.COL, m.code FROM (SELECT DISTINCT ROW, COL FROM d) c CROSS JOIN (SELECT lpad(CAST(m AS VARCHAR), 2, '0') || '01' AS code FROM (SELECT unnest(range(1, 13)) AS m)) m) g LEFT JOIN d USING (ROW, COL, code)",
+    f", d AS ({_DAYS}) SELECT g.ROW, g.COL, strptime('2012' || code, '%Y%m%d')::DATE AS \"Timestamp\", o3 AS model, vna AS vna_ozone FROM {_EVERY_DAY} g LEFT JOIN d USING (ROW, COL, code)",
     "fused_daily",
 )
 def _(spark, sf):
-    return rs.day_columns_to_rows(wide(spark, sf), ["ROW", "COL"], 2011, {"O3": "model", "VNA": "vna_ozone"})
+    return rs.day_columns_to_rows(wide(spark, sf), ["ROW", "COL"], 2012, {"O3": "model", "VNA": "vna_ozone"})
 
 
 @query(

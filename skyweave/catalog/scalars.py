@@ -91,7 +91,7 @@ def _(spark, sf):
 
 @query(
     "fn_month_set_labels",
-    """SELECT ROW, COL, CAST(year("Timestamp") AS INTEGER) AS "Year", CASE WHEN month("Timestamp") <= 3 THEN 'JFM_1996' WHEN month("Timestamp") <= 6 THEN 'AMJ_1996' WHEN month("Timestamp") <= 9 THEN 'JAS_1996' ELSE 'OND_1996' END AS label,
+    """SELECT ROW, COL, CAST(year("Timestamp") AS INTEGER) AS "Year", CASE WHEN month("Timestamp") <= 3 THEN 'JFM_' WHEN month("Timestamp") <= 6 THEN 'AMJ_' WHEN month("Timestamp") <= 9 THEN 'JAS_' ELSE 'OND_' END || CAST(year("Timestamp") AS VARCHAR) AS label,
  avg(model) AS model FROM fused_daily GROUP BY ALL""",
     "fused_daily",
     "model",
@@ -102,9 +102,9 @@ def _(spark, sf):
     quarters = [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12]]
     dated = fx.fused_daily(spark, sf).withColumn("Year0", F.year("Timestamp"))
     means = calendar_means(
-        dated, ["ROW", "COL", "Year0"], "Timestamp", ["model"], {cal.month_set_label(q, 1996): q for q in quarters}
+        dated, ["ROW", "COL", "Year0"], "Timestamp", ["model"], {cal.month_set_label(q, ""): q for q in quarters}
     )
-    return means.withColumnRenamed("Year0", "Year")
+    return means.withColumn("label", F.concat("label", F.col("Year0").cast("string"))).withColumnRenamed("Year0", "Year")
 
 
 @query(

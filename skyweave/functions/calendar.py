@@ -77,8 +77,8 @@ def in_wrapping_range(date: str | Column, start: str, end: str) -> Column:
     return (day >= start) | (day <= end)
 
 
-def month_set_label(months: list[int] | None, year: int | None = None, dates: list | None = None) -> str:
-    """Name of a selection: a month set with its year, else the first and last date, else unspecified."""
+def month_set_label(months: list[int] | None, year: int | str | None = None, dates: list | None = None) -> str:
+    """Name of a selection: a month set with its year (empty: to be added per row), else the first and last date, else unspecified."""
     # Names of month sets.
     named = {
         (1, 2, 3): "JFM",

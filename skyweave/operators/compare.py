@@ -266,6 +266,45 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return basic.join(quartiles, "column")
 
 
+def describe_both(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of two tables side by side, with the distinct values each has and both share.
+
+    Every value is counted once with the sides it stands on (partial sums before one
+    exchange by column and value); all but the quartiles comes from those counts.
+    """
+    sides = [t.unpivot([], columns, "column", "v").select("column", F.col("v").cast("double").alias("v"), F.lit(s).alias("side")) for s, t in enumerate((a, b), 1)]
+    long = sides[0].unionAll(sides[1])
+    on = lambda s: F.count(F.when(F.col("side") == s, 1))
+    values = long.groupBy("column", "v").agg(on(1).alias("n1"), on(2).alias("n2"))
+    valued, out = F.col("v").isNotNull(), []
+    for s in (1, 2):
+        n, here = F.col(f"n{s}"), valued & (F.col(f"n{s}") > 0)
+        v = F.when(here, F.col("v"))
+        total = F.sum(F.when(here, n)).cast("double")
+        mean = F.sum(v * n) / total
+        out += [
+            F.coalesce(F.sum(F.when(here, n)), F.lit(0)).alias(f"count{s}"),
+            F.coalesce(F.sum(F.when(~valued, n)), F.lit(0)).alias(f"nulls{s}"),
+            mean.alias(f"mean{s}"),
+            F.sum(v * v * n).alias(f"_q{s}"),
+            F.min(v).alias(f"min{s}"),
+            F.max(v).alias(f"max{s}"),
+            F.count(v).alias(f"distinct{s}"),
+        ]
+    both = F.count(F.when(valued & (F.col("n1") > 0) & (F.col("n2") > 0), 1)).alias("common_distinct")
+    basic = values.groupBy("column").agg(*out, both)
+    for s in (1, 2):
+        n, mean = F.col(f"count{s}"), F.col(f"mean{s}")
+        square = F.greatest(F.col(f"_q{s}") - n * mean * mean, F.lit(0.0))
+        basic = basic.withColumn(f"std{s}", F.when(n > 1, F.sqrt(square / (n - 1)))).drop(f"_q{s}")
+    wanted = {"q25": ("v", 0.25), "q50": ("v", 0.5), "q75": ("v", 0.75)}
+    quartiles = exact_percentiles(long, ["column", "side"], wanted)
+    spread = quartiles.groupBy("column").agg(
+        *[F.max(F.when(F.col("side") == s, F.col(q))).alias(f"{q}_{s}") for s in (1, 2) for q in wanted]
+    )
+    return basic.join(spread, "column")
+
+
 def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFrame:
     """Gaussian kernel density of the (x, y) cloud, scaled to 0-1.
 

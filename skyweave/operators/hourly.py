@@ -207,13 +207,24 @@ def monitor_w126(df: DataFrame, keys: list[str], column: str, ts: str) -> DataFr
     return max_triple(complete_months(df, keys, column, ts), keys, [column], strict=False)
 
 
-def domain_w126(df: DataFrame, columns: list[str], ts: str) -> DataFrame:
-    """One W126 per column over the whole domain, 31-day months."""
-    long = (
-        df.select(ts, *columns)
-        .unpivot([ts], columns, "name", "v")
-        .filter(F.col("v").isNotNull())
-    )
+def plain_months(df: DataFrame, keys: list[str], column: str, ts: str) -> DataFrame:
+    """Monthly weighted sums of the daytime hours as they are, however few; a month without values sums to 0."""
+    months = df.filter(is_daytime(ts)).groupBy(*keys, F.year(ts).alias("Year"), F.month(ts).alias("Month"))
+    return months.agg(F.coalesce(F.sum(w126_weight(ppb_to_ppm(column))), F.lit(0.0)).alias(column))
+
+
+def domain_w126(df: DataFrame, columns: list[str], ts: str, complete: bool = True) -> DataFrame:
+    """One W126 per column over the whole domain, 31-day months.
+
+    Without ``complete`` every month that has a daytime row counts as it is, on the
+    ground that a gridded hour is rarely missing.
+    """
+    long = df.select(ts, *columns).unpivot([ts], columns, "name", "v")
+    if not complete:
+        best = max_triple(plain_months(long, ["name"], "v", ts), ["name"], ["v"], strict=False)
+        named = best.select(F.concat(F.lit("W126_"), "name").alias("Period"), F.col("v").alias("Value"))
+        return named.filter(F.col("Value").isNotNull())
+    long = long.filter(F.col("v").isNotNull())
     months = complete_months(long, ["name"], "v", ts, fixed_days=31, only_below_one=True)
     best = max_triple(months.filter(F.col("v").isNotNull()), ["name"], ["v"], strict=False)
     return best.select(F.concat(F.lit("W126_"), "name").alias("Period"), F.col("v").alias("Value")).filter(

@@ -106,10 +106,21 @@ def blank_outside(
 
 
 def time_zone(
-    points: DataFrame, edges: DataFrame, point: list[str], lon: str = "Lon", lat: str = "Lat", width: float = 1.0
+    points: DataFrame,
+    edges: DataFrame,
+    point: list[str],
+    lon: str = "Lon",
+    lat: str = "Lat",
+    width: float = 1.0,
+    valid: str | None = None,
+    west_plus_one: bool = False,
 ) -> DataFrame:
     """Hours from UTC of each point from zone boundary lines.
 
+    ``valid`` names a flag of the points: only flagged ones meet the boundaries, the
+    others have no offset.  ``west_plus_one`` gives hours west of UTC plus one
+    instead (summer time of a positive-west table).
+
     ``edges``: zone_id (file order), offset, ymin, ymax, x1, y1, x2, y2.
     A vertical line through the point is cut by the boundaries.  First rule: the
     first zone whose sorted crossings enclose the point pairwise.  Second rule:
@@ -119,7 +130,8 @@ def time_zone(
     striped = edges.filter(F.col("x1") != F.col("x2")).withColumn(
         "strip", _strips(F.least("x1", "x2"), F.greatest("x1", "x2"), width)
     )
-    at = points.select(*point, F.col(lon).alias("px"), F.col(lat).alias("py")).withColumn(
+    asked = points if valid is None else points.filter(F.col(valid))
+    at = asked.select(*point, F.col(lon).alias("px"), F.col(lat).alias("py")).withColumn(
         "strip", F.floor(F.col("px") / width)
     )
     px = F.col("px")
@@ -160,7 +172,9 @@ def time_zone(
     )
     hour = F.floor((F.abs(F.col(lon)) + 7.5) / 15).cast("int")
     meridian = F.when(F.col(lon) > 0, hour).otherwise(-hour)
-    listed = F.coalesce("by_zone", "by_gap").cast("int")
-    return points.join(found, point, "left").select(
-        points["*"], F.coalesce(listed, meridian).alias("gmt_offset")
-    )
+    hours = F.coalesce(F.coalesce("by_zone", "by_gap").cast("int"), meridian)
+    if west_plus_one:
+        hours = F.lit(1) - hours
+    if valid is not None:
+        hours = F.when(F.col(valid), hours)
+    return points.join(found, point, "left").select(points["*"], hours.alias("gmt_offset"))
