@@ -252,6 +252,40 @@ def obs_hours(spark, sf):
     )
 
 
+# The same on the true dates of the table.
+_HOUR = "(l_orderkey * 7 + l_linenumber * 5) % 24"
+
+
+def obs_dated(spark, sf):
+    return columns(
+        table(spark, sf, "lineitem"),
+        _d(
+            f"""
+    site_id = CAST(l_suppkey % 40 + 1 AS STRING)
+    POCode = CAST(l_linenumber % 2 + 1 AS INT)
+    dateon = CAST(timestampadd(HOUR, CAST({_HOUR} AS INT), CAST(l_shipdate AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)
+    O3 = l_quantity
+    Lat = 30 + l_suppkey % 40 * 37 % 1000 / 64.0
+    Lon = -120 + l_suppkey % 40 * 91 % 2999 / 64.0
+    Year = CAST(year(l_shipdate) AS INT)"""
+        ),
+    )
+
+
+def model_dated(spark, sf):
+    raw = columns(
+        table(spark, sf, "lineitem"),
+        _CELL
+        + _d(
+            f"""
+    TSTEP = CAST(timestampadd(HOUR, CAST({_HOUR} AS INT), CAST(l_shipdate AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)
+    O3 = {_PRICE}"""
+        ),
+    )
+    means = raw.groupBy("ROW", "COL", "TSTEP").agg(F.avg("O3").alias("O3"))
+    return means.withColumn("Year", F.year("TSTEP"))
+
+
 def tz_site(spark, sf):
     sites = columns(
         table(spark, sf, "lineitem"),
@@ -304,6 +338,18 @@ SQL_VIEWS["obs_hours"] = (
     FROM lineitem""",
     [],
 )
+SQL_VIEWS["obs_dated"] = (
+    f"""SELECT CAST(l_suppkey % 40 + 1 AS VARCHAR) AS site_id, CAST(l_linenumber % 2 + 1 AS INTEGER) AS POCode,
+    CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST({_HOUR} AS INTEGER)) AS dateon, l_quantity AS O3,
+    30 + l_suppkey % 40 * 37 % 1000 / 64.0 AS Lat, -120 + l_suppkey % 40 * 91 % 2999 / 64.0 AS Lon
+    FROM lineitem""",
+    [],
+)
+SQL_VIEWS["model_dated"] = (
+    f"""SELECT {_SQL_CELL}, CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST({_HOUR} AS INTEGER)) AS TSTEP,
+    avg({_PRICE}) AS O3 FROM lineitem GROUP BY ALL""",
+    [],
+)
 SQL_VIEWS["tz_site"] = (
     """SELECT CAST(n AS VARCHAR) AS site_id, Lat, Lon, CAST(-5 - n % 4 AS DOUBLE) AS gmt_offset,
     'R' || CAST(n % 10 AS VARCHAR) AS epa_region FROM tz_places WHERE n % 4 <> 0

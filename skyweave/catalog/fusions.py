@@ -11,6 +11,8 @@ from skyweave.operators.matching import model_at_sites
 from skyweave.operators.rollup import calendar_means
 from skyweave.plans import fusion as fu
 from skyweave.plans import validation as va
+from skyweave.session import scratch_path
+from skyweave.sources import sinks as sk
 from skyweave.sources.grids import surface_layer
 
 G = fx.GRID
@@ -211,6 +213,29 @@ def _(spark, sf):
     return fu.hourly_fusion(zoned(spark, sf), fx.model_hourly(spark, sf), G, ratio_limit=3.0)
 
 
+# True dates over a year's end; offsets run from -9 to -5 hours.
+_RANGE = ("1996-12-20 06:00:00", "1997-01-20 18:00:00")
+_IN_RANGE = (
+    f", obs_in_range AS (SELECT * FROM obs_dated WHERE dateon BETWEEN TIMESTAMP '{_RANGE[0]}' - INTERVAL 9 HOURS AND TIMESTAMP '{_RANGE[1]}' - INTERVAL 5 HOURS)"
+    + hourly().replace("obs_hours", "obs_in_range").replace("model_hourly", f"model_dated WHERE TSTEP BETWEEN TIMESTAMP '{_RANGE[0]}' AND TIMESTAMP '{_RANGE[1]}'").replace(
+        "FROM zoned GROUP BY ALL",
+        f"FROM zoned WHERE dateon - to_hours(CAST(gmt_offset AS INTEGER)) BETWEEN TIMESTAMP '{_RANGE[0]}' AND TIMESTAMP '{_RANGE[1]}' GROUP BY ALL",
+    )
+)
+
+
+def stored_by_year(spark, df):
+    path = scratch_path(spark, "years")
+    sk.write_by(df, path, ["Year"])
+    return spark.read.parquet(path)
+
+
+@query("f06_hourly_fusion_in_range", _IN_RANGE + ", " + _F6, "obs_dated tz_site model_dated", FUSED)
+def _(spark, sf):
+    obs, model = (stored_by_year(spark, d(spark, sf)) for d in (fx.obs_dated, fx.model_dated))
+    return fu.hourly_fusion_in_range(obs, fx.tz_site(spark, sf), model, G, *_RANGE, year="Year")
+
+
 @query(
     "f07_ratio_outliers",
     hourly()

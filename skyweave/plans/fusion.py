@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from skyweave.functions.ozone import (
     response_ratio,
 )
 from skyweave.functions.projection import LambertConic
+from skyweave.operators.combine import with_site_offsets
 from skyweave.operators.matching import locate_sites, model_at_sites
 from skyweave.operators.quantiles import nth_largest, ranked_rows, smallest_of_top, top_n_mean
 from skyweave.operators.rollup import calendar_means
 from skyweave.operators.voronoi import voronoi_average
 from skyweave.session import cut_lineage
+from skyweave.sources.tables import with_spill_years
 
 MEASURES = ["ozone", "mod", "bias", "r_n"]
 FUSED = ["vna_ozone", "vna_mod", "vna_bias", "vna_r_n", "avna_ozone", "evna_ozone", "model"]
@@ -162,16 +166,50 @@ def hourly_fusion(
     end: str | None = None,
 ) -> DataFrame:
     """Fusion of every UTC hour that the model has; other hours are skipped."""
-    sites = utc_sites(obs, value=value)
     if start and end:
         bounds = [F.lit(t).cast("timestamp_ntz") for t in (start, end)]
-        sites = sites.filter(F.col("TSTEP").between(*bounds))
+        obs = obs.filter(local_to_utc("dateon", "gmt_offset").between(*bounds))
         model = model.filter(F.col("TSTEP").between(*bounds))
+    sites = utc_sites(obs, value=value)
     monitors = matched_monitors(sites, model, grid, ["TSTEP"], value, model_value, ratio_limit)
     fused = fuse(monitors, model, ["TSTEP"], model_value, region, site="site_id")
     return fused.withColumn("Timestamp", F.col("TSTEP"))
 
 
+def local_rows_in_range(
+    obs: DataFrame, offsets: DataFrame, start: str, end: str, ts: str = "dateon", year: str | None = None
+) -> DataFrame:
+    """Local-time rows that can fall in the UTC range: it is widened by the offsets that ``offsets`` has.
+
+    Only the least and the greatest offset reach the driver; they become literal
+    bounds of the scan and, with ``year``, of its partitions.
+    """
+    span = offsets.agg(F.min("gmt_offset").alias("low"), F.max("gmt_offset").alias("high")).first()
+    low, high = (0, 0) if span.low is None else (math.floor(span.low), math.ceil(span.high))
+    return with_spill_years(obs, ts, start, end, year, low, high)
+
+
+def hourly_fusion_in_range(
+    obs: DataFrame,
+    tz_site: DataFrame,
+    model: DataFrame,
+    grid: Grid,
+    start: str,
+    end: str,
+    region: DataFrame | None = None,
+    year: str | None = None,
+    **options,
+) -> DataFrame:
+    """Fusion of the UTC hours [start, end] from local-time rows without offsets.
+
+    Both tables are cut to the range before anything is joined or averaged, and to
+    its years where they are partitioned by ``year``.
+    """
+    near = local_rows_in_range(obs, tz_site, start, end, year=year)
+    hours = with_spill_years(model, "TSTEP", start, end, year, 0, 0)
+    return hourly_fusion(with_site_offsets(near, tz_site), hours, grid, region, start=start, end=end, **options)
+
+
 def ratio_outliers(
     obs: DataFrame, model: DataFrame, grid: Grid, months: tuple[int, int] = (3, 10), limit: float = OUTLIER_RATIO
 ) -> DataFrame:

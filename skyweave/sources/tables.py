@@ -87,14 +87,17 @@ def month_slices(model: DataFrame, hours: DataFrame, ts: str) -> DataFrame:
     return model.join(wanted, [ts, "year", "month"], "left_semi")
 
 
-def with_spill_years(obs: DataFrame, ts: str, start: str, end: str, year: str = "Year") -> DataFrame:
+def with_spill_years(
+    obs: DataFrame, ts: str, start: str, end: str, year: str | None = "Year", low: int = -8, high: int = -4
+) -> DataFrame:
     """Local-time rows that can fall in the UTC range [start, end].
 
-    Offsets run from -8 to -4 hours: the local range is [start - 8 h, end - 4 h].
-    Its years prune the partitions, its bounds are pushed to the scan.
+    Offsets run from ``low`` to ``high`` hours, so the local range is [start + low,
+    end + high].  Its years prune the partitions ``year``, its bounds are pushed
+    to the scan.
     """
-    low = datetime.fromisoformat(start) - timedelta(hours=8)
-    high = datetime.fromisoformat(end) - timedelta(hours=4)
-    years = list(range(low.year, high.year + 1))
-    bounds = [F.lit(str(b)).cast("timestamp_ntz") for b in (low, high)]
-    return obs.filter(F.col(year).isin(*years)).filter(F.col(ts).between(*bounds))
+    first = datetime.fromisoformat(start) + timedelta(hours=low)
+    last = datetime.fromisoformat(end) + timedelta(hours=high)
+    bounds = [F.lit(str(b)).cast("timestamp_ntz") for b in (first, last)]
+    kept = obs if year is None else obs.filter(F.col(year).isin(*range(first.year, last.year + 1)))
+    return kept.filter(F.col(ts).between(*bounds))

@@ -386,3 +386,21 @@ def test_replace_and_resume(spark):
     sk.write_missing(df.withColumn("id", F.col("id") + 100), out, ["k"])
     assert {r.k: r.m for r in spark.read.parquet(out).groupBy("k").agg(F.max("id").alias("m")).collect()} == {0: 4, 1: 105}
     assert cut_lineage(df).count() == 6
+
+
+def test_hourly_range_prunes_years_and_reaches_the_scan(spark, tmp_path):
+    """The local range is widened by the offsets that occur; only its years are read."""
+    from pyspark.sql import functions as F
+
+    from skyweave.plans.fusion import local_rows_in_range
+
+    rows = [(f"s{i % 3}", f"{y}-{m:02d}-15 12:00:00", 1.0, y) for i, (y, m) in enumerate((y, m) for y in range(2008, 2014) for m in range(1, 13))]
+    rows += [("s0", "2010-12-31 20:00:00", 2.0, 2010), ("s0", "2010-12-31 14:00:00", 3.0, 2010)]
+    df = spark.createDataFrame(rows, "site_id string, t string, O3 double, Year int").withColumn("dateon", F.col("t").cast("timestamp_ntz")).drop("t")
+    df.write.partitionBy("Year").parquet(str(tmp_path / "obs"))
+    offsets = spark.createDataFrame([("s0", -5.0), ("s1", -9.0), ("s2", None)], "site_id string, gmt_offset double")
+    stored = spark.read.parquet(str(tmp_path / "obs"))
+    near = local_rows_in_range(stored, offsets, "2011-01-01 02:00:00", "2011-02-28 00:00:00", year="Year")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Year" in plan.replace("PartitionFilters: [Year", "PartitionFilters: [isnotnull(Year") and "GreaterThanOrEqual(dateon" in plan
+    assert sorted((r.Year, r.O3) for r in near.collect()) == [(2010, 2.0), (2011, 1.0), (2011, 1.0)]
