@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyweave.catalog import fixtures as fx
 from skyweave.catalog.base import query
 from skyweave.operators import audit as au
+from skyweave.operators.shelves import running_blocks, step_to_next
 
 MONTHS = {"Jan": [1], "DJF": [12, 1, 2], "Apr-Sep": [4, 5, 6, 7, 8, 9]}
 _EXPECTED = "(VALUES ('Jan', 31), ('DJF', 91), ('Apr-Sep', 183)) p(Period, days)"
@@ -313,11 +314,8 @@ _BLOCK = """SELECT Site, "Date", CAST(sum(starts) OVER (PARTITION BY Site ORDER
 
 @query("w05_running_block_number", _BLOCK, "cv_result")
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    along = Window.partitionBy("Site").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when(F.col("Conc") >= 30, 1).otherwise(0)
-    return fx.cv_result(spark, sf).select("Site", "Date", F.sum(starts).over(along).alias("block"))
+    rows = fx.cv_result(spark, sf).select("Site", "Date", "Conc")
+    return running_blocks(rows, ["Site"], ["Date"], F.col("Conc") >= 30).drop("Conc")
 
 
 @query(
@@ -327,7 +325,5 @@ def _(spark, sf):
     "step",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    along = Window.partitionBy("Site").orderBy("Date")
-    return fx.cv_result(spark, sf).select("Site", "Date", (F.col("Conc") - F.lead("Conc").over(along)).alias("step"))
+    rows = fx.cv_result(spark, sf).select("Site", "Date", "Conc")
+    return step_to_next(rows, ["Site"], ["Date"], "Conc").drop("Conc")

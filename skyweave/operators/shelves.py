@@ -9,7 +9,7 @@ shelves before plus a running total inside one shelf.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.session import cut_lineage
@@ -55,3 +55,32 @@ def running(shelves: DataFrame, by: list[str], order: list[str], weight: str, na
         .withColumn(name, F.col("_before") + F.col("_in"))
         .drop("_before", "_in", "_shelf")
     )
+
+
+def next_value(shelves: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Add ``name``: ``column`` of the following row of the group, NULL for the last; rows in ``order``.
+
+    Inside a shelf it is the next row; the last row of a shelf takes the first row
+    that the group has on a later one.
+    """
+    own = F.struct(F.col(column).alias("v"))
+    inside = Window.partitionBy(*by, "_shelf").orderBy(*order)
+    firsts = shelves.groupBy(*by, "_shelf").agg(F.min_by(own, F.struct(*order)).alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*by).orderBy("_shelf")))
+    return (
+        join_null_safe(shelves.withColumn("_next", F.lead(own).over(inside)), later.drop("_first"), [*by, "_shelf"])
+        .withColumn(name, F.coalesce("_next", "_later")["v"])
+        .drop("_next", "_later", "_shelf")
+    )
+
+
+def running_blocks(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "block") -> DataFrame:
+    """Number of the block each row lies in: how many rows up to it open one; groups of any size."""
+    marked = df.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("bigint"))
+    return running(shelved(marked, by, order), by, order, "_starts", name).drop("_starts", "_total")
+
+
+def step_to_next(df: DataFrame, by: list[str], order: list[str], column: str, name: str = "step") -> DataFrame:
+    """Each row's value less the following one's, NULL at the end of a group; groups of any size."""
+    met = next_value(shelved(df, by, order), by, order, column, "_following")
+    return met.withColumn(name, F.col(column) - F.col("_following")).drop("_following")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skyweave.sources.lines import numbered_blocks, numbered_lines
+
 _RINGS = "ARRAY<ARRAY<ARRAY<DOUBLE>>>"
 _FEATURES = (
     "features ARRAY<STRUCT<properties: STRUCT<id: INT>, "
@@ -43,37 +45,31 @@ def read_geojson_rings(spark: SparkSession, path: str, ids: tuple[int, int] = (0
 def read_zone_lines(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of a blocked boundary file: ``npts,offset,name`` then npts lon/lat lines.
 
-    A header is a line with three fields; the running count of headers numbers
-    the blocks of each file.  Boundary files are read one per task.
+    A header is a line with three fields; the headers before a line number its
+    block within the file.  Lines and blocks are numbered over the splits of a file,
+    and a block takes its header's fields by its number.
     """
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value")
-    )
-    lines = text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    fields = F.split("line", ",")
-    parsed = lines.filter(F.col("line") != "").select(
+    lines = numbered_lines(spark, path, blank=False)
+    fields = F.split("value", ",")
+    parsed = numbered_blocks(lines, F.size(fields) == 3).withColumn("f", fields)
+    heads = parsed.filter(F.size("f") == 3).select(
         "file",
-        "line_no",
-        (F.size(fields) == 3).alias("header"),
-        fields.alias("f"),
-    )
-    in_file = Window.partitionBy("file").orderBy("line_no")
-    blocks = parsed.withColumn("zone_id", F.sum(F.col("header").cast("int")).over(in_file) - 1)
-    in_block = Window.partitionBy("file", "zone_id").orderBy("line_no")
-    named = blocks.withColumns(
-        {
-            "offset": F.first(F.when(F.col("header"), F.col("f")[1].cast("double")), True).over(in_block),
-            "name": F.first(F.when(F.col("header"), F.trim(F.col("f")[2])), True).over(in_block),
-            "pos": F.row_number().over(in_block) - 2,
-        }
+        "block",
+        F.col("line_no").alias("_head_no"),
+        F.col("f")[1].cast("double").alias("offset"),
+        F.trim(F.col("f")[2]).alias("name"),
     )
-    return named.filter(~F.col("header")).select(
-        F.col("zone_id").cast("int"),
-        "name",
-        "offset",
-        "pos",
-        F.col("f")[0].cast("double").alias("lon"),
-        F.col("f")[1].cast("double").alias("lat"),
+    return (
+        parsed.filter(F.size("f") != 3)
+        .join(heads, ["file", "block"])
+        .select(
+            F.col("block").cast("int").alias("zone_id"),
+            "name",
+            "offset",
+            (F.col("line_no") - F.col("_head_no") - 1).cast("int").alias("pos"),
+            F.col("f")[0].cast("double").alias("lon"),
+            F.col("f")[1].cast("double").alias("lat"),
+        )
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.text import YEAR_PATTERN
+from skyweave.sources.lines import numbered_lines
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -30,15 +31,9 @@ def read_csv_body(spark: SparkSession, path: str | list[str], schema: str, is_da
 
 
 def read_csv_after(spark: SparkSession, path: str | list[str], schema: str, skip: int) -> DataFrame:
-    """CSV after a fixed number of lines per file.
-
-    Counting lines needs the file's start, so a file is one record: for many
-    files of moderate size.  Use ``read_csv_body`` for large ones.
-    """
-    text = spark.read.text(path, wholetext=True)
-    lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    body = lines.filter((F.col("pos") >= skip) & (F.col("line") != ""))
-    return body.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    """CSV after a fixed number of lines per file; files of any size stay splittable."""
+    body = numbered_lines(spark, path).filter((F.col("line_no") >= skip) & (F.col("value") != ""))
+    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
