@@ -144,3 +144,61 @@ def op12_embedding_whitening(spark, sf_dir):
 @_query
 def op13_conversation_repair(spark, sf_dir):
     return repaired(_table(spark, sf_dir, "conversations"))
+
+
+# DuckDB has no CRC-32: bit by bit over the characters of ``conv:turn``, which are ASCII.
+_CRC_BIT = "CASE WHEN {x} % 2 = 1 THEN xor({x} // 2, 3988292384) ELSE {x} // 2 END"
+_CRC_BYTE = "list_reduce([{start}, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, _: " + _CRC_BIT.format(x="c") + ")"
+ORACLES["op13_conversation_repair"] = f"""
+WITH RECURSIVE src AS (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+), crc AS (
+  SELECT name, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT name FROM src)
+  UNION ALL
+  SELECT name, i + 1, {_CRC_BYTE.format(start="CAST(xor(c, ascii(substr(name, i + 1, 1))) AS BIGINT)")} FROM crc WHERE i < length(name)
+), kinds AS (
+  SELECT name, xor(c, 4294967295) % 20 AS kind FROM crc WHERE i = length(name)
+), hit AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM src JOIN kinds USING (name) WHERE kind <> 0
+), convs AS (
+  SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT k, turn, role, text, left(role, 1) AS ini, rtrim(text, {_BLANKS}) AS solid,
+         row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+  FROM hit h JOIN convs c ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+), e AS (
+  SELECT *, CASE WHEN solid = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(ini) OVER (PARTITION BY k ORDER BY i) || ini AS pair FROM placed
+), inserted(p, q, c, a, made) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']),
+         (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+         (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:'])
+), step(q, ini, r) AS (
+  VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), edits AS (
+  SELECT k, i, q, q AS r, 2 AS c, 'D' AS a, []::VARCHAR[] AS made FROM e, (VALUES (0), (1), (2), (3)) s(q)
+  UNION ALL
+  SELECT k, i, q, r, CASE WHEN fault = 3 THEN 5 ELSE 0 END, 'K', [role || ':' || text] FROM e JOIN step USING (ini) WHERE fault IN (0, 3)
+  UNION ALL
+  SELECT k, i, q, r, CASE WHEN fault = 3 THEN 6 ELSE 1 END, 'R', [CASE s.ini WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+  FROM e, step s WHERE fault IN (0, 3) AND s.ini <> 's'
+), dp AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, 0 AS st, {{'c': 0, 'a': '', 'made': []::VARCHAR[]}} AS best FROM convs
+  UNION ALL
+  SELECT d.k, d.i + 1, o.r, min({{'c': best.c + n.c + o.c, 'a': best.a || n.a || o.a, 'made': best.made || n.made || o.made}})
+  FROM dp d JOIN inserted n ON n.p = d.st JOIN edits o ON o.k = d.k AND o.i = d.i + 1 AND o.q = n.q GROUP BY d.k, d.i, o.r
+), done AS (
+  SELECT d.k, min({{'c': best.c + n.c, 'a': best.a || n.a, 'made': best.made || n.made}}) AS b
+  FROM dp d JOIN inserted n ON n.p = d.st AND n.q IN (0, 3)
+  JOIN (SELECT k, coalesce(max(i), 0) AS last FROM convs LEFT JOIN e USING (k) GROUP BY k) l ON l.k = d.k AND l.last = d.i GROUP BY d.k
+)
+SELECT any_value(conv_id) AS conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+       count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+       count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, CAST(any_value(b.c) AS BIGINT) AS cost, any_value(b.a) AS audit,
+       sha256(array_to_string(any_value(b.made), chr(10))) AS repaired_sha256
+FROM convs LEFT JOIN e USING (k) JOIN done USING (k) GROUP BY k"""
