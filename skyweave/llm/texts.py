@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from skyweave.session import ship_package
 
 #: Rows and bytes of an Arrow batch; a longer text is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 #: Rows that one task numbers at most (on average).
 BUCKET_ROWS = 20_000
 
@@ -31,6 +33,13 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def free_memory() -> None:
+    """Give what a task no longer needs back to the system: the worker that ran it stays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -46,6 +55,7 @@ def map_batches(
                     yield out
                 else:
                     yield from out
+        free_memory()
 
     return df.mapInArrow(run, schema)
 
