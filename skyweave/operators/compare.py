@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from skyweave.operators.quantiles import exact_percentiles
 from skyweave.operators.shelves import running, shelved
 from skyweave.session import cut_lineage
 
+#: Steps of a lattice line that are smoothed at once.
+LINE_BLOCK = 512
+
 
 def method_spread(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Mean row-wise SD and CV% across the methods, per key."""
@@ -305,6 +310,42 @@ def describe_both(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return basic.join(spread, "column")
 
 
+def smoothed_lines(nodes: DataFrame, line: str, along: str, weight: str, kernel: np.ndarray) -> DataFrame:
+    """``line, along, weight`` after each line of a lattice is convolved with ``kernel`` (odd, symmetric).
+
+    Lines are cut into blocks of ``LINE_BLOCK`` steps with a halo of the kernel's
+    reach: a node goes to its own block and to those it reaches into, and a block is
+    one convolution.  A block holds at most its length and two halos.
+    """
+    reach = len(kernel) // 2
+    at = F.col(along)
+    touched = F.sequence(F.floor((at - reach) / LINE_BLOCK), F.floor((at + reach) / LINE_BLOCK))
+    blocks = (
+        nodes.select(F.col(line).alias("line"), at.alias("at"), F.col(weight).alias("w"), F.explode(touched).alias("b"))
+        .groupBy("line", "b")
+        .agg(F.collect_list(F.struct("at", "w")).alias("n"))
+        .select("line", "b", F.col("n.at").alias("at"), F.col("n.w").alias("w"))
+    )
+
+    def run(batches):
+        for batch in batches:
+            edges = np.r_[0, np.cumsum(np.asarray(batch.column("at").value_lengths()))]
+            place, w = (np.asarray(batch.column(c).flatten()) for c in ("at", "w"))
+            lines, numbers = (np.asarray(batch.column(c)) for c in ("line", "b"))
+            found = []
+            for i in range(batch.num_rows):
+                start = numbers[i] * LINE_BLOCK
+                dense = np.zeros(LINE_BLOCK + 2 * reach)
+                np.add.at(dense, place[edges[i] : edges[i + 1]] - start + reach, w[edges[i] : edges[i + 1]])
+                out = np.convolve(dense, kernel, "valid")
+                hit = np.flatnonzero(out)
+                found.append((np.full(len(hit), lines[i]), hit + start, out[hit]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=[line, along, weight])
+
+    return blocks.mapInArrow(run, f"{line} bigint, {along} bigint, {weight} double")
+
+
 def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFrame:
     """Gaussian kernel density of the (x, y) cloud, scaled to 0-1.
 
@@ -341,20 +382,11 @@ def kernel_density(df: DataFrame, x: str, y: str, per_band: int = 4) -> DataFram
             }
         )
     )
-    reach = 9 * per_band
-    offsets = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
-    kernel = F.exp(-F.pow(F.col("o") / float(per_band), F.lit(2.0)) / 2)
-    nodes = lattice.groupBy("iu", "iv").agg(F.sum("c").alias("w"))
-    one_way = (
-        nodes.withColumn("o", F.explode(offsets))
-        .groupBy((F.col("iu") + F.col("o")).alias("iu"), "iv")
-        .agg(F.sum(F.col("w") * kernel).alias("w"))
-    )
-    both_ways = (
-        one_way.withColumn("o", F.explode(offsets))
-        .groupBy("iu", (F.col("iv") + F.col("o")).alias("iv"))
-        .agg(F.sum(F.col("w") * kernel).alias("density"))
-    )
+    steps = np.arange(-9 * per_band, 9 * per_band + 1) / per_band
+    kernel = np.exp(-(steps**2) / 2)
+    nodes = cut_lineage(lattice.groupBy("iu", "iv").agg(F.sum("c").cast("double").alias("w")))
+    one_way = smoothed_lines(nodes, "iv", "iu", "w", kernel)
+    both_ways = smoothed_lines(one_way, "iu", "iv", "w", kernel).withColumnRenamed("w", "density")
     at_nodes = nodes.join(both_ways, ["iu", "iv"]).select("iu", "iv", "density")
     at_nodes = cut_lineage(at_nodes)
     bounds = at_nodes.agg(F.min("density").alias("lo"), F.max("density").alias("hi"))

@@ -223,6 +223,21 @@ def test_kernel_density_close_to_exact(spark):
     assert max(abs(r.density - by_point[(r.x, r.y)]) for r in rows) < 0.03
 
 
+def test_smoothed_lines_cross_block_borders(spark, monkeypatch):
+    """Short blocks, so that lines, halos and gaps meet many borders, against a direct sum."""
+    monkeypatch.setattr(cp, "LINE_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    nodes = {(int(v), int(u)): float(w) for v, u, w in zip(rng.integers(-2, 3, 80), rng.integers(-60, 60, 80), rng.random(80))}
+    df = spark.createDataFrame([(v, u, w) for (v, u), w in nodes.items()], "v long, u long, w double")
+    kernel = np.exp(-np.arange(-11, 12) ** 2 / 20.0)
+    got = {(r.v, r.u): r.w for r in cp.smoothed_lines(df, "v", "u", "w", kernel).collect()}
+    want = {}
+    for (v, u), w in nodes.items():
+        for o in range(-11, 12):
+            want[v, u + o] = want.get((v, u + o), 0.0) + w * kernel[o + 11]
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_projection_round_trip_and_known_point(spark):
     df = spark.createDataFrame([(-97.0, 40.0), (-120.5, 33.25), (-70.0, 45.0)], "lon DOUBLE, lat DOUBLE")
     g = CONUS_12KM
