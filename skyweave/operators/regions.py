@@ -1,9 +1,11 @@
 """Polygons and time zones: which area holds a point.
 
+Square tiles that no edge touches lie wholly inside or outside every polygon, so
+one point of a tile decides all of them; only points of border tiles meet edges.
 Edges and points meet on strips of one coordinate (an equi-join), and an edge
-is stored once for each strip it crosses.  The points of a strip are dealt to
-``SALTS`` shares and the few edges copied to each, so that a crowded strip is
-not one key.
+is stored once for each strip it crosses.  The points of a strip are dealt to as
+many shares as their number asks for and the edges of the strip copied to each, so
+that a crowded strip is not one key.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.session import cut_lineage
+
 
 def ring_edges(vertices: DataFrame, keys: list[str], order: str = "pos", x: str = "x", y: str = "y") -> DataFrame:
     """Edges (x1, y1) - (x2, y2) of ordered vertices; rings repeat their first vertex."""
@@ -22,8 +26,8 @@ def ring_edges(vertices: DataFrame, keys: list[str], order: str = "pos", x: str
     )
 
 
-#: Shares of the points of one strip.
-SALTS = 16
+#: Points of a strip that meet its edges in one share.
+SHARE = 50_000
 
 
 def _strips(low: Column, high: Column, width: float) -> Column:
@@ -32,9 +36,25 @@ def _strips(low: Column, high: Column, width: float) -> Column:
 
 def _meet(points: DataFrame, edges: DataFrame, point: list[str]) -> DataFrame:
     """Every point with the edges of its strip."""
-    dealt = points.withColumn("_salt", F.pmod(F.xxhash64(*point), F.lit(SALTS)))
-    copied = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return dealt.join(copied, ["strip", "_salt"]).drop("_salt")
+    counted = points.groupBy("strip").agg(F.ceil(F.count("*") / SHARE).alias("_shares"))
+    shares = cut_lineage(counted)
+    dealt = points.join(shares, "strip").withColumn("_salt", F.pmod(F.xxhash64(*point), F.col("_shares"))).drop("_shares")
+    copied = edges.join(shares, "strip").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_shares") - 1)))
+    return dealt.join(copied.drop("_shares"), ["strip", "_salt"]).drop("_salt")
+
+
+def border_tiles(edges: DataFrame, width: float) -> DataFrame:
+    """``tx, ty`` of every square tile that an edge touches (a hair's breadth around it included)."""
+    pad = width * 1e-6
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.select("x1", "y1", "x2", "y2", _strips(low - pad, high + pad, width).alias("ty"))
+    run = F.col("y2") - F.col("y1")
+    # Where the edge enters and leaves the strip; a level edge runs along it.
+    at = lambda y: F.col("x1") + (F.least(F.greatest(y, low), high) - F.col("y1")) / run * (F.col("x2") - F.col("x1"))
+    enter, leave = at(F.col("ty") * width - pad), at((F.col("ty") + 1) * width + pad)
+    left = F.when(run == 0, F.least("x1", "x2")).otherwise(F.least(enter, leave))
+    right = F.when(run == 0, F.greatest("x1", "x2")).otherwise(F.greatest(enter, leave))
+    return rows.select(_strips(left - pad, right + pad, width).alias("tx"), "ty").distinct()
 
 
 def containing_polygon(
@@ -51,29 +71,41 @@ def containing_polygon(
     """Lowest polygon number that holds each point, else ``outside``.
 
     Crossing parity over all rings of a polygon, so holes cancel; an edge counts
-    its lower but not its upper end.  ``point`` must identify a point.
+    its lower but not its upper end.  ``point`` must identify a point.  Tiles of
+    side ``width`` without an edge are decided by their middle.
     """
+    borders = cut_lineage(border_tiles(edges, width)).withColumn("_edge", F.lit(True))
+    tx, ty = F.floor(F.col(x) / width), F.floor(F.col(y) / width)
+    at = points.select(*point, F.col(x).alias("px"), F.col(y).alias("py"), tx.alias("tx"), ty.alias("ty"))
+    placed = at.join(borders, ["tx", "ty"], "left")
+    plain = placed.filter(F.col("_edge").isNull())
+    middle = lambda c: (F.col(c) + 0.5) * F.lit(width)
+    tiles = plain.select("tx", "ty").distinct().withColumns({"px": middle("tx"), "py": middle("ty")})
+    whole = cut_lineage(_crossed(tiles, edges, ["tx", "ty"], poly, width))
+    close = placed.filter("_edge").select(*point, "px", "py")
+    found = _crossed(close, edges, point, poly, width).unionByName(plain.join(whole, ["tx", "ty"]).select(*point, "_found"))
+    return points.join(found.withColumnRenamed("_found", name), point, "left").withColumn(
+        name, F.coalesce(F.col(name), F.lit(outside).cast("int"))
+    )
+
+
+def _crossed(at: DataFrame, edges: DataFrame, point: list[str], poly: str, width: float) -> DataFrame:
+    """``point, _found``: the lowest polygon whose edges a ray from the point crosses an odd number of times."""
     striped = edges.filter(F.col("y1") != F.col("y2")).withColumn(
         "strip", _strips(F.least("y1", "y2"), F.greatest("y1", "y2"), width)
     )
-    at = points.select(*point, F.col(x).alias("px"), F.col(y).alias("py")).withColumn(
-        "strip", F.floor(F.col("py") / width)
-    )
     spans = (F.col("y1") <= F.col("py")) != (F.col("y2") <= F.col("py"))
     where = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (
         F.col("y2") - F.col("y1")
     )
-    crossed = (
-        _meet(at, striped, point)
+    return (
+        _meet(at.withColumn("strip", F.floor(F.col("py") / width)), striped, point)
         .filter(spans & (F.col("px") < where))
         .groupBy(*point, poly)
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") % 2 == 1)
         .groupBy(*point)
-        .agg(F.min(poly).alias(name))
-    )
-    return points.join(crossed, point, "left").withColumn(
-        name, F.coalesce(F.col(name), F.lit(outside).cast("int"))
+        .agg(F.min(poly).alias("_found"))
     )
 
 

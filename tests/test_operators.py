@@ -419,3 +419,40 @@ def test_hourly_range_prunes_years_and_reaches_the_scan(spark, tmp_path):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Year" in plan.replace("PartitionFilters: [Year", "PartitionFilters: [isnotnull(Year") and "GreaterThanOrEqual(dateon" in plan
     assert sorted((r.Year, r.O3) for r in near.collect()) == [(2010, 2.0), (2011, 1.0), (2011, 1.0)]
+
+
+def ring(points):
+    return [(*a, *b) for a, b in zip(points, points[1:] + points[:1])]
+
+
+def test_polygons_by_tiles_equal_every_edge_test(spark):
+    """Star and holed polygons, level and upright edges on tile borders, points of all tiles, against plain parity."""
+    rng = np.random.default_rng(6)
+    star = [(10 + (6 if i % 2 else 2.5) * np.cos(i * np.pi / 9), 8 + (6 if i % 2 else 2.5) * np.sin(i * np.pi / 9)) for i in range(18)]
+    shapes = {0: ring(star), 1: ring([(2.0, 1.0), (18.0, 1.0), (18.0, 15.0), (2.0, 15.0)]) + ring([(5.0, 3.0), (7.5, 3.0), (7.5, 4.0), (5.0, 4.0)])}
+    edges = spark.createDataFrame([(k, *map(float, e)) for k, es in shapes.items() for e in es], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-1, 20, (3000, 2)))]
+    points += [(5000 + i, a, b) for i, (a, b) in enumerate([(2.0, 1.0), (2.0, 5.0), (18.0, 5.0), (6.0, 3.0), (6.0, 4.0), (5.0, 3.5), (7.5, 3.5), (10.0, 15.0), (3.0, 2.0)])]
+
+    def parity(es, px, py):
+        return sum(((y1 <= py) != (y2 <= py)) and px < x1 + (py - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in es if y1 != y2) % 2
+
+    want = {i: next((k for k in (0, 1) if parity(shapes[k], px, py)), -999) for i, px, py in points}
+    df = spark.createDataFrame(points, "id int, x double, y double")
+    for width in (1.0, 0.3, 25.0):
+        assert {r.id: r.region for r in rg.containing_polygon(df, edges, ["id"], width=width).collect()} == want
+
+
+def test_points_of_one_tile_meet_no_edge(spark, monkeypatch):
+    """All points in one inner tile: a single point of it meets the edges; a crowded strip is split by its count."""
+    met = []
+    original = rg._meet
+    monkeypatch.setattr(rg, "_meet", lambda points, edges, point: met.append(points.count()) or original(points, edges, point))
+    monkeypatch.setattr(rg, "SHARE", 100)
+    square = spark.createDataFrame([(3, *map(float, e)) for e in ring([(0, 0), (10, 0), (10, 10), (0, 10)])], "poly_id int, x1 double, y1 double, x2 double, y2 double")
+    inner = spark.range(2000).select(F.col("id"), (F.lit(5.0) + F.col("id") / 4000).alias("x"), F.lit(5.2).alias("y"))
+    assert rg.containing_polygon(inner, square, ["id"]).filter("region = 3").count() == 2000
+    assert met == [1, 0]
+    edge = spark.range(2000).select(F.col("id"), (F.lit(9.0) + F.col("id") / 4000).alias("x"), F.lit(0.2).alias("y"))
+    assert rg.containing_polygon(edge, square, ["id"]).filter("region = 3").count() == 2000
+    assert met[2:] == [0, 2000]
