@@ -202,3 +202,26 @@ SELECT any_value(conv_id) AS conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(
        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, CAST(any_value(b.c) AS BIGINT) AS cost, any_value(b.a) AS audit,
        sha256(array_to_string(any_value(b.made), chr(10))) AS repaired_sha256
 FROM convs LEFT JOIN e USING (k) JOIN done USING (k) GROUP BY k"""
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), {az}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(az=_AZ)
+ORACLES["op7_benchmark_decontamination"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM b)
+), dw AS (
+  SELECT r, m, i, array_to_string(w[i : i + m - 1], ' ') AS win
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+), hit AS (
+  SELECT r, m, i, item_id FROM dw JOIN bw USING (m, win)
+), marks AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(ids, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marks USING (r) LEFT JOIN items USING (r)"""
