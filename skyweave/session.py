@@ -20,7 +20,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-_SHIPPED = "spark.skyweave.shipped"
+#: Applications whose workers have the package.
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "skyweave", master: str | None = None, **extra: str) -> SparkSession:
@@ -42,7 +43,7 @@ def ship_package(spark: SparkSession) -> None:
     driver's working directory nor its ``sys.path``.
     """
     context = spark.sparkContext
-    if context.getLocalProperty(_SHIPPED) == context.applicationId:
+    if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     if os.path.isdir(root):
@@ -54,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
                         path = os.path.join(folder, name)
                         archive.write(path, os.path.relpath(path, os.path.dirname(root)))
         context.addPyFile(target)
-    context.setLocalProperty(_SHIPPED, context.applicationId)
+    _SHIPPED.add(context.applicationId)
 
 
 def scratch_root(spark: SparkSession) -> str:
