@@ -10,6 +10,10 @@ fit in every dimension and have the best score, by the weighted norm of what
 would stay free (``norm``) or by the weighted dot product of demand and
 residual (``dot``).  Pieces then find their place by their number within their
 length, which Spark counts in buckets.
+
+A null text is empty: its only id is the end.  Repeated rows are documents of
+their own; a null id stays null.  An empty table gives no rows, and columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -8,10 +8,13 @@ the length of the longest match that ends at each word is tracked: a match of a
 window's length marks its words.
 
 The items are a stated query set.  They are read in blocks of ``BLOCK_WORDS``
-words, one at a time; each block is one pass over the texts that adds its marks,
-so that neither the driver nor a task ever holds more than a block.
+words; each block is one more step over the texts that adds its marks.  The plan
+carries the items of all blocks, so the benchmark has to fit into the driver, and a
+task holds an automaton per block.
 
 Null texts have no words.  Null item ids take part in the marks, not in the ids.
+Repeated rows and rows without an id are marked each on its own.  An empty table
+gives no rows; without items nothing is marked.
 """
 
 from __future__ import annotations

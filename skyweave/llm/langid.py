@@ -9,7 +9,10 @@ is the prediction and its share of the letters the score.
 Only text and language of the learning rows shape the model: about
 ``per_language`` texts of each language, chosen by their hashed ids (a
 documented bound), used whole.  Null and letterless texts are ``und`` with
-score 0, as is every text where nothing could be learned.
+score 0, as is every text where nothing could be learned.  Rows without an id are
+predicted but not learned from; repeated rows get equal results; an empty table
+gives no rows.  The scores of all words of a text are held at once, so a task's
+memory grows with its longest text times the number of languages.
 """
 
 from __future__ import annotations

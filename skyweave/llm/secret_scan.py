@@ -10,7 +10,10 @@ The known words are those of the corpus itself, ranked by the number of texts
 that hold them (values in a credential context do not count), besides a short
 fixed list; at most ``DICTIONARY`` words, which every task holds.
 
-Positions are code points, ends are exclusive.  A null text is empty.
+Positions are code points, ends are exclusive.  A null text is empty.  Letters are
+folded one by one: those whose lower case is several characters stay as they are.
+Repeated rows and rows without an id are scanned each on its own; an empty table
+gives no rows and no known words.
 """
 
 from __future__ import annotations

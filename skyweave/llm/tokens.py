@@ -15,6 +15,8 @@ such place it is doubled, until the two chunks are one.
 
 A null text is empty.  Special strings in a text are special tokens, as by the
 library's default; they hold no white space, so no cut falls into one.
+Repeated rows and rows without an id are counted like any other, each on its own;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -68,3 +68,18 @@ def test_spans_and_scripts(spark):
     spans = sorted(tuple(r)[1:] for r in language_spans(probe, model).collect() if r.doc_id == 1)
     assert [s[2] for s in spans] == ["en", "ru", "de"]
     assert mixed[spans[1][0] : spans[1][1]] == parts[1][1]
+
+
+def test_odd_rows_on_a_trained_model(spark, sf, make, edges):
+    """Null, blank, short, long, mixed and repeated rows beside the rows that train the model."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = {r.lang for r in docs.select("lang").distinct().collect() if r.lang}
+    rows = [r for r in identified(docs.unionByName(make(edges).select(*docs.columns))).collect() if r.doc_id is None or r.doc_id > 9000]
+    assert len(rows) == len(edges)
+    by_id = {}
+    for r in rows:
+        by_id.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+        assert r.lang_pred in known | {"und"} and 0 <= r.score <= 1
+    assert all(by_id[i] == [("und", 0.0)] for i in (9001, 9002, 9003))
+    assert len(set(by_id[9008])) == 1 and by_id[9007][0] == by_id[9008][0] and by_id[9007][0][0] in known
+    assert by_id[None][0][0] in known

@@ -65,3 +65,16 @@ def test_calibration_follows_the_shares():
     apart = np.r_[np.full(300, 25.0), np.full(100, -25.0)]
     slope, shift = fit_platt(apart, (apart > 0).astype(float))
     assert 0.95 < 1 / (1 + np.exp(-(25 * slope + shift))) < 0.9999
+
+
+def test_odd_rows_on_a_trained_model(spark, sf, make, edges):
+    """The classifier is trained on the labelled rows of the smallest table and meets every odd row."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_verdicts(docs.unionByName(make(edges).select(*docs.columns)), labels).collect()
+    odd = [r for r in rows if r.doc_id is None or r.doc_id > 9000]
+    assert len(odd) == len(edges) and any(r.kept for r in rows) and not all(r.kept for r in rows)
+    for r in odd:
+        text = next(t for i, t in edges if i == r.doc_id)
+        words = brute_rules(text)[0]
+        assert r.n_words == words and not (r.kept and r.base_failed) and (words >= 20 or not r.kept)
+    assert len({tuple(r) for r in odd if r.doc_id == 9008}) == 1
