@@ -8,7 +8,9 @@ The latent states emit a symbol: the end, one of the ``symbols`` most frequent
 words, or "another word", which then is drawn from ``b`` among the others.  So
 every text has an exact probability.  Every round of Baum-Welch reads all
 learning texts (``sample_rounds`` before them may read about ``sample`` texts,
-by their hashed ids; there are none by default); expected counts are formed for
+by their hashed ids; there are none by default).  The texts are split and looked
+up once: their symbols are written to the shared folder and every round reads
+those.  Expected counts are formed for
 whole texts in each task and summed by Spark, and only the tables of the model,
 whose size is set by ``states`` and ``symbols``, reach the driver.  The
 likelihood is the scaled forward recursion over the whole text.
@@ -33,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.langid import _share, remainder
-from skyweave.llm.lockstep import Lockstep, bounded_groups
-from skyweave.llm.texts import about, id_text, map_batches, prepare, texts_of
+from skyweave.llm.lockstep import bounded_groups
+from skyweave.llm.texts import about, free_memory, id_text, map_batches, prepare, texts_of
 from skyweave.session import cut_lineage
 
 #: Latent states and words with emissions of their own.
@@ -48,7 +50,11 @@ STEPS = 16
 #: Pseudo-count of a word in the base model.
 PSEUDO = 0.1
 #: Tokens that go through the recursion together.
-GROUP = 400_000
+GROUP = 200_000
+#: Symbols that a task gathers before it sorts their sequences by length.
+BUFFER = 8_000_000
+#: Places after which the vectors of the recursion are brought back to a sum of one.
+RESCALE = 4
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 400_000
 END, OTHER = 0, 1
@@ -103,6 +109,10 @@ class Vocabulary:
         own = self.base(self.counts[: self.symbols]).sum() + self.base(self.ends)
         return max(1.0 - float(own), 1e-300)
 
+    @property
+    def code_type(self) -> type:
+        return np.uint16 if self.symbols + 2 <= 2**16 else np.uint32
+
     def encode(self, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
         """Words, their places (-1 for infrequent words) and the words per text."""
         words = [tokens_of(t) for t in texts]
@@ -132,49 +142,104 @@ class Model:
         step = np.full((states, states), 0.02 / states) + 0.98 * np.eye(states)
         return cls(np.full(states, 1 / states), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def _forward(self, symbols: np.ndarray, steps: Lockstep):
-        seen = self.emit[symbols[steps.order]]
-        scale = np.empty(len(seen), seen.dtype)
-        alpha = None
-        for a, b in steps.steps():
-            now = seen[a:b] * (self.start if alpha is None else alpha[: b - a] @ self.step)
-            total = now.sum(axis=1)
-            scale[a:b] = total
-            alpha = now / total[:, None]
-            yield a, b, alpha, seen, scale
+    def lean(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions over their mean of the states, and that mean: products stay near one."""
+        mean = self.emit.mean(axis=1)
+        mean = np.where(mean > 0, mean, 1.0)
+        return self.emit / mean[:, None], mean
 
     def log10(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Exact log10 likelihood of each sequence (longest first, one after the other)."""
-        steps, scale = Lockstep(sizes), np.zeros(0)
-        for _, _, _, _, scale in self._forward(symbols, steps):
-            pass
-        return np.bincount(steps.owner, np.log10(scale), minlength=len(sizes))
+        emit, mean = self.lean()
+        out = np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.log10(mean)[symbols], minlength=len(sizes))
+        placed, marks = place_major(symbols, sizes)
+        seen = emit.take(placed, axis=0)
+        alpha, last = None, len(marks) - 2
+        for t in range(last + 1):
+            a, b = marks[t], marks[t + 1]
+            alpha = seen[a:b] * (self.start if alpha is None else alpha[: b - a] @ self.step)
+            left = marks[t + 2] - b if t < last else 0
+            if left < b - a:
+                out[left : b - a] += np.log10(alpha[left:].sum(axis=1))
+            if t % RESCALE == 0 and left:
+                total = alpha[:left].sum(axis=1)
+                out[:left] += np.log10(total)
+                alpha[:left] /= total[:, None]
+        return out
 
     def expected(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, transitions and emissions of the sequences."""
-        steps = Lockstep(sizes)
-        alphas = np.empty((len(symbols), len(self.start)), self.emit.dtype)
-        seen = scale = None
-        for a, b, alpha, seen, scale in self._forward(symbols, steps):
-            alphas[a:b] = alpha
-        betas = np.empty_like(alphas)
-        seen /= scale[:, None]
-        turned, n, back = self.step.T.copy(), 0, None
-        for a, b in reversed(list(steps.steps())):
-            beta = betas[a:b]
+        """Expected starts, transitions and emissions of the sequences (longest first).
+
+        The emissions of a symbol may be scaled: each place is weighed by its own
+        sum over the states.  Vectors are rescaled every ``RESCALE`` places; where
+        single precision runs out all the same, double precision at every place
+        takes over.
+        """
+        placed, marks = place_major(symbols, sizes)
+        ends = np.asarray(marks)[np.asarray(sizes) - 1] + np.arange(len(sizes))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore", under="ignore"):
+            found = self._expected(placed, marks, ends, RESCALE)
+        if found is None:
+            double = Model(*(x.astype(float) for x in (self.start, self.step, self.emit)))
+            found = double._expected(placed, marks, ends, 1)
+        return found
+
+    def _expected(self, placed: np.ndarray, marks: list[int], ends: np.ndarray, every: int):
+        step, turned = self.step, np.ascontiguousarray(self.step.T)
+        ones = np.ones(len(self.start), step.dtype)
+        seen = self.emit.take(placed, axis=0)
+        alphas, betas = np.empty_like(seen), np.empty_like(seen)
+        places = len(marks) - 1
+        np.multiply(seen[: marks[1]], self.start, out=alphas[: marks[1]])
+        a, b = 0, marks[1]
+        for t in range(1, places):
+            before, a, b = a, b, marks[t + 1]
+            now = alphas[a:b]
+            np.matmul(alphas[before : before + b - a], step, out=now)
+            now *= seen[a:b]
+            if t % every == 0:
+                now /= (now @ ones)[:, None]
+        # ``seen`` becomes emission times what follows.
+        back = seen[:0]
+        for t in range(places - 1, -1, -1):
+            a, b, n = marks[t], marks[t + 1], len(back)
             if n:
-                np.matmul(back, turned, out=beta[:n])
-            beta[n:] = 1
-            back, n = seen[a:b] * beta, b - a
-        seen *= betas
-        later, before = steps.previous()
-        moved = self.step * (alphas[before].T @ seen[later])
+                np.matmul(back, turned, out=betas[a : a + n])
+            if a + n < b:
+                betas[a + n : b] = 1
+            back = seen[a:b]
+            back *= betas[a:b]
+            if t % every == 0:
+                back /= (back @ ones)[:, None]
         gamma = np.multiply(alphas, betas, out=betas)
-        emitted = np.empty_like(self.emit)
-        placed = symbols[steps.order]
-        for k in range(emitted.shape[1]):
-            emitted[:, k] = np.bincount(placed, gamma[:, k], minlength=len(emitted))
-        return gamma[: len(sizes)].sum(axis=0), moved, emitted
+        weight = 1 / (gamma @ ones)
+        if every > 1 and not (np.isfinite(weight).all() and np.isfinite(seen).all()):
+            return None
+        gamma *= weight[:, None]
+        alphas *= weight[:, None]
+        goes_on = np.ones(len(placed), bool)
+        goes_on[ends] = False
+        moved = step * (alphas[goes_on].T @ seen[marks[1] :])
+        emitted = np.empty(self.emit.shape)
+        for k, own in enumerate(gamma.T):
+            emitted[:, k] = np.bincount(placed, own, minlength=len(emitted))
+        return gamma[: marks[1]].sum(axis=0), moved, emitted
+
+
+def place_major(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The symbols of all first places, then of all second ones, and where each place begins.
+
+    The sequences are not empty and come longest first, so those that run on at a
+    place are the first of those at the place before it.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    longest = int(sizes[0]) if len(sizes) else 0
+    running = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+    marks = np.r_[0, np.cumsum(running)]
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    placed = np.empty(len(place), np.asarray(symbols).dtype)
+    placed[marks[place] + np.repeat(np.arange(len(sizes)), sizes)] = symbols
+    return placed, marks.tolist()
 
 
 def _in_groups(sequences: np.ndarray, sizes: np.ndarray):
@@ -186,33 +251,65 @@ def _in_groups(sequences: np.ndarray, sizes: np.ndarray):
         yield group, sequences[at], own
 
 
+def encoded(texts: DataFrame, vocabulary) -> DataFrame:
+    """``doc_id, codes``: the symbols of each text and its end, two or four bytes each."""
+
+    def run(batch):
+        own = vocabulary.value
+        _, places, sizes = own.encode(texts_of(batch))
+        codes = own.sequences(places, sizes).astype(own.code_type)
+        ends = np.r_[0, np.cumsum((sizes + 1) * codes.itemsize)].astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(codes)])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), binary], names=["doc_id", "codes"])
+
+    return map_batches(texts, run, "doc_id bigint, codes binary")
+
+
+def _code_blocks(batches, code_type):
+    """Symbols and sizes of about ``BUFFER`` symbols: sorted by length, they share most steps."""
+    codes, sizes, held = [], [], 0
+    for batch in batches:
+        column = batch.column("codes").cast(pa.large_binary())
+        _, marks, data = column.buffers()
+        marks = np.frombuffer(marks, np.int64)[column.offset : column.offset + len(column) + 1]
+        if len(column):
+            sizes.append(np.diff(marks) // np.dtype(code_type).itemsize)
+            codes.append(np.frombuffer(data, np.uint8)[marks[0] : marks[-1]].copy().view(code_type))
+            held += len(codes[-1])
+        if held >= BUFFER:
+            yield np.concatenate(codes), np.concatenate(sizes)
+            codes, sizes, held = [], [], 0
+    if held:
+        yield np.concatenate(codes), np.concatenate(sizes)
+
+
 def baum_welch_round(learning: DataFrame, model: Model, vocabulary, symbols: int) -> Model:
-    """One round: expected counts of all texts, summed by Spark, and the model they give.
+    """One round: expected counts of all ``encoded`` texts, summed by Spark, and the model they give.
 
     Rows of the counts: ``0`` starts, ``1 .. K`` transitions, then the symbols.
     """
     states = len(model.start)
     # Expected counts need no more than single precision; the likelihood keeps double.
     single = learning.sparkSession.sparkContext.broadcast(
-        Model(*(x.astype(np.float32) for x in (model.start, model.step, model.emit)))
+        Model(*(x.astype(np.float32) for x in (model.start, model.step, model.lean()[0])))
     )
+    code_type = vocabulary.value.code_type
 
     def run(batches):
-        total = np.zeros((1 + states + symbols, states))
-        for batch in batches:
-            own, model = vocabulary.value, single.value
-            _, places, sizes = own.encode(texts_of(batch))
-            for _, codes, lengths in _in_groups(own.sequences(places, sizes), sizes + 1):
+        total, model = np.zeros((1 + states + symbols, states)), single.value
+        for block, sizes in _code_blocks(batches, code_type):
+            for _, codes, lengths in _in_groups(block, sizes):
                 start, moved, emitted = model.expected(codes, lengths)
                 total[0] += start
                 total[1 : 1 + states] += moved
                 total[1 + states :] += emitted
+        free_memory()
         rows = np.flatnonzero(total.any(axis=1))
         if len(rows):
             values = pa.FixedSizeListArray.from_arrays(pa.array(total[rows].ravel()), states)
             yield pa.RecordBatch.from_arrays([pa.array(rows), values.cast(pa.list_(pa.float64()))], names=["slot", "n"])
 
-    counted = learning.select("text").mapInArrow(run, "slot bigint, n array<double>")
+    counted = learning.select("codes").mapInArrow(run, "slot bigint, n array<double>")
     summed = counted.groupBy("slot").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(states)])
     table = summed.toPandas()
     total = np.zeros((1 + states + symbols, states))
@@ -267,12 +364,13 @@ def scored(
     known = words.symbols + 2
     prior = np.r_[words.base(words.ends), words.other_mass, words.base(words.counts[: words.symbols])]
     model = Model.first(prior / prior.sum(), states)
+    codes = cut_lineage(encoded(learning, shared))
     if sample_rounds:
-        few = cut_lineage(learning.filter(about("doc_id", words.ends, sample)).repartition(6))
+        few = codes.filter(about("doc_id", words.ends, sample))
         for _ in range(sample_rounds):
             model = baum_welch_round(few, model, shared, known)
     for _ in range(full_rounds):
-        model = baum_welch_round(learning, model, shared, known)
+        model = baum_welch_round(codes, model, shared, known)
     return _scores(rows, counts, shared, words, model, modulus)
 
 

@@ -75,6 +75,59 @@ def test_forward_and_expected_counts_sum_over_all_paths():
         assert np.allclose(a, b)
 
 
+def test_scaled_emissions_and_long_sequences_change_nothing():
+    """Against a plain forward-backward in double precision that rescales at every place."""
+    model, rng = random_model(4, 9, 3), np.random.default_rng(5)
+    sizes = np.array([700, 701 - 2, 50, 50, 7, 1])
+    codes = rng.integers(0, 9, sizes.sum())
+    want = [np.zeros(4), np.zeros((4, 4)), np.zeros((9, 4))]
+    logs, at = [], 0
+    for n in sizes:
+        seq, at = codes[at : at + n], at + n
+        alpha, beta, scale = np.zeros((n, 4)), np.ones((n, 4)), np.zeros(n)
+        for t in range(n):
+            now = model.emit[seq[t]] * (model.start if t == 0 else alpha[t - 1] @ model.step)
+            scale[t] = now.sum()
+            alpha[t] = now / scale[t]
+        for t in range(n - 2, -1, -1):
+            beta[t] = model.step @ (model.emit[seq[t + 1]] * beta[t + 1]) / scale[t + 1]
+            want[1] += np.outer(alpha[t], model.emit[seq[t + 1]] * beta[t + 1]) * model.step / scale[t + 1]
+        want[0] += alpha[0] * beta[0]
+        np.add.at(want[2], seq, alpha * beta)
+        logs.append(np.log10(scale).sum())
+    assert np.allclose(model.log10(codes, sizes), logs, rtol=1e-12)
+    factors = 10.0 ** rng.uniform(-9, 9, 9)
+    for emit in (model.emit, model.emit * factors[:, None]):
+        got = Model(model.start, model.step, emit).expected(codes, sizes)
+        assert all(np.allclose(a, b, rtol=1e-9) for a, b in zip(got, want))
+    single = Model(*(x.astype(np.float32) for x in (model.start, model.step, model.lean()[0])))
+    assert all(np.allclose(a, b, rtol=1e-4) for a, b in zip(single.expected(codes, sizes), want))
+
+
+def test_single_precision_that_runs_out_falls_back_to_double():
+    """Each step costs a factor of 1e-15, so that four of them leave single precision."""
+    step = np.array([[1 - 1e-15, 1e-15], [1e-15, 1 - 1e-15]])
+    emit = np.array([[1.0, 1e-15], [1e-15, 1.0]])
+    model = Model(np.array([0.5, 0.5]), step, emit)
+    codes, sizes = np.array([0, 1] * 40), np.array([80])
+    single = Model(*(x.astype(np.float32) for x in (model.start, step, emit)))
+    got = single.expected(codes, sizes)
+    assert all(np.isfinite(x).all() for x in got)
+    assert np.isclose(got[0].sum(), 1) and np.isclose(got[1].sum(), 79) and np.isclose(got[2].sum(), 80)
+
+
+def test_encoded_texts_keep_every_symbol(spark, make, sample, edges):
+    rows = sample[:40] + edges
+    counts = Counter(w for _, t in rows for w in hmm.tokens_of(t))
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:50]
+    words = hmm.Vocabulary({w: i for i, w in enumerate(top)}, np.array([counts[w] for w in top]), len(rows), 1, 1, 30)
+    coded = hmm.encoded(hmm.id_text(make(rows)), spark.sparkContext.broadcast(words)).collect()
+    place = {w: i + 2 for i, w in enumerate(top[:30])}
+    want = [(i, [*(place.get(w, hmm.OTHER) for w in hmm.tokens_of(t)), hmm.END]) for i, t in rows]
+    got = [(r.doc_id, np.frombuffer(r.codes, np.uint16).tolist()) for r in coded]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("symbols,dictionary", [(5, 20), (100000, 100000), (0, 0), (30, 30)])
 def test_base_matches_brute_force(make, sample, edges, symbols, dictionary):
     rows = sample[:80] + edges
