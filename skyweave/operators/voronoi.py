@@ -17,12 +17,12 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyweave.functions.ozone import nan_to_null
-from skyweave.operators.matching import add_blocks, block_candidates
+from skyweave.operators.matching import add_blocks
 from skyweave.session import cut_lineage
 
 #: Length of a shared cell edge (relative to the offset scale) that counts as contact.
@@ -31,6 +31,8 @@ EDGE_TOLERANCE = 1e-9
 BLOCK = 3
 #: Monitors of a key, in multiples of k, up to which a block takes all of them without a search.
 FEW = 16
+#: Tiles along the longer side of a crowded key's network, and blocks held against them at a time.
+SIDE, PLACED = 128, 64
 #: Weights of blocks that a task remembers, least recently used first to go.
 REMEMBERED = 256
 
@@ -130,7 +132,12 @@ def voronoi_average(
     # Counts and fingerprints of the site sets, summed before they move.
     where_is = F.xxhash64("site", "x", "y")
     sets = cut_lineage(
-        bare.groupBy(*by).agg(F.count("*").alias("_n"), F.sum(F.shiftright(where_is, 20)).alias("_set"), F.bit_xor(where_is).alias("_xor"))
+        bare.groupBy(*by).agg(
+            F.count("*").alias("_n"),
+            F.sum(F.shiftright(where_is, 20)).alias("_set"),
+            F.bit_xor(where_is).alias("_xor"),
+            *[f(F.when(F.abs(c) < 1e300, F.col(c))).alias(f"_{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))],
+        )
     )
     limit = FEW * k
     sizes = sets.agg(F.max("_n").alias("most"), F.min("_n").alias("least"), F.count("*").alias("keys")).first()
@@ -146,8 +153,7 @@ def voronoi_average(
         blocks = placed.groupBy(*by, "bx", "by").agg(F.collect_list(F.struct(*columns)).alias("cells"))
         works.append(blocks.join(near, by))
     if sizes.most is not None and sizes.most > limit:
-        many = sets.filter(F.col("_n") > limit).select(*by)
-        works.append(_crowded(bare.join(many, by, "left_semi"), placed.join(many, by, "left_semi"), by, columns, payload, k, bool(fold)))
+        works.append(_crowded(bare, cells, sets.filter(F.col("_n") > limit), by, columns, payload, k, bool(fold)))
     work = works[0] if len(works) == 1 else works[0].unionByName(works[1])
     work = work.select(*by, "bx", "by", "cells", *[F.col(f"c.{p}").alias(f"c_{p}") for p in payload])
     if recur:
@@ -173,24 +179,91 @@ def voronoi_average(
 
 
 def _crowded(
-    bare: DataFrame, placed: DataFrame, by: list[str], columns: list[str], payload: list[str], k: int, folded: bool
+    bare: DataFrame, cells: DataFrame, sets: DataFrame, by: list[str], columns: list[str], payload: list[str], k: int, folded: bool
 ) -> DataFrame:
     """``by, bx, by, cells, c`` of keys with many monitors: the candidates of each block.
 
-    With folds the key is (key, fold) here, each monitor a copy for every other fold
-    of its key: only so the k-th nearest of the others bounds the search.
+    A key's monitors are counted on tiles about as wide as the k-th neighbour is far,
+    ``SIDE`` tiles a side at most; the counts prove how far each block has to look.
+    Dense keys have blocks of one cell, whose candidates are the k nearest of its centre.
+
+    With folds, candidates are the k nearest of each fold: who is among the k nearest
+    of all folds but one is so in its own.  So monitors are not copied to folds.
     """
-    inner = by
-    if folded:
-        asked = placed.select(*by, F.col("_g").alias("_f")).distinct()
-        bare = bare.join(asked, by).filter(~F.col("g").eqNullSafe(F.col("_f")))
-        placed = placed.withColumn("_f", F.col("_g"))
-        inner = [*by, "_f"]
-    group = [*inner, "bx", "by"]
+    wide, high = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    longest = F.coalesce(F.greatest(wide, high, F.lit(1e-6)), F.lit(1.0))
+    area = F.coalesce(F.greatest(wide * high, longest * longest / SIDE), F.lit(1.0))
+    radius = F.sqrt(area * k / (F.col("_n") * 3.1416))
+    finest = F.ceil(F.log2(longest / SIDE))
+    shape = cut_lineage(
+        sets.select(
+            *by,
+            F.greatest(F.ceil(F.log2(radius)), finest).cast("int").alias("_t"),
+            F.least(F.greatest(F.floor(F.log2(radius)), F.lit(0)), F.lit(BLOCK)).cast("int").alias("_b"),
+        )
+    )
+    power = lambda c: F.pow(F.lit(2.0), F.col(c))
+    tiled = bare.filter((F.abs("x") < 1e300) & (F.abs("y") < 1e300)).join(shape.select(*by, "_t"), by)
+    tiled = tiled.withColumns({"tx": F.floor(F.col("x") / power("_t")), "ty": F.floor(F.col("y") / power("_t"))}).drop("_t")
+    # Of each tile only the fewest that any fold finds there are counted on.
+    counts = tiled.groupBy(*by, "tx", "ty", "g").agg(F.count("*").alias("n"))
+    sure = F.sum("n") - F.max("n") if folded else F.sum("n")
+    tiles = counts.groupBy(*by, "tx", "ty").agg(sure.alias("n")).groupBy(*by).agg(F.collect_list(F.struct("tx", "ty", "n")).alias("tiles"))
+    placed = cells.join(shape, by)
+    placed = placed.withColumns(
+        {"bx": F.floor((F.col("COL") - 0.5) / power("_b")), "by": F.floor((F.col("ROW") - 0.5) / power("_b"))}
+    )
+    asked = placed.groupBy(*by, "_t", "_b").agg(F.collect_set(F.struct("bx", "by")).alias("blocks")).join(tiles, by)
+    group = [*by, "bx", "by"]
+    kinds = {"bx": "bigint", "by": "bigint", "tx": "bigint", "ty": "bigint", "cx": "double", "cy": "double", "reach": "double", "slack": "double"}
+    schema = T.StructType([asked.schema[b] for b in by] + [T.StructField(n, T.LongType() if t == "bigint" else T.DoubleType()) for n, t in kinds.items()])
+    needed = asked.mapInArrow(_tiles_in_reach(by, k), schema)
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    pairs = needed.join(tiled, [*by, "tx", "ty"]).withColumn("_far", F.sqrt(dx * dx + dy * dy)).filter("_far <= reach")
+    ranked = Window.partitionBy(*group, "g").orderBy("_far")
+    whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.nth_value("_far", k).over(whole)
+    near = (
+        pairs.withColumn("_kth", kth)
+        .filter(F.col("_kth").isNull() | (F.col("_far") <= F.col("_kth") * (1 + 1e-9) + F.col("slack")))
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
+    )
     blocks = placed.groupBy(*group).agg(F.collect_list(F.struct(*columns)).alias("cells"))
-    pairs = block_candidates(placed.select(*group).distinct(), bare, inner, k, BLOCK)
-    near = pairs.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("site", *payload))).alias("c"))
-    return blocks.join(near, group, "left" if folded else "inner").select(*by, "bx", "by", "cells", "c")
+    return blocks.join(near, group, "left").select(*group, "cells", "c")
+
+
+def _tiles_in_reach(by: list[str], k: int):
+    """A key with its blocks and counted tiles in, out every tile a block needs and how far the block looks."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                size, side = (2.0 ** row.column(c)[0].as_py() for c in ("_t", "_b"))
+                part = lambda name: [np.asarray(f) for f in row.column(name).flatten().flatten()]  # noqa: B023, E731
+                (bx, by_), (tx, ty, n) = part("blocks"), part("tiles")
+                slack = 0.0 if side == 1 else side * 1.4142136 * (1 + 1e-9)
+                for at in range(0, len(bx), PLACED):
+                    x, y = bx[at : at + PLACED], by_[at : at + PLACED]
+                    cx, cy = (x + 0.5) * side, (y + 0.5) * side
+                    lows, highs = [], []
+                    for c, t in ((cx, tx), (cy, ty)):
+                        before, behind = t * size - c[:, None], c[:, None] - (t + 1) * size
+                        lows.append(np.maximum(np.maximum(before, behind), 0))
+                        highs.append(np.maximum(np.abs(before), np.abs(behind)))
+                    low, high = np.hypot(*lows), np.hypot(*highs)
+                    order = np.argsort(high, axis=1)
+                    enough = np.cumsum(n[order], axis=1) >= k
+                    last = np.take_along_axis(order, enough.argmax(axis=1)[:, None], 1)
+                    proof = np.take_along_axis(high, last, 1)[:, 0]
+                    reach = np.where(enough[:, -1], proof, np.inf) * (1 + 1e-9) + slack
+                    b, t = np.nonzero(low <= reach[:, None] * (1 + 1e-9))
+                    arrays = [row.column(c).take(pa.array(np.zeros(len(b), np.int64))) for c in by]
+                    arrays += [pa.array(a) for a in (x[b], y[b], tx[t], ty[t], cx[b], cy[b], reach[b], np.full(len(b), slack))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*by, "bx", "by", "tx", "ty", "cx", "cy", "reach", "slack"])
+
+    return run
 
 
 def _averages(by: list[str], out: list[str], payload: list[str], n_values: int, k: int, power: float):

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from skyweave.operators import voronoi as vo
 from skyweave.operators.voronoi import average_block, neighbour_weights, voronoi_average
 
 
@@ -192,3 +194,29 @@ def test_recurring_site_sets_share_their_weights(spark):
     assert len(got) == 12 * 36
     for (d, r, c), v in got.items():
         assert v == pytest.approx(got[0, r, c] + d * 10)
+
+
+def test_a_crowded_key_hands_a_block_its_nearest_only(spark, monkeypatch):
+    """However many monitors a key has, a cell meets the k nearest of each fold, not the whole network."""
+
+    def counted(by, out, payload, n_values, k, power):
+        def run(batches):
+            for batch in batches:
+                cells = batch.column("cells")
+                owner = pa.array(np.repeat(np.arange(batch.num_rows), np.asarray(cells.value_lengths())))
+                found = batch.column(f"c_{payload[0]}").value_lengths().fill_null(0).cast(pa.float64()).take(owner)
+                flat = cells.flatten()
+                arrays = [batch.column(b).take(owner) for b in by]
+                arrays += [flat.field(flat.type.get_field_index(c)) for c in out] + [found] * n_values
+                yield pa.RecordBatch.from_arrays(arrays, names=[*by, *out, *[f"_v{j}" for j in range(n_values)]])
+
+        return run
+
+    monkeypatch.setattr(vo, "_averages", counted)
+    rng = np.random.default_rng(5)
+    sites = [(1, f"s{i:05}", float(x), float(y), i % 4, 1.0) for i, (x, y) in enumerate(rng.random((4000, 2)) * 8)]
+    cells = [(1, r, c, g) for r in range(1, 9) for c in range(1, 9) for g in range(4)]
+    monitors = spark.createDataFrame(sites, "d int, Site string, x double, y double, g int, m double")
+    targets = spark.createDataFrame(cells, "d int, ROW int, COL int, g int")
+    rows = voronoi_average(monitors, targets, ["d"], ["m"], k=10, fold="g").collect()
+    assert len(rows) == 256 and 10 <= max(r.vna_m for r in rows) <= 40
