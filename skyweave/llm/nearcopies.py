@@ -1,6 +1,8 @@
 """Groups of near copies: word shingle sets of a Jaccard similarity of at least a bound.
 
-Every pair at the bound is found (prefix filtering).  The shingles of all texts
+Candidates come from SimHash fingerprints of the sets, linked by pigeonring chains
+(``simhash.near_links``), and, as those miss most pairs at the bound, from prefix
+filtering, which finds every pair.  The shingles of all texts
 stand in one order; two sets at the bound share one of their first
 ``n - ceil(bound * n) + 1`` shingles, and behind the first one they share each
 has enough left to reach the bound.  Any order is right, rare shingles first is
@@ -10,8 +12,10 @@ that crowd a bucket the first time are counted exactly, marked in a bitmap of fi
 size and come last the second time.  What still crowds a bucket is then most of its
 texts, as in a group of copies.  Candidates are held against the whole sets.
 
-A bucket of many sets is not paired at once: all are held against one of them
-first, and then only sets of different groups are paired.
+No bucket is paired at once: all its sets are held against one of them first, and
+then only sets of different groups are paired, so the links of a group of copies grow
+with its members.  A pair whose parity sketches differ in more bits than two sets at
+the bound can differ in shingles is no candidate.
 
 Texts without words have the same, empty set.  Null ids are kept; a group of
 null ids only has a null component.
@@ -30,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.llm.graph import connected_components
-from skyweave.llm.simhash import SEED, shingle_hashes
+from skyweave.llm.simhash import SEED, majority_bits, near_links, shingle_hashes
 from skyweave.llm.texts import free_memory, id_text, prepare, texts_of
 from skyweave.session import cut_lineage
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sets of a bucket that are paired at once.
+#: Sets of a bucket from which its shingle counts as crowding.
 BUCKET = 64
+#: Words of 64 bits of a set's parity sketch: bit i tells whether an odd number of its shingles fall on i.
+SKETCH = 32
 #: Slots of the shingle counts, as a power of two, and slots of one row of them.
 SLOT_BITS, CHUNK = 20, 1 << 16
 #: Bits of the lookup of sets that take part in a candidate; a fuller lookup only sends more sets to the join.
@@ -60,28 +66,43 @@ def _slots(own: np.ndarray) -> np.ndarray:
     return (own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """Parity of the shingles on each of the sketch's bits; two sketches differ in at most as many bits as the sets in shingles."""
+    odd = np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _keys_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, key`` per row, and how many shingles fall into each slot."""
+    """``doc_id, key, bits, sketch`` per row (fingerprint and sketch of its set), and how many shingles fall into each slot."""
 
     def run(batches):
         counts = np.zeros(1 << SLOT_BITS, np.int64)
-        names = ["doc_id", "key", "chunk", "counts"]
+        names = ["doc_id", "key", "bits", "sketch", "chunk", "counts"]
         for batch in batches:
-            keys = []
+            keys, sets, sketches = [], [], []
             for key, own in _sets(texts_of(batch), width):
                 keys.append(key)
+                sets.append(own)
+                sketches.append(_sketch(own))
                 np.add.at(counts, _slots(own), 1)
+            if not keys:
+                continue
+            bits = majority_bits(np.concatenate(sets), np.array(list(map(len, sets)), np.int64)).view(np.int64)
+            edges = np.arange(0, SKETCH * len(keys) + 1, SKETCH, dtype=np.int32)
+            sketch = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(sketches)))
             none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), *none], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(bits), sketch, *none], names=names
+            )
         for chunk, part in enumerate(counts.reshape(-1, CHUNK)):
             if part.any():
                 # Most slots of a task are empty: compressed, a small task sends little.
-                row = [[None], [None], [chunk], [zlib.compress(part.astype("<u8").tobytes(), 1)]]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                row = [[None], [None], [None], [None], [chunk], [zlib.compress(part.astype("<u8").tobytes(), 1)]]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=names)
         free_memory()
 
-    done = cut_lineage(docs.mapInArrow(run, "doc_id bigint, key bigint, chunk int, counts binary"))
+    done = cut_lineage(docs.mapInArrow(run, "doc_id bigint, key bigint, bits bigint, sketch array<bigint>, chunk int, counts binary"))
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -98,7 +119,7 @@ def _keys_and_counts(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray
     total = np.zeros((1 << SLOT_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
     for row in chunks.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
         total[row.chunk] += np.frombuffer(row.counts, np.int64)
-    return done.filter("chunk IS NULL").select("doc_id", "key"), total.ravel()
+    return done.filter("chunk IS NULL").select("doc_id", "key", "bits", "sketch"), total.ravel()
 
 
 def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
@@ -156,6 +177,23 @@ def _in_reach(bound: Fraction) -> Column:
     return (F.lit(1) + F.least("arest", "brest")) * F.lit(bound.numerator + bound.denominator) >= need
 
 
+def _close(bound: Fraction) -> Column:
+    """Whether the sketches of sets ``a`` and ``b`` differ in no more bits than sets at the bound in shingles."""
+    differ = sum((F.bit_count(F.col("asketch")[i].bitwiseXOR(F.col("bsketch")[i])) for i in range(SKETCH)), F.lit(0))
+    most = F.lit(bound.denominator - bound.numerator) * (F.col("an").cast("bigint") + F.col("bn"))
+    return differ * F.lit(bound.numerator + bound.denominator) <= most
+
+
+def _chained(named: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of keys whose closure joins all sets with linked fingerprints."""
+    sets = named.select("key", "bits").distinct()
+    firsts = cut_lineage(sets.groupBy("bits").agg(F.min("key").alias("first")))
+    same = sets.join(firsts, "bits").filter("key > first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    ends = [firsts.select(F.col("bits").alias(c), F.col("first").alias(f"{c}first")) for c in "uv"]
+    near = near_links(firsts.select("bits")).join(ends[0], "u").join(ends[1], "v")
+    return same.union(near.select(F.least("ufirst", "vfirst"), F.greatest("ufirst", "vfirst")))
+
+
 def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(s) for c, s in (("key", side), ("n", f"{side}n"), ("rest", f"{side}rest"), *((m, side + m) for m in more))])
 
@@ -216,20 +254,19 @@ def near_copy_groups(
         prefixes = _prefixes(texts, shingle, bound, counts, _bitmap(crowding, MARK_BITS))
     shared = prefixes.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
     rows = cut_lineage(prefixes.join(shared.select("token", "low"), "token").distinct())
-    sizes = rows.groupBy("token").agg(F.count("*").alias("c"))
-    rows = cut_lineage(rows.join(sizes, "token"))
-    cold, hot = rows.filter(F.col("c") <= bucket), rows.filter(F.col("c") > bucket)
-    pairs = _side(cold, "a").join(_side(cold, "b"), "token").filter((F.col("a") < F.col("b")) & _in_reach(bound))
-    centre = _side(hot.filter("key = low"), "a").join(_side(hot, "b"), "token").filter((F.col("a") < F.col("b")) & _in_reach(bound))
-    links = _verified(texts, cut_lineage(pairs.select("a", "b").union(centre.select("a", "b")).distinct()), shingle, bound)
+    centre = _side(rows.filter("key = low"), "a").join(_side(rows.filter("key > low"), "b"), "token").filter(_in_reach(bound))
+    chained = _chained(named)
+    links = _verified(texts, cut_lineage(centre.select("a", "b").union(chained).distinct()), shingle, bound)
     roots = connected_components(links)
-    # Sets of a big bucket that are in one group by now need not meet.
-    placed = hot.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("token")
-    placed = cut_lineage(placed.join(open_, "token").select("token", "key", "n", "rest", "root"))
+    # Sets of a bucket that are in one group by now need not meet, nor those that met its centre.
+    placed = rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    rest = placed.filter("key > low").groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    placed = placed.filter("key > low").join(rest.filter("r < s").select("token"), "token")
+    sketches = named.select("key", "sketch").dropDuplicates(["key"])
+    placed = cut_lineage(placed.select("token", "key", "n", "rest", "root").join(sketches, "key"))
     if not placed.isEmpty():
-        left, right = _side(placed, "a", "root"), _side(placed, "b", "root")
-        apart = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _in_reach(bound)
+        left, right = _side(placed, "a", "root", "sketch"), _side(placed, "b", "root", "sketch")
+        apart = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _in_reach(bound) & _close(bound)
         more = left.join(right, "token").filter(apart).select("a", "b").distinct()
         roots = connected_components(links.union(_verified(texts, cut_lineage(more), shingle, bound)))
     least = named.groupBy("key").agg(F.min("doc_id").alias("least"))
