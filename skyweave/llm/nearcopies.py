@@ -12,10 +12,12 @@ that crowd a bucket the first time are counted exactly, marked in a bitmap of fi
 size and come last the second time.  What still crowds a bucket is then most of its
 texts, as in a group of copies.  Candidates are held against the whole sets.
 
-No bucket is paired at once: all its sets are held against one of them first, and
-then only sets of different groups are paired, so the links of a group of copies grow
-with its members.  A pair whose parity sketches differ in more bits than two sets at
-the bound can differ in shingles is no candidate.
+No bucket is paired at once: all its sets are held against one of them first.  A
+crowded bucket that still holds several groups meets further centres, drawn anew in
+each round, until what they find tells that few candidates are left.  Then each set
+outside a bucket's largest group is paired with those of other groups, so the links of
+a group of copies grow with its members.  A pair whose parity sketches differ in more
+bits than two sets at the bound can differ in shingles is no candidate.
 
 Texts without words have the same, empty set.  Null ids are kept; a group of
 null ids only has a null component.
@@ -30,7 +32,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.llm.graph import connected_components
@@ -42,6 +44,10 @@ from skyweave.session import cut_lineage
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sets of a bucket from which its shingle counts as crowding.
 BUCKET = 64
+#: Rounds of further centres at most; all pairs that these leave are found by the last join.
+ROUNDS = 8
+#: Centres of a crowded bucket in a round.
+CENTRES = 16
 #: Words of 64 bits of a set's parity sketch: bit i tells whether an odd number of its shingles fall on i.
 SKETCH = 32
 #: Slots of the shingle counts, as a power of two, and slots of one row of them.
@@ -198,9 +204,8 @@ def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(s) for c, s in (("key", side), ("n", f"{side}n"), ("rest", f"{side}rest"), *((m, side + m) for m in more))])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, bound: Fraction) -> DataFrame:
-    """The written pairs ``a, b`` of keys whose whole sets reach the bound, as ``u, v``."""
-    keys = cut_lineage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+def _whole_sets(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """``key, tokens``: the whole sets of the written, distinct ``keys``; a written table."""
     lookup = _bitmap(keys, LOOKUP_BITS)
     sent = docs.sparkSession.sparkContext.broadcast(lookup)
 
@@ -223,6 +228,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, bound: Fraction) ->
     own = docs.select("text").mapInArrow(sets, "key bigint, tokens binary").join(keys, "key")
     own = cut_lineage(own.dropDuplicates(["key"]))
     sent.destroy()
+    return own
+
+
+def _checked(own: DataFrame, pairs: DataFrame, bound: Fraction) -> DataFrame:
+    """The pairs ``a, b`` of keys whose sets in ``own`` reach the bound, as ``u, v``; a written table."""
 
     def check(batches):
         for batch in batches:
@@ -237,6 +247,56 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, bound: Fraction) ->
     return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "at", "bt").mapInArrow(check, "u bigint, v bigint"))
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, bound: Fraction) -> DataFrame:
+    """The written pairs ``a, b`` of keys whose whole sets reach the bound, as ``u, v``."""
+    keys = cut_lineage(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    return _checked(_whole_sets(docs, keys, width), pairs, bound)
+
+
+def _apart(bound: Fraction) -> Column:
+    """Whether sets ``a`` and ``b`` of a bucket are of different groups and may reach the bound."""
+    return (F.col("aroot") != F.col("broot")) & _in_reach(bound) & _close(bound)
+
+
+def _torn(placed: DataFrame) -> DataFrame:
+    """The buckets that hold several groups: ``token``, its sets ``m`` and the group ``major`` of most of them."""
+    groups = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    major = F.max(F.struct("c", "root"))["root"]
+    return groups.groupBy("token").agg(F.sum("c").alias("m"), major.alias("major"), F.count("*").alias("k")).filter("k > 1").drop("k")
+
+
+def _more_centres(docs: DataFrame, placed: DataFrame, width: int, bound: Fraction, bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """``placed`` with the groups that further centres of crowded buckets join, and the links they found.
+
+    A bucket of m sets and E pairs that pass the filters shows 2 E / m of them to a
+    centre drawn at random, so the rows of a round, each counted m / 2 / ``CENTRES``
+    times, tell how many the last join would make.
+    """
+    links, own = None, None
+    for turn in range(ROUNDS):
+        crowded = placed.join(_torn(placed).filter(F.col("m") > bucket).select("token", "m"), "token")
+        crowded = cut_lineage(crowded)
+        draw = Window.partitionBy("token").orderBy(F.xxhash64("key", "token", F.lit(turn)))
+        drawn = crowded.withColumn("draw", F.row_number().over(draw)).filter(F.col("draw") <= CENTRES)
+        centre = _side(drawn, "a", "root", "sketch")
+        met = centre.join(_side(crowded, "b", "root", "sketch", "m"), "token").filter(_apart(bound))
+        met = cut_lineage(met.select("a", "b", "aroot", "broot", "bm"))
+        left = met.agg(F.coalesce(F.sum("bm"), F.lit(0)).alias("s")).first().s / 2 / CENTRES
+        if left <= crowded.count() / 4:
+            break
+        if own is None:
+            own = _whole_sets(docs, cut_lineage(crowded.select("key").distinct()), width)
+        found = _checked(own, met.select("a", "b").distinct(), bound)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        joined = met.join(found, (F.col("a") == F.col("u")) & (F.col("b") == F.col("v")))
+        roots = connected_components(joined.select(F.col("aroot").alias("u"), F.col("broot").alias("v")).distinct())
+        moved = placed.join(roots.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left")
+        placed = cut_lineage(moved.select("token", "key", "n", "rest", F.coalesce("to", "root").alias("root"), "sketch"))
+    return placed, links
+
+
 def near_copy_groups(
     docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bucket: int = BUCKET
 ) -> DataFrame:
@@ -265,10 +325,17 @@ def near_copy_groups(
     sketches = named.select("key", "sketch").dropDuplicates(["key"])
     placed = cut_lineage(placed.select("token", "key", "n", "rest", "root").join(sketches, "key"))
     if not placed.isEmpty():
-        left, right = _side(placed, "a", "root", "sketch"), _side(placed, "b", "root", "sketch")
-        apart = (F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot")) & _in_reach(bound) & _close(bound)
-        more = left.join(right, "token").filter(apart).select("a", "b").distinct()
-        roots = connected_components(links.union(_verified(texts, cut_lineage(more), shingle, bound)))
+        placed, found = _more_centres(texts, placed, shingle, bound, bucket)
+        links = links if found is None else links.union(found)
+        placed = cut_lineage(placed.join(_torn(placed), "token"))
+        # Of two sets, that outside the largest group of the bucket is on the left.
+        left = _side(placed.filter("root != major"), "a", "root", "sketch")
+        right = _side(placed, "b", "root", "sketch", "major")
+        once = (F.col("broot") == F.col("bmajor")) | (F.col("a") < F.col("b"))
+        more = left.join(right, "token").filter(once & _apart(bound))
+        more = cut_lineage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        links = links if more.isEmpty() else links.union(_verified(texts, more, shingle, bound))
+        roots = connected_components(links)
     least = named.groupBy("key").agg(F.min("doc_id").alias("least"))
     least = least.join(roots, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = cut_lineage(least)

@@ -98,3 +98,21 @@ def test_sketches_never_part_sets_at_the_bound():
         b = np.unique(np.r_[a[: len(a) * 8 // 10], rng.integers(0, 1 << 63, size // 9, dtype=np.uint64)])
         bits = sum(bin(int(x) & (1 << 64) - 1).count("1") for x in _sketch(a) ^ _sketch(b))
         assert bits <= len(np.setxor1d(a, b))
+
+
+def test_a_crowded_bucket_meets_centres_until_few_candidates_are_left(make, monkeypatch):
+    from fractions import Fraction
+
+    from skyweave.llm import nearcopies as nc
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(changed(rng, words, 1)) for _ in range(100)]
+    sets = [(1, key, len(own), len(own) - 1, key, nc._sketch(own).tolist()) for key, own in nc._sets(texts, 5)]
+    docs = make(list(enumerate(texts)))
+    placed = docs.sparkSession.createDataFrame(sets, "token bigint, key bigint, n int, rest int, root bigint, sketch array<bigint>")
+    monkeypatch.setattr(nc, "CENTRES", 4)
+    placed, links = nc._more_centres(docs, placed, 5, Fraction(4, 5), 16)
+    # All pairs are links: 4,950.
+    assert placed.select("key").distinct().count() == len({k for _, k, *_ in sets})
+    assert placed.select("root").distinct().count() == 1 and links.count() < 400
