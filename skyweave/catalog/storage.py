@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyweave.catalog import fixtures as fx
 from skyweave.catalog.base import query
-from skyweave.session import scratch_path
+from skyweave.session import parts_of, scratch_path
 from skyweave.sources import grids as gr
 from skyweave.sources import sinks as sk
 from skyweave.sources import tables as tb
@@ -47,10 +47,13 @@ def _(spark, sf):
 
 @query("s03_csv_after_lines", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def _(spark, sf):
-    """Three lines before the data of each file: a small and a large one."""
+    """Three lines before the data of each file: small ones, and files of ``TASK_ROWS`` rows, the more the larger the table."""
     path = scratch_path(spark, "skipped")
-    file_no = (F.col("l_orderkey") % 10 == 0).cast("int").alias("f")
-    rows = fx.table(spark, sf, "lineitem").select(
+    items = fx.table(spark, sf, "lineitem")
+    parts = parts_of(items.count())
+    share = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts))
+    file_no = (2 * share + (F.col("l_orderkey") % 10 == 0).cast("int")).alias("f")
+    rows = items.select(
         file_no, F.lit(3).alias("o"), F.to_csv(F.struct("l_orderkey", "l_linenumber", "l_quantity")).alias("value")
     )
     head = rows.select("f").distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
@@ -58,7 +61,7 @@ def _(spark, sf):
     )
     (
         rows.unionByName(head)
-        .repartition("f")
+        .repartition(2 * parts, "f")
         .sortWithinPartitions("f", "o")
         .select("f", "value")
         .write.partitionBy("f")

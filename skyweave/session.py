@@ -79,6 +79,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that one task of ``dealt`` gets on average.
+TASK_ROWS = 500_000
+
+
+def parts_of(rows: int) -> int:
+    """Number of parts for ``rows`` rows, which grows with them, so that a part does not."""
+    return -(-rows // TASK_ROWS) or 1
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` dealt by ``keys`` to a number of tasks that grows with its rows; a grouping by them stays in these tasks."""
+    return df.repartition(parts_of(df.count()), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

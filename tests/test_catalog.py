@@ -31,3 +31,14 @@ def test_query_matches_sql(spark, duck, name):
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.limit(1).count() == 1
+
+
+def test_files_after_lines_grow_in_number_not_in_size(spark, monkeypatch):
+    from skyweave import session
+    from skyweave.catalog import QUERIES
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    got = QUERIES["s03_csv_after_lines"](spark, "/root/testdata/sf0.001")
+    lines = [spark.read.text(f).count() for f in got.inputFiles() if f.endswith(".txt")]
+    assert len(lines) > 6 and max(lines) < 1500
+    assert got.count() == sum(lines) - 3 * len(lines) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
