@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.operators.matching import nearest_known
-from skyweave.session import cut_lineage
+from skyweave.session import cut_lineage, dealt
 
 
 def with_site_offsets(obs: DataFrame, tz_site: DataFrame, fill: bool = True) -> DataFrame:
@@ -108,10 +108,10 @@ def one_sided_sites(left: DataFrame, right: DataFrame, keys: list[str], attribut
 
 
 def two_way_difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(
-        b.join(a, keys, "left_anti").withColumn("side", F.lit("right"))
-    )
+    """Distinct keys on one side only, as ``side`` left or right; NULL keys are equal, as in EXCEPT."""
+    sided = left.select(*keys, F.lit("left").alias("side")).unionByName(right.select(*keys, F.lit("right").alias("side")))
+    met = dealt(sided, keys).groupBy(*keys).agg(F.min("side").alias("side"), F.max("side").alias("_last"))
+    return met.filter(F.col("side") == F.col("_last")).drop("_last")
 
 
 def common_and_missing(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

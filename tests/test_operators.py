@@ -456,3 +456,20 @@ def test_points_of_one_tile_meet_no_edge(spark, monkeypatch):
     edge = spark.range(2000).select(F.col("id"), (F.lit(9.0) + F.col("id") / 4000).alias("x"), F.lit(0.2).alias("y"))
     assert rg.containing_polygon(edge, square, ["id"]).filter("region = 3").count() == 2000
     assert met[2:] == [0, 2000]
+
+
+def test_key_sets_are_dealt_by_their_size(spark, monkeypatch):
+    from skyweave import session
+    from skyweave.operators import audit as au
+    from skyweave.operators import combine as co
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    a = spark.createDataFrame([(f"s{i}", i % 3) for i in range(60)] + [(None, 1)], "Site string, Date int")
+    b = spark.createDataFrame([(f"s{i}", i % 3) for i in range(20, 70)] + [(None, 1)], "Site string, Date int")
+    both = co.two_way_difference(a, b, ["Site", "Date"])
+    assert both.rdd.getNumPartitions() == 12
+    # As in EXCEPT, a NULL key is on both sides.
+    want = [(f"s{i}", i % 3, "left" if i < 20 else "right") for i in (*range(20), *range(60, 70))]
+    assert sorted(map(tuple, both.collect())) == sorted(want)
+    got = {r.Date: (r.common, r.only_left, r.only_right, r.left_covers) for r in au.site_set_audit(a, b, "Date", "Site").collect()}
+    assert got == {0: (13, 7, 4, False), 1: (13, 8, 4, False), 2: (14, 6, 3, False)}
