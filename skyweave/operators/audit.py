@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.operators.shelves import running, shelved
+from skyweave.session import dealt
 
 
 def distinct_sites(df: DataFrame, site: str, by: list[str] | None = None) -> DataFrame:
@@ -87,14 +88,18 @@ def missing_time(
 
 def site_set_audit(left: DataFrame, right: DataFrame, date: str, site: str) -> DataFrame:
     """Common, left-only and right-only sites per date, and whether left covers right."""
-    a = left.select(date, site).distinct().withColumn("_l", F.lit(1))
-    b = right.select(date, site).distinct().withColumn("_r", F.lit(1))
-    both = a.join(b, [date, site], "full")
-    return both.groupBy(date).agg(
-        F.count(F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 1)).alias("common"),
-        F.count(F.when(F.col("_r").isNull(), 1)).alias("only_left"),
-        F.count(F.when(F.col("_l").isNull(), 1)).alias("only_right"),
-        (F.count(F.when(F.col("_l").isNull(), 1)) == 0).alias("left_covers"),
+    none = F.lit(None).cast("int")
+    a = left.select(date, site, F.lit(1).alias("_l"), none.alias("_r"))
+    b = right.select(date, site, none.alias("_l"), F.lit(1).alias("_r"))
+    met = dealt(a.unionByName(b), [date, site]).groupBy(date, site).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    # A NULL equals no other.
+    common = F.col("_l").isNotNull() & F.col("_r").isNotNull() & F.col(date).isNotNull() & F.col(site).isNotNull()
+    only_right = F.count(F.when(F.col("_r").isNotNull() & ~common, 1))
+    return met.groupBy(date).agg(
+        F.count(F.when(common, 1)).alias("common"),
+        F.count(F.when(F.col("_l").isNotNull() & ~common, 1)).alias("only_left"),
+        only_right.alias("only_right"),
+        (only_right == 0).alias("left_covers"),
     )
 
 
