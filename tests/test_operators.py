@@ -17,7 +17,7 @@ from skyweave.operators import quantiles as qu
 from skyweave.operators import regions as rg
 from skyweave.operators import trend as tr
 from skyweave.operators.combine import densify, with_site_offsets
-from skyweave.operators.matching import nearest_known
+from skyweave.operators.matching import nearest_k, nearest_known
 from skyweave.operators.shelves import shelved
 from skyweave.plans.validation import equal_site_folds, hash_folds
 from skyweave.session import cut_lineage, scratch_path
@@ -267,6 +267,75 @@ def test_nearest_known_equals_brute_force(spark):
     assert {r.site_id: r.n for r in got} == expect
 
 
+def most_rows(spark, run):
+    """The most rows that any one step of the plans of ``run`` put out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    before = {e.executionId() for e in seq(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for e in seq(store.executionsList()):
+        if e.executionId() not in before:
+            names = {m.accumulatorId(): m.name() for m in seq(e.metrics())}
+            values = seq(store.executionMetrics(e.executionId()).toSeq())
+            most = max([most, *[int(v._2().replace(",", "")) for v in values if names.get(v._1()) == "number of output rows"]])
+    return most
+
+
+@pytest.mark.parametrize("spread,off", [(0.2, 0.0), (10.0, 30.0)])
+def test_nearest_known_pairs_grow_with_the_points_only(spark, spread, off):
+    """Sites crowded in less than a degree, and points far outside the sites' range: few pairs for a point."""
+    rng = np.random.default_rng(4)
+    known = [(f"k{i}", float(a), float(b), i) for i, (a, b) in enumerate(rng.uniform(0, spread, size=(4000, 2)))]
+    far = [(f"m{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, spread, size=(3000, 2)) + [0, off])]
+    missing = spark.createDataFrame(far, "site_id STRING, Lon DOUBLE, Lat DOUBLE")
+    sites = spark.createDataFrame(known, "site_id STRING, Lon DOUBLE, Lat DOUBLE, n INT")
+    got = {}
+    run = lambda: got.update({r.site_id: r.n for r in nearest_known(missing, sites, "site_id", "site_id", "Lon", "Lat", ["n"]).collect()})
+    assert most_rows(spark, run) <= 40 * len(far)
+    places = np.array([k[1:3] for k in known])
+    assert got == {m[0]: int(((places - np.array(m[1:])) ** 2).sum(axis=1).argmin()) for m in far}
+
+
+@pytest.mark.parametrize("k", [1, 3, 30])
+def test_nearest_k_equals_brute_force_on_odd_places(spark, k):
+    """Clusters, far outliers, copies at one place, equal distances on a lattice, a key with few sites and one without."""
+    rng = np.random.default_rng(k)
+    spots = [
+        *rng.normal((5, 5), 1e-6, (150, 2)), *rng.uniform(-50, 50, (60, 2)), *[(7.0, 7.0)] * 80,
+        *[(float(a), float(b)) for a in range(-4, 5) for b in range(-4, 5)], (3e6, -2e6), (-0.0, 0.0),
+    ]
+    sites = [(1, f"s{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(2, "only", 4.0, 4.0), (2, "far", -1e5, 9.0)]
+    marks = [*rng.normal((5, 5), 1e-6, (20, 2)), *rng.uniform(-90, 90, (40, 2)), (7.0, 7.0), (0.5, 0.5), (0.0, 0.0), (2e6, 2e6), (4e6, 0.0)]
+    points = [(d, i, float(x), float(y)) for d in (1, 2, 3) for i, (x, y) in enumerate(marks)]
+    lost = [(1, 900, None, 1.0), (1, 901, float("nan"), 1.0)]
+    got = {}
+    for r in nearest_k(
+        spark.createDataFrame(points + lost, "d INT, id INT, x DOUBLE, y DOUBLE"),
+        spark.createDataFrame(sites + [(1, "lost", None, None)], "d INT, Site STRING, x DOUBLE, y DOUBLE"),
+        ["d"], "id", "Site", k,
+    ).collect():
+        got.setdefault((r.d, r.id), []).append((r["rank"], r.Site, r.distance))
+    assert set(got) == {(d, i) for d, i, _, _ in points if d != 3}
+    for d, i, px, py in points:
+        own = sorted(((x - px) ** 2 + (y - py) ** 2, s) for g, s, x, y in sites if g == d)[:k]
+        assert sorted(got.get((d, i), [])) == [(n + 1, s, pytest.approx(d2**0.5)) for n, (d2, s) in enumerate(own)]
+
+
+def test_nearest_known_of_copies_ties_and_nothing(spark):
+    schema = "site_id STRING, Lon DOUBLE, Lat DOUBLE"
+    known = [("b", 1.0, 0.0, 2), ("a", -1.0, 0.0, 1), *[(f"c{i}", 9.0, 9.0, 100 + i) for i in range(300)]]
+    sites = spark.createDataFrame(known, schema + ", n INT")
+    points = spark.createDataFrame([("p", 0.0, 0.0), ("q", 9.0, 8.0), *[(f"r{i}", 9.0, 9.0) for i in range(300)]], schema)
+    got = {r.site_id: r.n for r in nearest_known(points, sites, "site_id", "site_id", "Lon", "Lat", ["n"]).collect()}
+    assert got == {"p": 1, "q": 100, **{f"r{i}": 100 for i in range(300)}}
+    assert nearest_known(points, sites.limit(0), "site_id", "site_id", "Lon", "Lat", ["n"]).count() == 0
+    assert nearest_known(points.limit(0), sites, "site_id", "site_id", "Lon", "Lat", ["n"]).count() == 0
+    one = nearest_known(points.filter("site_id = 'q'"), sites.filter("site_id = 'a'"), "site_id", "site_id", "Lon", "Lat", ["n"]).collect()
+    assert [tuple(r) for r in one] == [("q", 1)]
+
+
 def test_offset_fill_keeps_every_row(spark):
     obs = spark.createDataFrame([("a", 1.0, 1.0, 5.0), ("b", 2.0, 2.0, 6.0), ("b", 2.0, 2.0, 7.0)], "site_id STRING, Lat DOUBLE, Lon DOUBLE, O3 DOUBLE")
     tz = spark.createDataFrame([("a", 1.0, 1.0, -5.0, "R1")], "site_id STRING, Lat DOUBLE, Lon DOUBLE, gmt_offset DOUBLE, epa_region STRING")
