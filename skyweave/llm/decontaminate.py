@@ -8,9 +8,9 @@ the length of the longest match that ends at each word is tracked: a match of a
 window's length marks its words.
 
 The items are a stated query set.  They are read in blocks of ``BLOCK_WORDS``
-words; each block is one more step over the texts that adds its marks.  The plan
-carries the items of all blocks, so the benchmark has to fit into the driver, and a
-task holds an automaton per block.
+words; for the marks each block is one more step over the texts that adds its own, the
+cut takes all blocks in one step.  The plan carries the items of all blocks, so the
+benchmark has to fit into the driver, and a task holds an automaton per block.
 
 Null texts have no words.  Null item ids take part in the marks, not in the ids.
 Repeated rows and rows without an id are marked each on its own.  An empty table
@@ -26,8 +26,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
 
@@ -159,6 +157,12 @@ def _automaton(items: tuple[tuple[int, tuple[bytes, ...]], ...], window: int) ->
     return Automaton([(i, list(words)) for i, words in items], window)
 
 
+@lru_cache(maxsize=1)
+def _automata(blocks: tuple[tuple[tuple[int, tuple[bytes, ...]], ...], ...], window: int) -> list[Automaton]:
+    """The automata of all blocks, of which the worker keeps one set."""
+    return [Automaton([(i, list(words)) for i, words in block], window) for block in blocks]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode().lower())
 
@@ -291,35 +295,20 @@ def decontaminated(
     are gathered on the whole text before anything is cut.
     """
     prepare(docs.sparkSession)
-    names, schema, marks = docs.columns, docs.schema, "_hits"
-    while marks in map(str.lower, names):
-        marks = f"_{marks}"
-
-    def adding(marker):
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            marked = marker(
-                pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None] * batch.num_rows, pa.int64()),
-                        batch.column(text_col),
-                        batch.column(marks),
-                        pa.array([[]] * batch.num_rows, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "text", "hits", "items"],
-                )
-            )
-            columns = [*[batch.column(n) for n in names], marked.column("hits")]
-            return pa.RecordBatch.from_arrays(columns, names=[*names, marks])
-
-        return run
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    names = docs.columns
+    blocks = tuple(tuple((i, words) for i, (_, words) in enumerate(block)) for block in _blocks(benchmark, block_words))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # One step for all blocks and the cut: each step would keep a Python process of its own in every task.
+        automata = _automata(blocks, window)
         texts, keep = batch.column(text_col).to_pylist(), []
-        for i, hits in enumerate(batch.column(marks).to_pylist()):
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            hits = _merged([r for own in automata for r in own.scan(words)[0]])
             covered = sum(hits[1::2]) - sum(hits[::2])
-            keep.append(not hits or covered <= max_coverage * len(words_of(texts[i])))
+            keep.append(not hits or covered <= max_coverage * len(words))
             if hits and keep[-1]:
-                texts[i] = without_spans(texts[i], hits, min_span)
+                texts[i] = without_spans(text, hits, min_span)
         columns = {name: batch.column(name) for name in names}
         columns[text_col] = pa.array(texts, pa.string())
         if "n_chars" in columns:
@@ -328,10 +317,6 @@ def decontaminated(
                 for n, m, t in zip(columns["n_chars"].to_pylist(), texts, batch.column(text_col).to_pylist())
             ]
             columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = docs.withColumn(marks, F.expr("cast(array() as array<int>)"))
-    marked_schema = StructType([*schema.fields, StructField(marks, ArrayType(IntegerType()))])
-    for block in _blocks(benchmark, block_words):
-        out = map_batches(out, adding(_marker(tuple(block), window)), marked_schema)
-    return map_batches(out, cut, schema)
+    return map_batches(docs, run, docs.schema)

@@ -22,12 +22,13 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.llm.texts import id_text, map_batches, prepare, texts_of
+from skyweave.llm.texts import free_memory, id_text, map_batches, prepare, texts_of
 from skyweave.session import cut_lineage
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -35,8 +36,8 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 8.0
 #: Words of the corpus that every task holds, and the texts that have to hold such a word.
 DICTIONARY, LEAST_TEXTS = 50_000, 2
-#: Distinct words that a task counts before it passes them on.
-FLUSH = 400_000
+#: Distinct words that a task counts before it passes them on; Spark adds the parts up before they are moved.
+FLUSH = 100_000
 #: Steps of a doubling of the count at which the list may end.
 STEPS = 16
 #: Cost of a sign that joins two letters, as in a compound word.
@@ -80,28 +81,32 @@ _DATE = re.compile(r"(?:(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[1
 _DATE_LENGTHS = (4, 8, 10)
 
 
-def word_ranks(texts: DataFrame) -> dict[str, int]:
-    """Ranks of the most frequent words by the number of rows of ``text`` that hold them."""
+def told_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, n``: how many texts hold a word, in parts of ``FLUSH`` words and those of one more text at most."""
+    counts: Counter[str] = Counter()
 
-    def run(batches):
-        counts: Counter[str] = Counter()
+    def told():
+        return pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
 
-        def told():
-            return pa.RecordBatch.from_pydict({"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())})
-
-        for batch in batches:
-            for text in texts_of(batch):
-                low = (text or "").lower()
-                if any(cue in low for cue in CUES):
-                    low = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], low)
-                counts.update(set(WORD.findall(low)))
+    for batch in batches:
+        for text in texts_of(batch):
+            low = (text or "").lower()
+            if any(cue in low for cue in CUES):
+                low = CONTEXT.sub(lambda m: m[0][: m.start(1) - m.start()], low)
+            counts.update(set(WORD.findall(low)))
             if len(counts) > FLUSH:
                 yield told()
                 counts.clear()
-        if counts:
-            yield told()
+    if counts:
+        yield told()
+    # What stays with the worker counts besides what the next step takes.
+    counts.clear()
+    free_memory()
 
-    counted = texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
+
+def word_ranks(texts: DataFrame) -> dict[str, int]:
+    """Ranks of the most frequent words by the number of rows of ``text`` that hold them."""
+    counted = texts.select("text").mapInArrow(told_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
     counted = cut_lineage(counted.filter(F.col("c") >= LEAST_TEXTS))
     step = F.floor(F.log2("c") * STEPS).cast("int")
     taken, bound = 0, None

@@ -85,3 +85,10 @@ def test_stage_is_the_same_for_every_block_size(spark, make, edges):
     bench = spark.createDataFrame(list(enumerate([first, over, second])), "item_id long, text string")
     whole, *others = (rows(decontaminated(make(docs), bench, block_words=n)) for n in (10**6, 1, 20))
     assert all(o == whole for o in others) and 1 not in {r[0] for r in whole}
+
+
+def test_stage_keeps_one_worker_in_a_task(spark, make):
+    """Steps behind each other hold a Python process each in every task; the stage takes all blocks in one."""
+    bench = spark.createDataFrame([(i, f"q{i} r{i} s{i}") for i in range(3)], "item_id long, text string")
+    plan = decontaminated(make([(1, "a b c")]), bench, block_words=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

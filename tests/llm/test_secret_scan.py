@@ -3,6 +3,9 @@ import itertools
 import math
 import re
 
+import pyarrow as pa
+
+from skyweave.llm import secret_scan
 from skyweave.llm.queries import QUERIES
 from skyweave.llm.secret_scan import found_secrets, guess_cost, guess_spans, redacted, without_secrets
 
@@ -114,3 +117,17 @@ def test_letters_whose_lower_case_is_longer():
     assert guess_cost("aİpassword") == guess_cost("aßpassword")
     assert guess_cost("İİİqwertyuiop") == guess_cost("ßßßqwertyuiop")
     assert math.isfinite(guess_cost("İ" * 500 + "2019-01-01"))
+
+
+def test_counted_words_leave_in_bounded_parts(monkeypatch):
+    """A task holds the words of ``FLUSH`` and one text at most, however large its batch is."""
+    monkeypatch.setattr(secret_scan, "FLUSH", 1000)
+    letters = ["".join(p) for p in itertools.product("abcdefghijklmnopqrst", repeat=3)]
+    texts = [" ".join(["Common", *letters[i : i + 200]]) for i in range(0, 6000, 200)]
+    parts = list(secret_scan.told_words([pa.RecordBatch.from_pydict({"text": [*texts, None, ""]})]))
+    assert max(p.num_rows for p in parts) <= 1201
+    total = {}
+    for part in parts:
+        for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist()):
+            total[word] = total.get(word, 0) + n
+    assert total == {"common": 30, **dict.fromkeys(letters[:6000], 1)}
